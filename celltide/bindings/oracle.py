@@ -504,6 +504,24 @@ RAW["extract_records"] = """SELECT page_id, CASE WHEN regexp_matches(b, 'href="(
   CASE WHEN regexp_matches(b, 'title="([^"]*)"') THEN regexp_extract(b, 'title="([^"]*)"', 1) END AS title,
   CASE WHEN regexp_matches(b, '>([^<]+)<') THEN regexp_extract(b, '>([^<]+)<', 1) END AS label
   FROM (SELECT page_id, unnest(regexp_extract_all(html, '(<a href=[^>]*>[^<]*</a>)', 1)) AS b FROM pages)"""
+CTE["last_revision"] = """SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y-%m')
+  ORDER BY CAST(o_orderdate AS DATE) DESC, o_custkey % 24 DESC, o_orderkey DESC) = 1"""
+_MARK = ["Location dot red.svg", "WhiteDot.svg", "Location dot green.svg", "New icon.svg", "80x80-red-blue-anim.gif"]
+
+
+def meaning(part: int) -> str:
+    unknown = lambda m: ("unknown", f"UNMAPPED:{m}", "low")
+    return "CASE o_orderkey % 5 " + " ".join(
+        f"WHEN {i} THEN '{fixed.MARKS.get(m, unknown(m))[part]}'" for i, m in enumerate(_MARK)) + " END"
+
+
+_GREEN = fixed.MARKS["Dot green 0d0.svg"]
+RAW["parse_snapshots"] = f"""SELECT CAST(o_orderdate AS DATE) AS date, CAST(o_custkey % 90 AS DOUBLE) + 0.25 AS lat, CAST(o_orderkey % 180 AS DOUBLE) + 0.5 AS lon,
+  'Town ' || o_orderkey AS location_name, {meaning(0)} AS control_status, {meaning(1)} AS actor, 'wikipedia_module' AS source, {meaning(2)} AS confidence
+  FROM last_revision WHERE o_orderkey % 5 <> 1
+  UNION ALL SELECT CAST(o_orderdate AS DATE), CAST(o_custkey % 80 AS DOUBLE) + 0.75, CAST(95.5 AS DOUBLE), 'Plain', '{_GREEN[0]}', '{_GREEN[1]}', 'wikipedia_module', '{_GREEN[2]}' FROM last_revision"""
+RAW["revision_records"] = """SELECT o_orderkey AS revid, 't' || (o_orderkey % 7) AS timestamp, o_orderpriority AS comment FROM orders
+  UNION ALL SELECT -o_orderkey, 'u', NULL FROM orders"""
 RAW["majority_vote"] = "SELECT * FROM vote"
 RAW["locf_panel"] = "SELECT * FROM label_panel"
 RAW["snapshot_months"] = """SELECT COUNT(*) FILTER (WHERE f) AS n_true, COUNT(*) FILTER (WHERE NOT f) AS n_false
@@ -556,6 +574,19 @@ RAW["standardize"] = rounded(f"""SELECT {KEY}, {', '.join(f'({c} - m_{c}) / CASE
 RAW["labelled_features"] = f"""SELECT {KEY}, target, {', '.join(f'CAST(COALESCE({c}, 0) AS DOUBLE) AS {c}' for c in ('total_events', 'total_fatalities', 'total_events_lag1'))}
   FROM target LEFT JOIN panel USING ({KEY})"""
 
+_NEAR = f"""SELECT CAST((r + dr) * 720 + c + dc + 1 AS BIGINT) AS priogrid_gid FROM (SELECT {ROW} AS r, {COL} AS c FROM rare_change)
+  CROSS JOIN (SELECT unnest(range(-1, 2)) AS dr) CROSS JOIN (SELECT unnest(range(-1, 2)) AS dc)
+  CROSS JOIN {layout('feature_cell')} WHERE r - r0 BETWEEN 0 AND ph - 1 AND c - c0 BETWEEN 0 AND pw - 1
+  AND r + dr - r0 BETWEEN 0 AND ph - 1 AND c + dc - c0 BETWEEN 0 AND pw - 1"""
+RAW["training_weights"] = rounded(f"""SELECT {KEY}, target, CASE WHEN priogrid_gid IN ({_NEAR}) THEN (SELECT COUNT(*) FROM target WHERE {TRAIN})
+  / CAST(3 * (SELECT COUNT(*) FROM target u WHERE {TRAIN} AND u.target = t.target) AS DOUBLE) ELSE 0 END AS weight FROM target t""", "weight")
+_E = ["exp(a - m)", "exp(b - m)", "exp(c - m)"]
+_ALL = " + ".join(_E)
+RAW["softmax_scores"] = rounded(f"""SELECT l_orderkey, l_linenumber, l_partkey, {', '.join(f'{e} / ({_ALL}) AS prob_{k}' for e, k in zip(_E, CLASSES))},
+  CASE WHEN a = m THEN 'gov' WHEN b = m THEN 'opo' ELSE 'uncertain' END AS pred_class, CAST(1 AS DOUBLE) / ({_ALL}) AS confidence FROM (
+  SELECT *, greatest(a, b, c) AS m FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity / CAST(10 AS DOUBLE) AS a, l_discount * CAST(100 AS DOUBLE) AS b, l_tax * CAST(50 AS DOUBLE) AS c FROM lineitem))""",
+    "prob_gov", "prob_opo", "prob_uncertain", "confidence")
+
 # --- evaluation ---------------------------------------------------------------------------
 
 CTE["confusion_count"] = f"""SELECT model, a.c AS true_class, b.c AS pred_class, COUNT(*) FILTER (WHERE true_class = a.c AND pred_class = b.c) AS n

@@ -9,7 +9,7 @@ from pyspark.sql.types import DoubleType
 
 from celltide import fixed_values as fixed
 from celltide.bindings import tables as t
-from celltide.functions import dates, grid
+from celltide.functions import dates, grid, values
 from celltide.operators import (
     actors, baselines, bootstrap, curves, dedup, evaluation as ev, folds, grid as grid_ops, keys, models,
     panel as panel_ops, running, summaries, votes,
@@ -335,6 +335,37 @@ def extract_records(spark, sf):
         pages, "html", r"(<a href=[^>]*>[^<]*</a>)", {"href": r'href="([^"]*)"', "title": r'title="([^"]*)"', "label": r">([^<]+)<"})
 
 
+def _revisions(spark, sf):
+    """One map revision per order, with usable, unreadable, incomplete and skipped entries."""
+    return t.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("revid"),
+        F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T"), F.lpad((F.col("o_custkey") % 24).cast("string"), 2, "0"), F.lit(":00:00Z")).alias("timestamp"),
+        F.expr("CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END").alias("comment"),
+        F.format_string(
+            'return {\n { lat = "%d.25", long = "%d.5", mark = "%s", label = "[[Town %d|T]]" },'
+            '\n { lat = "north", long = "97.1", mark = "Location dot red.svg" }, { lat = "20.5", mark = "Location dot red.svg" },'
+            '\n { lat = "%d.75", long = "95.5", mark = " Dot green 0d0.svg ", label = "Plain" } }',
+            F.col("o_custkey") % 90, F.col("o_orderkey") % 180,
+            F.expr("""element_at(array('Location dot red.svg', 'WhiteDot.svg', 'Location dot green.svg', 'New icon.svg',
+                '80x80-red-blue-anim.gif'), CAST(1 + o_orderkey % 5 AS INT))"""),
+            F.col("o_orderkey"), F.col("o_custkey") % 80,
+        ).alias("content"))
+
+
+@query
+def parse_snapshots(spark, sf):
+    return label_plans.parse_snapshots(_revisions(spark, sf))
+
+
+@query
+def revision_records(spark, sf):
+    """JSON documents with two revisions each, one of them without a comment."""
+    documents = t.table(spark, sf, "orders").select(F.format_string(
+        '{"query": {"pages": [{"revisions": [{"revid": %d, "timestamp": "t%d", "comment": "%s"}, {"revid": -%d, "timestamp": "u"}]}]}}',
+        "o_orderkey", F.col("o_orderkey") % 7, "o_orderpriority", "o_orderkey").alias("value"))
+    return label_plans.revisions_from_json(documents)
+
+
 @query
 def majority_vote(spark, sf):
     return votes.majority_vote(label_plans.place_points(t.points(spark, sf)))
@@ -466,6 +497,26 @@ def labelled_features(spark, sf):
     return models.labelled_features(t.target(spark, sf), t.panel(spark, sf), columns)
 
 
+@query
+def training_weights(spark, sf):
+    """Class weight inside the focal region, 0 outside."""
+    rows = t.stored_target(spark, sf)
+    rare = rows.withColumn("target", F.when(F.col(CELL) % 11 == 0, F.col("target")).otherwise("gov"))
+    focal = grid_ops.focal_cells(rare, grid_ops.grid_layout(t.feature_cells(spark, sf)), 1, fit=baselines.is_train(t.CUTOFF))
+    weights = baselines.class_weights(rows, baselines.is_train(t.CUTOFF))
+    return rounded(models.training_weights(rows.select(*KEY, "target"), weights, focal))
+
+
+@query
+def softmax_scores(spark, sf):
+    """Class probabilities from raw scores, with the winner and its probability."""
+    scores = [F.col("l_quantity") / 10, F.col("l_discount") * 100, F.col("l_tax") * 50]
+    shares = values.softmax(scores)
+    return rounded(t.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", *[p.alias(f"prob_{c}") for p, c in zip(shares, CLASSES)],
+        values.top_class(scores, CLASSES).alias("pred_class"), F.greatest(*shares).alias("confidence")))
+
+
 # --- evaluation ---------------------------------------------------------------------------
 
 

@@ -1,15 +1,16 @@
 """Bootstrap intervals for F1, AUC and average precision.
 
 Every draw is a hash of (seed, replicate, position), so replicates need no shared state and a lost
-executor recomputes the same sample. Replicates share one score order: the rows are placed in score
-ranges once, and each replicate only adds up counts inside those ranges.
+executor recomputes the same sample. Replicates share one score order: the distinct scores are
+numbered once, and each replicate only adds up counts along those numbers, block by block when
+there are many.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from celltide.functions.values import hash_number
 from celltide.operators import running
@@ -18,6 +19,7 @@ from celltide.operators.evaluation import pair_counts, _class_parts
 from celltide.runtime import checkpoint
 from celltide.schemas import CLASSES, KEY
 
+LEVELS_PER_BLOCK = 1 << 16
 POINT = -1  # number of the pseudo-replicate that holds every row once
 
 
@@ -25,49 +27,61 @@ def draw_rows(rows: DataFrame, n_boot: int, seed: int, index: str = "row_index")
     """Replicates 0..n_boot-1 of as many draws as rows, plus the rows themselves as replicate -1.
 
     ``rows`` carries consecutive numbers from 0. Draws spread evenly over the row numbers, so the
-    join has no hot key.
+    join that follows has no hot key. The rows are spread first, since each becomes n_boot draws.
     """
     size = rows.agg(F.count("*").alias("n")).scalar()
+    spread = rows.select(index).repartition(running.partitions(rows), index)
     draws = (
-        rows.select(F.col(index).alias("_at")).withColumn("_n", size)
+        spread.select(F.col(index).alias("_at")).withColumn("_n", size)
         .withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
         .select("replicate", F.pmod(hash_number(F.lit(seed), F.col("replicate"), F.col("_at")), F.col("_n")).alias(index))
-        .groupBy("replicate", index).agg(F.count("*").alias("times"))
     )
-    whole = rows.select(F.lit(POINT).alias("replicate"), F.col(index), F.lit(1).cast("long").alias("times"))
-    return draws.unionByName(whole)
+    return draws.unionByName(rows.select(F.lit(POINT).alias("replicate"), index))
+
+
+def _score_levels(numbered: DataFrame, scores: Mapping[str, str]) -> tuple[DataFrame, int]:
+    """Rows with the level of each class's score, and the number of levels.
+
+    Levels number the distinct (class, score) pairs, classes in order and scores falling, so one
+    number stands for both, and a run of numbers is a range of scores.
+    """
+    long = numbered.select("row_index", F.posexplode(F.array(*[F.col(s).cast("double") for s in scores.values()])).alias("class_no", "score"))
+    levels = checkpoint(running.number_rows(
+        long.select("class_no", "score").distinct(), [F.col("class_no"), F.desc("score")], "level"))
+    per_row = long.join(levels, ["class_no", "score"]).groupBy("row_index").agg(*[
+        F.max(F.when(F.col("class_no") == k, F.col("level"))).alias(f"level_{k}") for k in range(len(scores))])
+    return checkpoint(numbered.select("row_index", "true_class", "pred_class").join(per_row, "row_index")), levels.count()
 
 
 def replicate_metrics(
     rows: DataFrame, n_boot: int = 1000, seed: int = 42, scores: Mapping[str, str] = SCORES,
-    order: Sequence[str] = KEY,
+    order: Sequence[str] = KEY, block: int = LEVELS_PER_BLOCK,
 ) -> DataFrame:
     """F1, AUC and AP per replicate and class, with class 'macro' as the mean of the defined ones."""
     slim = rows.select(*order, "true_class", "pred_class", *scores.values())
     numbered = checkpoint(running.number_rows(slim, [F.col(c) for c in order]))
-    draws = draw_rows(numbered, n_boot, seed)
-
-    joined = draws.join(numbered, "row_index")
-    pairs = joined.groupBy("replicate").agg(*[
-        F.coalesce(F.sum(F.when((F.col("true_class") == t) & (F.col("pred_class") == p), F.col("times"))), F.lit(0)).alias(f"n_{t}_{p}")
-        for t in CLASSES for p in CLASSES
-    ])
-    f1 = pairs.select("replicate", F.inline(F.array(*[
+    levelled, n_levels = _score_levels(numbered, scores)
+    names = list(scores)
+    joined = draw_rows(levelled, n_boot, seed).join(levelled, "row_index")
+
+    f1 = pair_counts(joined, ["replicate"]).select("replicate", F.inline(F.array(*[
         F.struct(F.lit(c).alias("class"), _class_parts(c, CLASSES)["f1"].alias("f1"), _class_parts(c, CLASSES)["support"].alias("n"))
         for c in CLASSES])))
 
-    # Score ranges, shared by all replicates.
-    long = numbered.select("row_index", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("class"), F.col(s).alias("score"), (F.col("true_class") == c).alias("hit"))
-        for c, s in scores.items()])))
-    levels = running.place(long.select("class", "score").distinct(), ["class"], [F.desc("score")])
-    ranged = long.join(levels, ["class", "score"])
-    counts = draws.join(ranged, "row_index").groupBy("replicate", "class", running.PART, "score").agg(
-        F.coalesce(F.sum(F.when(F.col("hit"), F.col("times"))), F.lit(0)).alias("pos"),
-        F.coalesce(F.sum(F.when(~F.col("hit"), F.col("times"))), F.lit(0)).alias("neg"))
-    cumulative = running.totals_of_placed(
-        counts, ["replicate", "class"], [F.desc("score")], {"cum_pos": "pos", "cum_neg": "neg"})
-    areas = cumulative.groupBy("replicate", "class").agg(*area_terms()).select("replicate", "class", "auc", "ap")
+    hits = F.inline(F.array(*[
+        F.struct(F.lit(k).alias("class_no"), F.col(f"level_{k}").alias("level"), (F.col("true_class") == c).alias("hit"))
+        for k, c in enumerate(names)]))
+    counts = joined.select("replicate", hits).groupBy("replicate", "class_no", "level").agg(
+        F.count_if("hit").alias("pos"), F.count_if(~F.col("hit")).alias("neg"))
+    keys, sums = ["replicate", "class_no"], {"cum_pos": "pos", "cum_neg": "neg"}
+    if n_levels <= block:  # a replicate's class has no more rows than levels
+        falling = Window.partitionBy(*keys).orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
+        cumulative = counts.withColumns({name: F.sum(c).over(falling) for name, c in sums.items()})
+    else:
+        placed = counts.withColumn(running.PART, F.floor(F.col("level") / block))
+        cumulative = running.totals_of_placed(placed, keys, [F.col("level")], sums)
+    areas = cumulative.groupBy(*keys).agg(*area_terms()).select(
+        "replicate", F.element_at(F.array(*[F.lit(c) for c in names]), F.col("class_no") + 1).alias("class"), "auc", "ap")
 
     per_class = f1.join(areas, ["replicate", "class"], "left")
     macro = per_class.groupBy("replicate").agg(

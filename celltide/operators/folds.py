@@ -3,25 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from celltide.functions import grid
+from celltide.runtime import checkpoint
 from celltide.schemas import CELL, CLASSES
 
 
 def geo_blocks(cells: DataFrame, k: int = 10, seed: int = 42, restarts: int = 20) -> DataFrame:
-    """k-means on cell centroids; of ``restarts`` seeded runs the one with the lowest cost is kept."""
+    """k-means on cell centroids; of ``restarts`` seeded runs the one with the lowest cost is kept.
+
+    The runs are independent jobs on the same cached points, so several are submitted at a time.
+    """
+    from pyspark import inheritable_thread_target
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
     c = F.col(CELL)
-    points = cells.select(CELL).distinct().withColumns({"lat": grid.centroid_lat(c), "lon": grid.centroid_lon(c)})
+    points = checkpoint(
+        cells.select(CELL).distinct().withColumns({"lat": grid.centroid_lat(c), "lon": grid.centroid_lon(c)}))
     data = VectorAssembler(inputCols=["lat", "lon"], outputCol="features").transform(points).persist()
+    fit = inheritable_thread_target(cells.sparkSession)(
+        lambda i: KMeans(k=k, seed=seed + i, initSteps=2, maxIter=100).fit(data))
     try:
-        best = min(
-            (KMeans(k=k, seed=seed + i, initSteps=5, maxIter=100).fit(data) for i in range(restarts)),
-            key=lambda model: model.summary.trainingCost)
+        with ThreadPoolExecutor(max_workers=8) as pool:
+            best = min(pool.map(fit, range(restarts)), key=lambda model: model.summary.trainingCost)
     finally:
         data.unpersist()
     return best.transform(data).select(CELL, "lat", "lon", F.col("prediction").cast("long").alias("block"))

@@ -17,11 +17,13 @@ from celltide.runtime import checkpoint
 PART = "_part"
 
 
+def partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def place(df: DataFrame, groups: Sequence[str], order: Sequence[Column], parts: int | None = None) -> DataFrame:
     """Rows with the number of the range partition they fall in; numbers rise along the order."""
-    if parts is None:
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *[F.col(g) for g in groups], *order)
+    ranged = df.repartitionByRange(parts or partitions(df), *[F.col(g) for g in groups], *order)
     return checkpoint(ranged.withColumn(PART, F.spark_partition_id()))
 
 
