@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from celltide.functions import dates, grid
 from celltide.functions.values import top_class
@@ -39,8 +40,15 @@ LAT = "9.5D + (c_custkey * 7919 % 1900) / 100.0D"
 LON = "92.0D + (c_custkey * 104729 % 950) / 100.0D"
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given tables; its footer is read for the schema only the first time."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _placed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,30 +21,31 @@ def by_time():
 
 def aggregate_cell_period(
     events: DataFrame, sums: Mapping[str, str], distinct: Mapping[str, str] = {},
-    firsts: Sequence[str] = (), order: str = "date_start", count: str = "total_events",
-    keys: Sequence[str] = KEY,
+    firsts: Sequence[str] = (), date: str = "date_start", count: str = "total_events",
 ) -> DataFrame:
-    """Counts, sums, distinct counts and earliest non-null values per cell and month.
+    """Counts, sums, distinct counts and earliest non-null values per cell and month of ``date``.
 
     Aggregated twice: first by key plus every text column, where all buffers have a fixed width
     (hash aggregation, combined before the shuffle), then by key alone on the reduced rows. A cell
     holding a third of all events therefore crosses the network as its few distinct combinations.
+    Months stay dates until the end, which is cheaper to compute and to shuffle than their text.
     """
     texts = [*dict.fromkeys([*distinct.values(), *firsts])]
-    known = events.filter(" AND ".join(f"{k} IS NOT NULL" for k in keys))
-    fine = known.groupBy(*keys, *texts).agg(
+    dated = events.filter(F.col(CELL).isNotNull() & F.col(date).isNotNull())
+    fine = dated.withColumn("_month", F.trunc(date, "month")).groupBy(CELL, "_month", *texts).agg(
         F.count("*").alias("_n"),
         *[F.sum(c).alias(f"_sum_{name}") for name, c in sums.items()],
-        *([F.min(order).alias("_order")] if firsts else []),
+        *([F.min(date).alias("_first")] if firsts else []),
     )
     def earliest(c: str) -> Column:
-        return F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("_order", c)))
-    return fine.groupBy(*keys).agg(
+        return F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("_first", c)))
+    monthly = fine.groupBy(CELL, "_month").agg(
         F.sum("_n").alias(count),
         *[F.coalesce(F.sum(f"_sum_{name}"), F.lit(0)).alias(name) for name in sums],
         *[F.count_distinct(c).alias(name) for name, c in distinct.items()],
         *[earliest(c).alias(c) for c in firsts],
     )
+    return monthly.select(CELL, dates.month_of(F.col("_month")).alias(PERIOD), *[c for c in monthly.columns if c not in (CELL, "_month")])
 
 
 def observed_periods(df: DataFrame, since: str | None = None) -> Column:

@@ -41,12 +41,19 @@ def precision_report(df: DataFrame, column: str, maximum: int) -> DataFrame:
 
 
 def overview(df: DataFrame, distinct: Mapping[str, str], sums: Mapping[str, str], time: str) -> DataFrame:
-    """One row: rows, distinct counts, sums and the covered time span."""
-    return df.agg(
-        F.count("*").alias("n_rows"),
+    """One row: rows, distinct counts, sums and the covered time span.
+
+    Rows are first combined per distinct key, so the distinct counts see few rows and no row of the
+    input is multiplied. Meant for keys with few combinations, such as cell and month.
+    """
+    per_key = df.groupBy(*distinct.values()).agg(
+        F.count("*").alias("_n"), *[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()],
+        F.min(time).alias("_first"), F.max(time).alias("_last"))
+    return per_key.agg(
+        F.sum("_n").alias("n_rows"),
         *[F.count_distinct(c).alias(n) for n, c in distinct.items()],
-        *[F.sum(c).alias(n) for n, c in sums.items()],
-        F.min(time).alias("first"), F.max(time).alias("last"),
+        *[F.sum(f"_s_{n}").alias(n) for n in sums],
+        F.min("_first").alias("first"), F.max("_last").alias("last"),
     )
 
 

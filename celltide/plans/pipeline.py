@@ -1,0 +1,100 @@
+"""The whole chain from raw files to evaluated predictions.
+
+Every stage writes its result as parquet and the next one reads it, so a stage can be rerun alone
+and a lost executor never costs more than the stage at hand. Stored tables from the panel on are
+bounded by cells times months.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from celltide import fixed_values as fixed, schemas
+from celltide.operators import baselines, evaluation
+from celltide.operators.actors import ActorRule
+from celltide.operators.grid import valid_cells
+from celltide.operators.keys import require_aligned, unmatched_keys
+from celltide.operators.panel import observed_periods
+from celltide.plans import events as event_plans, labels as label_plans, panel as panel_plans, target as target_plans
+from celltide.schemas import CELL, PERIOD
+from celltide.sources.readers import Source
+from celltide.sources.writers import write_panel
+
+
+@dataclass
+class Pipeline:
+    """Inputs and settings; each method is one stage and returns the stored table."""
+
+    spark: SparkSession
+    output: str
+    sources: Sequence[Source]
+    taxonomy: DataFrame
+    revisions: DataFrame
+    signals: DataFrame
+    rules: Sequence[ActorRule]
+    keep: Column | None = None
+    static: DataFrame | None = None
+    yearly: DataFrame | None = None
+    actors: Mapping[str, str] = field(default_factory=lambda: fixed.TRACKED_ACTORS)
+    events_since: str = fixed.EVENTS_SINCE
+    labels_since: str = fixed.LABELS_SINCE
+    cutoff: str = fixed.TRAIN_CUTOFF
+    seed: int = 42
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.output}/{name}")
+
+    def _store(self, df: DataFrame, name: str) -> DataFrame:
+        write_panel(df, f"{self.output}/{name}")
+        return self.read(name)
+
+    def events(self) -> DataFrame:
+        merged = event_plans.merge_sources(self.spark, self.sources, self.keep)
+        return self._store(event_plans.label_events(merged, self.taxonomy, self.events_since), "events")
+
+    def unmatched_actors(self) -> DataFrame:
+        return unmatched_keys(self.read("events"), self.taxonomy, "ucdp_name", ["side_a", "side_b"])
+
+    def features(self) -> DataFrame:
+        panel = self._store(panel_plans.build_panel(self.read("events"), self.actors), "panel")
+        static = None if self.static is None else panel_plans.static_covariates(self.static, panel)
+        yearly = None if self.yearly is None else panel_plans.yearly_covariates(self.yearly, panel)
+        return self._store(panel_plans.build_feature_store(panel, static, yearly), "features")
+
+    def labels(self) -> DataFrame:
+        points = self._store(label_plans.parse_snapshots(self.revisions), "points")
+        months = observed_periods(self.read("panel"), self.labels_since)
+        return self._store(label_plans.labels_to_panel(points, months), "labels")
+
+    def target(self) -> DataFrame:
+        signals = self._store(target_plans.signals_to_panel(self.signals, self.rules, since=self.events_since), "signals")
+        stored = self._store(target_plans.build_target(self.read("labels"), signals), "target")
+        target_plans.require_sound(stored)
+        return stored
+
+    def baselines(self) -> DataFrame:
+        target = self.read("target")
+        valid = self._store(valid_cells(self.read("features"), target), "valid_cells")
+        models = {
+            "no_change": baselines.predict_no_change(target, valid, self.cutoff),
+            "random_proportion": baselines.predict_random(target, valid, self.cutoff, self.seed),
+        }
+        for name, df in models.items():
+            write_panel(df.withColumn("model", F.lit(name)), f"{self.output}/predictions/run={name}")
+        return self.read("predictions").drop("run")
+
+    def add_predictions(self, name: str, predictions: DataFrame) -> None:
+        """Store a model's predictions beside the baselines, after checking that the keys agree."""
+        require_aligned(self.read("predictions").filter("model = 'no_change'"), {name: predictions})
+        write_panel(predictions.withColumn("model", F.lit(name)), f"{self.output}/predictions/run={name}")
+
+    def evaluate(self) -> DataFrame:
+        return self._store(evaluation.model_comparison(self.read("predictions")), "comparison")
+
+    def run(self) -> DataFrame:
+        for stage in (self.events, self.features, self.labels, self.target, self.baselines):
+            stage()
+        return self.evaluate()

@@ -17,12 +17,10 @@ from celltide.schemas import CELL, CLASSES, KEY, PERIOD, SLIM_TARGET_COLUMNS, TA
 
 
 def control_signals(events: DataFrame, types: Sequence[str] = fixed.CONTROL_SIGNAL_TYPES, since: str = fixed.EVENTS_SINCE) -> DataFrame:
-    """Control-signal events since a day, with cell and month."""
+    """Control-signal events since a day, with their cell."""
     flagged = flag_members(events, F.col("sub_event_type"), types, "is_control_signal")
     kept = flagged.filter(F.col("is_control_signal") & (F.col("event_date") >= F.lit(since).cast("date")))
-    return kept.withColumns({
-        PERIOD: dates.month_of(F.col("event_date")), CELL: grid.cell_id(F.col("latitude"), F.col("longitude")),
-    })
+    return kept.withColumn(CELL, grid.cell_id(F.col("latitude"), F.col("longitude")))
 
 
 def signals_to_panel(
@@ -35,18 +33,22 @@ def signals_to_panel(
     pattern runs once per distinct combination and a hot cell is reduced before it is shuffled.
     """
     window = override_window(F.col("event_date"), classify.get("overrides", fixed.TIME_OVERRIDES))
-    located = control_signals(events, types, since).withColumn("_window", window).dropna(subset=KEY)
-    reduced = located.groupBy(*KEY, "actor1", "inter1", "admin1", "_window").agg(
+    located = control_signals(events, types, since).filter(F.col(CELL).isNotNull()).withColumns({
+        "_month": F.trunc("event_date", "month"), "_window": window,
+    })
+    reduced = located.groupBy(CELL, "_month", "actor1", "inter1", "admin1", "_window").agg(
         F.count("*").alias("_n"), F.count("event_id_cnty").alias("_ids"), F.min("event_date").alias("event_date"))
     named = classify_actors(reduced, rules, **classify)
     side = map_values(F.col("side"), sides, "unmapped")
     n = lambda name: F.coalesce(F.sum(F.when(F.col("_side") == name, F.col("_n"))), F.lit(0))
-    counts = named.withColumn("_side", side).groupBy(*KEY).agg(
+    counts = named.withColumn("_side", side).groupBy(CELL, "_month").agg(
         n("gov").alias("n_gov"), n("opo").alias("n_opo"), n("unmapped").alias("n_unmapped"),
         F.sum("_ids").alias("total_ctrl_evs"),
         F.min_by("admin1", F.when(F.col("admin1").isNotNull(), F.struct("event_date", "admin1"))).alias("admin1"),
     )
-    return counts.withColumn("acled_side", dominant_side(F.col("n_gov"), F.col("n_opo")))
+    return counts.select(
+        CELL, dates.month_of(F.col("_month")).alias(PERIOD), "n_gov", "n_opo", "n_unmapped", "total_ctrl_evs", "admin1",
+        dominant_side(F.col("n_gov"), F.col("n_opo")).alias("acled_side"))
 
 
 def agreement(signal: Column, label: Column, default: str) -> Column:

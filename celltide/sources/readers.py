@@ -30,12 +30,12 @@ def scan_columns(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
 
 def align_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Exactly the columns of ``schema``; a missing one is NULL, a value that does not fit is NULL."""
-    present = set(df.columns)
-    return df.select(*[
-        (F.col(f.name).try_cast(f.dataType) if f.name in present else F.lit(None).cast(f.dataType))
-        .alias(f.name)
-        for f in schema.fields
-    ])
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    def fit(f: T.StructField) -> Column:
+        if f.name not in kinds:
+            return F.lit(None).cast(f.dataType)
+        return F.col(f.name) if kinds[f.name] == f.dataType else F.col(f.name).try_cast(f.dataType)
+    return df.select(*[fit(f).alias(f.name) for f in schema.fields])
 
 
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
