@@ -22,8 +22,12 @@ def partitions(df: DataFrame) -> int:
 
 
 def place(df: DataFrame, groups: Sequence[str], order: Sequence[Column], parts: int | None = None) -> DataFrame:
-    """Rows with the number of the range partition they fall in; numbers rise along the order."""
-    ranged = df.repartitionByRange(parts or partitions(df), *[F.col(g) for g in groups], *order)
+    """Rows with the number of the range partition they fall in; numbers rise along the order.
+
+    Without ``parts`` AQE merges neighbouring ranges of little data, which keeps the numbers in order.
+    """
+    by = [*[F.col(g) for g in groups], *order]
+    ranged = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
     return checkpoint(ranged.withColumn(PART, F.spark_partition_id()))
 
 
@@ -45,13 +49,13 @@ def totals_of_placed(
 
 
 def running_totals(
-    df: DataFrame, groups: Sequence[str], order: Sequence[Column], sums: Mapping[str, str],
+    df: DataFrame, groups: Sequence[str], order: Sequence[Column], sums: Mapping[str, str], parts: int | None = None,
 ) -> DataFrame:
     """``sums`` maps output names to the columns summed along the total order ``order``."""
-    return totals_of_placed(place(df, groups, order), groups, order, sums).drop(PART)
+    return totals_of_placed(place(df, groups, order, parts), groups, order, sums).drop(PART)
 
 
-def number_rows(df: DataFrame, order: Sequence[Column], name: str = "row_index") -> DataFrame:
+def number_rows(df: DataFrame, order: Sequence[Column], name: str = "row_index", parts: int | None = None) -> DataFrame:
     """Consecutive numbers from 0 along a total order."""
-    counted = running_totals(df.withColumn("_one", F.lit(1).cast("long")), [], order, {"_number": "_one"})
+    counted = running_totals(df.withColumn("_one", F.lit(1).cast("long")), [], order, {"_number": "_one"}, parts)
     return counted.withColumn(name, F.col("_number") - 1).drop("_one", "_number")

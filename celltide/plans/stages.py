@@ -25,7 +25,7 @@ from celltide.sources.writers import write_panel
 
 
 @dataclass
-class Pipeline:
+class Stages:
     """Inputs and settings; each method is one stage and returns the stored table."""
 
     spark: SparkSession

@@ -132,14 +132,15 @@ def test_trapezoid_of_roc_points_equals_auc(predictions):
     assert area == pytest.approx(auc)
 
 
-def test_running_totals_over_a_hot_score(spark):
+@pytest.mark.parametrize("parts", [None, 7])
+def test_running_totals_over_a_hot_score(spark, parts):
     n = 5000
     df = spark.range(n).select((F.col("id") % 3).alias("g"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"), "id", F.lit(1).cast("long").alias("one"))
-    got = running.running_totals(df, ["g"], [F.desc("k"), F.asc("id")], {"total": "one"}).toPandas()
+    got = running.running_totals(df, ["g"], [F.desc("k"), F.asc("id")], {"total": "one"}, parts).toPandas()
     for _, part in got.groupby("g"):
         part = part.sort_values(["k", "id"], ascending=[False, True])
         assert list(part.total) == list(range(1, len(part) + 1))
-    numbers = running.number_rows(df.select("id"), [F.desc("id")]).toPandas()
+    numbers = running.number_rows(df.select("id"), [F.desc("id")], parts=parts).toPandas()
     assert (numbers.row_index == n - 1 - numbers.id).all()
 
 
@@ -170,6 +171,15 @@ def test_bootstrap_blocks_agree(spark, frame):
     pd.testing.assert_frame_equal(whole.sort_values(order).reset_index(drop=True), split.sort_values(order).reset_index(drop=True))
 
 
+def test_ranges_do_not_change_areas(predictions):
+    counts = curves.score_counts(predictions, ["model"])
+    keys, order, sums = ["model", "class"], [F.desc("score")], {"cum_pos": "pos", "cum_neg": "neg"}
+    split = running.place(counts, keys, order, 9)
+    assert split.select(running.PART).distinct().count() > 3
+    area = lambda df: rows(df.groupBy(*keys).agg(*[c for c in curves.area_terms()]).select(*keys, F.round("auc", 9), F.round("ap", 9)))
+    assert area(running.totals_of_placed(split, keys, order, sums)) == area(running.running_totals(counts, keys, order, sums, 1))
+
+
 def test_format_interval(spark):
     df = spark.createDataFrame([(0.5, 0.25, 0.75), (0.5, None, 0.7), (float("nan"), 0.1, 0.2)], "v double, l double, u double")
     got = [r[0] for r in df.select(bootstrap.format_interval(F.col("v"), F.col("l"), F.col("u"), 2)).collect()]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from celltide import schemas
 from celltide.operators.actors import ActorRule
-from celltide.plans.pipeline import Pipeline
+from celltide.plans.stages import Stages
 from celltide.sources.readers import Source
 from tests.conftest import rows
 
@@ -13,7 +13,7 @@ MONTHS = [f"2024-{m:02d}" for m in range(1, 13)]
 
 
 @pytest.fixture(scope="module")
-def pipeline(spark, tmp_path_factory):
+def stages(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("run")
     lines, n = ["id,date_start,date_end,type_of_violence,dyad_name,side_a,side_b,latitude,longitude,priogrid_gid,country,adm_1,best,deaths_a,deaths_b,deaths_civilians,where_prec"], 0
     for k, month in enumerate(MONTHS):
@@ -32,7 +32,7 @@ def pipeline(spark, tmp_path_factory):
         [("s1", dt.date(2024, 3, 3), "Home", "Government regains territory", "some army", None, "A", 21.6, 95.2),
          ("s2", dt.date(2024, 10, 3), "Home", "Non-violent transfer of territory", "some army", None, "A", 19.6, 97.2)], schemas.SIGNALS)
     taxonomy = spark.createDataFrame([("Gov", "", "State", "State", "military_sac", "Government", "")], schemas.TAXONOMY)
-    done = Pipeline(
+    done = Stages(
         spark, str(folder / "out"), [Source(str(folder / "annual.csv"), "GED"), Source(str(folder / "candidate.csv"), "Candidate")],
         taxonomy, revisions, signals, [ActorRule(("army",), "Pro-junta", "State", "Army")], keep=F.col("country") == "Home",
         labels_since="2024-01", cutoff="2024-06")
@@ -40,30 +40,30 @@ def pipeline(spark, tmp_path_factory):
     return done
 
 
-def test_stages(pipeline):
-    assert pipeline.read("events").count() == 24
-    assert pipeline.read("events").filter("data_source = 'Candidate'").count() == 0
-    assert rows(pipeline.unmatched_actors()) == [("side_b", "Reb")]
-    features = pipeline.read("features")
+def test_stages(stages):
+    assert stages.read("events").count() == 24
+    assert stages.read("events").filter("data_source = 'Candidate'").count() == 0
+    assert rows(stages.unmatched_actors()) == [("side_b", "Reb")]
+    features = stages.read("features")
     assert features.count() == 24 and features.agg(F.min("gov_event_share")).first()[0] == 1.0
-    target = {(r[0], r[1]): (r[2], r[3]) for r in pipeline.read("target").select("priogrid_gid", "year_month", "target", "reason").collect()}
+    target = {(r[0], r[1]): (r[2], r[3]) for r in stages.read("target").select("priogrid_gid", "year_month", "target", "reason").collect()}
     assert len(target) == 24
     assert target[161111, "2024-03"] == ("gov", "wiki_contested_use_acled") and target[161111, "2024-04"] == ("uncertain", "wiki_only")
     assert target[158235, "2024-08"] == ("gov", "wiki_only") and target[158235, "2024-09"] == ("opo", "wiki_only")
     assert target[158235, "2024-10"] == ("gov", "disagree_stable_wiki_use_acled")
 
 
-def test_comparison(pipeline):
-    line = {r["model"]: r for r in pipeline.read("comparison").collect()}
+def test_comparison(stages):
+    line = {r["model"]: r for r in stages.read("comparison").collect()}
     assert set(line) == {"no_change", "random_proportion"}
     assert line["no_change"]["n_val"] == 12
     assert (line["no_change"]["trans_acc"], line["no_change"]["stable_acc"]) == (0.0, 1.0)
     assert line["no_change"]["n_trans"] == 3  # into opo, into gov by a signal, and back
 
 
-def test_added_predictions_must_cover_the_same_keys(pipeline):
-    base = pipeline.read("predictions").filter("model = 'no_change'").select(*schemas.PREDICTION_COLUMNS)
+def test_added_predictions_must_cover_the_same_keys(stages):
+    base = stages.read("predictions").filter("model = 'no_change'").select(*schemas.PREDICTION_COLUMNS)
     with pytest.raises(ValueError, match="mismatch"):
-        pipeline.add_predictions("partial", base.limit(5))
-    pipeline.add_predictions("copy", base)
-    assert pipeline.evaluate().count() == 3
+        stages.add_predictions("partial", base.limit(5))
+    stages.add_predictions("copy", base)
+    assert stages.evaluate().count() == 3
