@@ -826,7 +826,9 @@ def permutation_importance(spark, sf):
 def permuted_column(spark, sf):
     rows = t.stored_target(spark, sf).select(*KEY, "target", "n_gov")
     numbered = checkpoint(running.number_rows(rows, [F.col(k) for k in KEY]))
-    return models.permuted(numbered, "n_gov", t.SEED)
+    shuffled = models.permuted_values(numbered, ["n_gov"], t.SEED)
+    return numbered.drop("n_gov").join(shuffled, "row_index").select(
+        "row_index", *KEY, "target", F.col("shuffled_n_gov").cast("long").alias("n_gov"))
 
 
 # --- summaries ----------------------------------------------------------------------------

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from celltide.functions.values import hash_number
 from celltide.operators import running
 from celltide.operators.curves import SCORES, area_terms
-from celltide.operators.evaluation import pair_counts, _class_parts
+from celltide.operators.evaluation import pair_counts, class_parts
 from celltide.runtime import checkpoint
 from celltide.schemas import CLASSES, KEY
 
@@ -65,7 +65,7 @@ def replicate_metrics(
     joined = draw_rows(levelled, n_boot, seed).join(levelled, "row_index")
 
     f1 = pair_counts(joined, ["replicate"]).select("replicate", F.inline(F.array(*[
-        F.struct(F.lit(c).alias("class"), _class_parts(c, CLASSES)["f1"].alias("f1"), _class_parts(c, CLASSES)["support"].alias("n"))
+        F.struct(F.lit(c).alias("class"), class_parts(c, CLASSES)["f1"].alias("f1"), class_parts(c, CLASSES)["support"].alias("n"))
         for c in CLASSES])))
 
     hits = F.inline(F.array(*[

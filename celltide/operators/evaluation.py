@@ -34,7 +34,7 @@ def pair_counts(df: DataFrame, groups: Sequence[str] = (), classes: Sequence[str
     return df.groupBy(*groups).agg(*pairs)
 
 
-def _class_parts(c: str, classes: Sequence[str]) -> dict[str, Column]:
+def class_parts(c: str, classes: Sequence[str]) -> dict[str, Column]:
     hit = F.col(_pair(c, c))
     support = _sum([F.col(_pair(c, p)) for p in classes])
     predicted = _sum([F.col(_pair(t, c)) for t in classes])
@@ -58,7 +58,7 @@ def _accuracy(classes: Sequence[str]) -> Column:
 
 def _macro(part: str, average_over: str, classes: Sequence[str]) -> Column:
     """Mean over 'all' classes, or over those 'present' in truth or prediction."""
-    parts = [_class_parts(c, classes) for c in classes]
+    parts = [class_parts(c, classes) for c in classes]
     if average_over == "all":
         return _sum([p[part] for p in parts]) / F.lit(float(len(classes)))
     if average_over == "present":
@@ -80,7 +80,7 @@ def f1_summary(
     return pair_counts(df, groups, classes).select(
         *groups, _total(classes).alias("n"), rounded(_accuracy(classes)).alias("accuracy"),
         rounded(_macro("f1", average_over, classes)).alias("macro_f1"),
-        *[rounded(_class_parts(c, classes)["f1"]).alias(f"{short_name(c)}_f1") for c in classes],
+        *[rounded(class_parts(c, classes)["f1"]).alias(f"{short_name(c)}_f1") for c in classes],
     )
 
 
@@ -107,7 +107,7 @@ def misclassifications(df: DataFrame, groups: Sequence[str] = (), classes: Seque
 
 def classification_report(df: DataFrame, groups: Sequence[str] = (), classes: Sequence[str] = CLASSES) -> DataFrame:
     """Precision, recall, F1 and support per class, plus macro and weighted averages."""
-    parts = {c: _class_parts(c, classes) for c in classes}
+    parts = {c: class_parts(c, classes) for c in classes}
     total = _total(classes)
     def row(name: str, values: dict[str, Column], support: Column) -> Column:
         return F.struct(
@@ -217,7 +217,7 @@ def model_comparison(df: DataFrame, groups: Sequence[str] = ("model",), digits:
     return counted.select(
         *groups, _total(CLASSES).alias("n_val"), rounded(_accuracy(CLASSES)).alias("accuracy"),
         rounded(_macro("f1", "all", CLASSES)).alias("macro_f1"),
-        *[rounded(_class_parts(c, CLASSES)["f1"]).alias(f"{short_name(c)}_f1") for c in CLASSES],
+        *[rounded(class_parts(c, CLASSES)["f1"]).alias(f"{short_name(c)}_f1") for c in CLASSES],
         rounded(F.col("_moved_hit") / F.greatest("n_trans", F.lit(1))).alias("trans_acc"),
         rounded(F.col("_stable_hit") / F.greatest("n_stable", F.lit(1))).alias("stable_acc"),
         "n_trans", "n_stable",

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -15,7 +18,7 @@ from celltide.operators.baselines import is_train, standardize, to_contract
 from celltide.operators.curves import macro_areas, ranking_areas
 from celltide.operators.evaluation import f1_summary, fold_differences, transition_keys, validation_rows
 from celltide.operators.folds import fold_class_weights
-from celltide.operators.running import number_rows
+from celltide.operators.running import number_rows, running_totals
 from celltide.runtime import checkpoint
 from celltide.schemas import CELL, CLASSES, CLASS_CODES, KEY
 
@@ -71,23 +74,22 @@ def spatial_validation(
 ) -> DataFrame:
     """Predictions of the validation months by fold and role; each fold trains without its holdout cells.
 
-    The loop only submits one distributed fit per fold.
+    The fits are independent distributed jobs, so several are submitted at a time.
     """
     data = checkpoint(standardize(rows, columns, is_train(cutoff)))
     weights = fold_class_weights(data, roles, is_train(cutoff))
-    parts = []
-    for fold in range(n_folds):
+
+    def predict(fold: int) -> DataFrame:
         in_fold = roles.filter(F.col("fold") == fold).select(CELL, "role")
-        tagged = data.join(in_fold, CELL)
-        train = tagged.filter(is_train(cutoff) & (F.col("role") == "training")).drop("role")
+        train = data.filter(is_train(cutoff)).join(in_fold.filter("role = 'training'"), CELL, "left_semi")
         fitted = train_classifier(
             training_weights(train, weights.filter(F.col("fold") == fold), focal), columns, algorithm)
         scored = validation_rows(score(fitted, data, cutoff))
-        parts.append(scored.join(in_fold, CELL).withColumn("fold", F.lit(fold).cast("long")))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+        return scored.join(in_fold, CELL).withColumn("fold", F.lit(fold).cast("long"))
+
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        parts = list(pool.map(inheritable_thread_target(rows.sparkSession)(predict), range(n_folds)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def spatial_scores(predictions: DataFrame) -> DataFrame:
@@ -126,25 +128,32 @@ def ablation(
     return result
 
 
-def permuted(numbered: DataFrame, column: str, seed: int) -> DataFrame:
-    """The rows with one column shuffled: row i takes the value of the row with hash rank i."""
-    donors = number_rows(
-        numbered.select(*KEY, column), [hash_number(F.lit(seed), F.lit(column), *[F.col(k) for k in KEY]), *[F.col(k) for k in KEY]])
-    return numbered.drop(column).join(donors.select("row_index", column), "row_index")
+def permuted_values(numbered: DataFrame, columns: Sequence[str], seed: int) -> DataFrame:
+    """Each column shuffled on its own: row i gets the value of the row with hash rank i.
+
+    All columns are ranked in one pass, as one long table ordered by hash within each column.
+    """
+    long = numbered.select(*KEY, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])))
+    order = [hash_number(F.lit(seed), F.col("feature"), *[F.col(k) for k in KEY]), *[F.col(k) for k in KEY]]
+    ranked = running_totals(long.withColumn("_one", F.lit(1).cast("long")), ["feature"], order, {"_number": "_one"})
+    return ranked.groupBy((F.col("_number") - 1).alias("row_index")).agg(*[
+        F.max(F.when(F.col("feature") == c, F.col("value"))).alias(f"shuffled_{c}") for c in columns])
 
 
 def permutation_importance(
     model: PipelineModel, rows: DataFrame, columns: Sequence[str], cutoff: str, seed: int = 42,
 ) -> DataFrame:
     """Macro F1 before, and its drop after, shuffling each feature over the validation rows."""
-    validation = rows.filter(~is_train(cutoff))
+    validation = rows.filter(~is_train(cutoff)).select(*KEY, "target", *columns)
     numbered = checkpoint(number_rows(validation, [F.col(k) for k in KEY]))
-    scored = score(model, numbered, cutoff).withColumn("feature", F.lit(""))
+    wide = checkpoint(numbered.join(permuted_values(numbered, columns, seed), "row_index"))
+    scored = score(model, wide, cutoff).withColumn("feature", F.lit(""))
     for column in columns:
-        scored = scored.unionByName(
-            score(model, permuted(numbered, column, seed), cutoff).withColumn("feature", F.lit(column)))
+        shuffled = wide.withColumn(column, F.col(f"shuffled_{column}"))
+        scored = scored.unionByName(score(model, shuffled, cutoff).withColumn("feature", F.lit(column)))
     table = checkpoint(f1_summary(scored, ["feature"], digits=None).select("feature", "macro_f1"))
     base = table.filter("feature = ''").agg(F.max("macro_f1").alias("b")).scalar()
+    drop = F.col("baseline_f1") - F.col("macro_f1")
     return table.filter("feature <> ''").withColumn("baseline_f1", base).select(
-        "feature", "baseline_f1", (F.col("baseline_f1") - F.col("macro_f1")).alias("f1_drop"),
-        (F.lit(100.0) * (F.col("baseline_f1") - F.col("macro_f1")) / F.col("baseline_f1")).alias("f1_drop_pct"))
+        "feature", "baseline_f1", drop.alias("f1_drop"), (F.lit(100.0) * drop / F.col("baseline_f1")).alias("f1_drop_pct"))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from celltide import fixed_values as fixed, schemas
@@ -59,14 +60,31 @@ class Source:
     label: str
 
 
+def missing_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """The paths that do not exist. Nothing is read."""
+    missing = []
+    for path in paths:
+        try:
+            spark.read.format("binaryFile").load(path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            missing.append(path)
+    return missing
+
+
 def union_sources(
     spark: SparkSession, sources: Sequence[Source], schema: T.StructType = schemas.EVENTS,
     keep: Column | None = None, label_column: str = "data_source",
 ) -> DataFrame:
     """All sources aligned to one schema, filtered at their scans and labelled with their origin.
 
-    Every path is resolved before anything is read, so a missing file is reported at once.
+    All paths are checked first, and every missing one is named.
     """
+    missing = missing_paths(spark, [s.data for s in sources if isinstance(s.data, str)])
+    if missing:
+        raise FileNotFoundError(f"missing source files: {missing}")
+
     def load(source: Source) -> DataFrame:
         if isinstance(source.data, DataFrame):
             return align_schema(source.data, schema)

@@ -38,8 +38,9 @@ def test_union_filters_and_labels(spark, csv_files):
 
 
 def test_missing_source_is_an_error(spark, csv_files):
-    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
-        readers.union_sources(spark, [readers.Source(csv_files[0], "A"), readers.Source("/nowhere/x.csv", "B")])
+    lost = [readers.Source("/nowhere/x.csv", "B"), readers.Source("/nowhere/y.parquet", "C")]
+    with pytest.raises(FileNotFoundError, match="x.csv.*y.parquet"):
+        readers.union_sources(spark, [readers.Source(csv_files[0], "A"), *lost])
 
 
 def test_merge_keeps_label_that_sorts_last(spark, csv_files):
