@@ -787,6 +787,37 @@ def geo_blocks(spark, sf):
     return folds.geo_blocks(t.feature_cells(spark, sf), k=10, restarts=20)
 
 
+@query
+def geo_block_cover(spark, sf):
+    """Every cell in exactly one of the ten blocks."""
+    blocks = folds.geo_blocks(t.feature_cells(spark, sf), k=10, restarts=5)
+    return blocks.agg(
+        F.count("*").alias("n_rows"), F.count_distinct(CELL).alias("n_cells"), F.count_distinct("block").alias("n_blocks"))
+
+
+@query
+def classifier_contract(spark, sf):
+    """Scored rows by part, and rows that break a rule of the prediction contract."""
+    rows, columns = _model_rows(spark, sf)
+    data, model = _fitted(rows, columns)
+    shares = [F.col(f"prob_{c}") for c in CLASSES]
+    scored = models.score(model, data, t.CUTOFF)
+    return scored.groupBy("is_train_month", "true_class").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.abs(shares[0] + shares[1] + shares[2] - 1) > 1e-9).alias("bad_sums"),
+        F.count_if(F.col("confidence") != F.greatest(*shares)).alias("bad_confidence"),
+        F.count_if(F.col("pred_class") != values.top_class(shares, CLASSES)).alias("bad_class"))
+
+
+@query
+def spatial_cv_rows(spark, sf):
+    """Validation rows that each fold scores, by role and true class."""
+    rows, columns = _model_rows(spark, sf)
+    roles = checkpoint(folds.fold_roles(folds.assign_folds(t.blocks(rows))))
+    scored = models.spatial_validation(rows, columns, roles, t.CUTOFF)
+    return scored.groupBy("fold", "role", "true_class").agg(F.count("*").alias("n"), F.count_distinct(CELL).alias("n_cells"))
+
+
 @query
 def classifier_scores(spark, sf):
     rows, columns = _model_rows(spark, sf)

@@ -10,9 +10,12 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_panel(df: DataFrame, path: str, by_period: bool = False) -> None:
-    """Parquet; with ``by_period`` each month is its own folder, holding few and large files."""
+    """Parquet; with ``by_period`` each month is its own folder, holding few and large files.
+
+    The rebalance hint gathers a month's rows and lets AQE split a month that is much too large.
+    """
     if by_period:
-        df.repartition(PERIOD).write.mode("overwrite").partitionBy(PERIOD).parquet(path)
+        df.hint("rebalance", F.col(PERIOD)).write.mode("overwrite").partitionBy(PERIOD).parquet(path)
     else:
         df.write.mode("overwrite").parquet(path)
 
