@@ -41,8 +41,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def _sources(spark, sf):
     """Three labelled event sources; one of them lacks a column."""
-    every = t.events(spark, sf)
-    parts = {name: every.filter(F.col("data_source") == name).drop("data_source") for name in ("src_A", "src_N", "src_R")}
+    parts = {f"src_{flag}": t.events(spark, sf, flag).drop("data_source") for flag in "ANR"}
     parts["src_N"] = parts["src_N"].drop("deaths_b")
     return [readers.Source(df, name) for name, df in parts.items()]
 

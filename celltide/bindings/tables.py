@@ -59,9 +59,13 @@ def _placed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-sided events: one per line item, between the customer's and the supplier's nation."""
+def events(spark: SparkSession, sf_dir: str, flag: str | None = None) -> DataFrame:
+    """Two-sided events: one per line item, between the customer's and the supplier's nation.
+
+    ``flag`` keeps one return flag, filtered at the scan, as the events of one source.
+    """
     line, orders = table(spark, sf_dir, "lineitem"), _placed_orders(spark, sf_dir)
+    line = line if flag is None else line.filter(F.col("l_returnflag") == flag)
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     buyer = nation.join(region, nation.n_regionkey == region.r_regionkey).select(
         F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("side_a"), F.col("r_name").alias("_region"))
