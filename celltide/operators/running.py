@@ -1,7 +1,7 @@
 """Exact running totals and row numbers over one global order, without a single-task sort.
 
 Rows are range-partitioned by the order and each keeps the number of its partition; the placed
-rows are checkpointed, because a re-sampled range after a lost executor could move rows between
+rows are stored, because a re-sampled range after a lost executor could move rows between
 partitions. Totals per partition are few (partitions x groups), so their prefix sums are cheap,
 and each row adds its partition's offset to a total computed inside its partition.
 """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,28 +18,36 @@ def local_session(cores: int | str = 8, name: str = "celltide") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", os.environ.get("CELLTIDE_DRIVER_MEMORY", "16g"))
         .config("spark.ui.enabled", "false")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder named in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local session without that setting gets a temporary folder; elsewhere a missing
-    setting is an error, since a machine-local folder dies with its machine.
+    Only a local session without that setting gets a temporary folder; elsewhere a missing setting
+    is an error, since a machine-local folder dies with its machine.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="celltide-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="celltide-checkpoint-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return folder
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage, as a parquet table in the shared checkpoint folder.
+
+    Later reads take only the columns and row groups they need, and the known size lets Spark choose
+    joins well. Tables of one application share a folder, which can be removed after it ends.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/celltide-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def rows_at_most(df: DataFrame, limit: int) -> bool:
