@@ -140,6 +140,12 @@ def mix(
     return joined.drop("_id", "_source", "_size")
 
 
+def repeated(mixed: DataFrame) -> DataFrame:
+    """The mix itself: each row as often as it is taken, without the columns that ``mix`` added."""
+    taken = mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return taken.drop("_copy", "size", "source_size", "target", "copies")
+
+
 def _decide(units: DataFrame, per_source: DataFrame, seed: str) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) per unit."""
     of = per_source.withColumnRenamed("source", "_source")
