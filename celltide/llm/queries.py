@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from celltide.llm import bpe, mixing
+from celltide.llm import bpe, chosen_path, line_spread, mixing, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -34,8 +34,28 @@ def op3_cube_mixing(spark, sf_dir):
     )
 
 
+@query
+def op6_line_spread(spark, sf_dir):
+    cleaned = line_spread.remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query
 def op8_merge_replay(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = bpe.encode_texts(docs, public_tokenizers.path(RANKS_FILE), public_tokenizers.PATTERN, ids=False)
     return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query
+def op9_pattern_grammar(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query
+def op10_chosen_path(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chosen_path.classify(docs, size=4, similarity=0.8).select("doc_id", "n_shingles", "component_id", "kept")
