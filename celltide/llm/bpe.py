@@ -17,6 +17,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -35,101 +36,126 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in pairs}
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
-    """The ids of each word, by replaying all merges in rank order over all words together.
+class Merges:
+    """Lookup tables of a vocabulary: which two tokens join to which, by their ranks."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.span = ranks, max(ranks.values(), default=0) + 1
+        self.joined: dict[int, int] = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if a is not None and b is not None:
+                    self.joined[a * self.span + b] = rank
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        self.two_bytes = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], dtype=np.int32)
+
+
+def _ints(values: np.ndarray) -> array:
+    out = array("i")
+    out.frombytes(values.astype(np.int32).tobytes())
+    return out
 
-    ``token`` holds the symbols of all words one after the other (None once merged into its left
-    neighbour), ``before`` and ``after`` chain the living ones and break at word ends, and ``index`` maps a rank to the
-    positions whose symbol and successor join to the token of that rank. Ranks come off a heap, smallest
-    first, and positions in ascending order, which is leftmost first within each word. Where a merge opens
-    a still smaller rank inside its word, the rest of that word waits until that one is done.
-    """
-    token: list[bytes | None] = []
-    before, after, word_of = array("q"), array("q"), array("q")
-    starts: list[int] = []
-    done: dict[int, list[int]] = {}
-    single = [bytes([b]) for b in range(256)]
-    for w, word in enumerate(words):
-        if word in ranks:  # a word that is a token itself needs no replay
-            done[w] = [ranks[word]]
-            starts.append(-1)
-            continue
-        first = len(token)
-        starts.append(first)
-        token += [single[b] for b in word]
-        before.extend((-1, *range(first, first + len(word) - 1)))
-        after.extend((*range(first + 1, first + len(word)), -1))
-        word_of.extend([w] * len(word))
-    index: dict[int, list[int]] = {}
-    get = ranks.get
-    for i, j in enumerate(after):
-        if j >= 0 and (r := get(token[i] + token[j])) is not None:
-            index.setdefault(r, []).append(i)
-    heap = list(index)
-    heapq.heapify(heap)
-
-    def post(rank: int, at: int) -> None:
-        if rank in index:
-            index[rank].append(at)
-        else:
-            index[rank] = [at]
-            heapq.heappush(heap, rank)
 
+def replay(words: list[bytes], merges: Merges) -> list[bytes]:
+    """The packed ids of each word, by replaying all merges in rank order over all words together.
+
+    ``token`` holds the symbols of all words one after the other (-1 once merged into its left neighbour),
+    ``before`` and ``after`` chain the living ones and break at word ends, and ``index`` maps a rank to the positions
+    whose symbol and successor join to the token of that rank. Ranks come off a heap, smallest first, and
+    positions in ascending order, which is leftmost first within each word. Where a merge opens a still
+    smaller rank inside its word, the rest of that word waits until that one is done.
+    """
+    length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    raw = np.frombuffer(b"".join(words), dtype=np.uint8)
+    n, ends = len(raw), np.cumsum(length)
+    if not n:
+        return [b""] * len(words)
+    inner = np.ones(n, dtype=bool)
+    inner[ends[length > 0] - 1] = False  # positions that have a successor in their word
+    place = np.arange(n, dtype=np.int32)
+    after = _ints(np.where(inner, place + 1, -1))
+    before = _ints(np.where(np.concatenate([[False], inner[:-1]]), place - 1, -1))
+    word_of, token = _ints(np.repeat(np.arange(len(words)), length)), _ints(merges.byte[raw])
+    rank_at = np.full(n, -1, dtype=np.int32)
+    rank_at[:-1] = merges.two_bytes[raw[:-1], raw[1:]]
+    at = np.flatnonzero(inner & (rank_at >= 0))
+    at = at[np.argsort(rank_at[at], kind="stable")]
+    heap, cuts = np.unique(rank_at[at], return_index=True)
+    heap, cuts = heap.tolist(), [*cuts.tolist(), len(at)]
+    index = {r: at[a:b].tolist() for r, a, b in zip(heap, cuts, cuts[1:])}
+    get, span, push = merges.joined.get, merges.span, heapq.heappush
     while heap:
         rank = heapq.heappop(heap)
-        waiting = -1  # the word whose other places have to wait
         positions = index.pop(rank)
         positions.sort()
+        waiting = -1  # the word whose other places have to wait
+        held: list[int] = []
         for i in positions:
-            if token[i] is None or (j := after[i]) < 0 or get(token[i] + token[j]) != rank:
+            j = after[i]
+            if j < 0 or (a := token[i]) < 0 or get(a * span + token[j]) != rank:
                 continue  # a neighbour has changed since this was posted
             if word_of[i] == waiting:
-                post(rank, i)
+                held.append(i)
                 continue
-            token[i] += token[j]
-            token[j] = None
+            token[i] = rank
+            token[j] = -1
             after[i] = k = after[j]
-            lower = False
+            after[j] = -1
             if k >= 0:
                 before[k] = i
-                if (r := get(token[i] + token[k])) is not None:
-                    post(r, i)
-                    lower = r < rank
-            if (h := before[i]) >= 0 and (r := get(token[h] + token[i])) is not None:
-                post(r, h)
-                lower = lower or r < rank
-            if lower:
-                waiting = word_of[i]
-    out = []
-    for w, at in enumerate(starts):
-        ids = done.get(w)
-        if ids is None:
-            ids = []
-            while 0 <= at < len(token):
-                ids.append(ranks[token[at]])
-                at = after[at]
-        out.append(ids if words[w] else [])
-    return out
+                r = get(rank * span + token[k])
+                if r is not None:
+                    if r in index:
+                        index[r].append(i)
+                    else:
+                        index[r] = [i]
+                        push(heap, r)
+                    if r < rank:
+                        waiting = word_of[i]
+            h = before[i]
+            if h >= 0:
+                r = get(token[h] * span + rank)
+                if r is not None:
+                    if r in index:
+                        index[r].append(h)
+                    else:
+                        index[r] = [h]
+                        push(heap, r)
+                    if r < rank:
+                        waiting = word_of[i]
+        if held:
+            index[rank] = held
+            push(heap, rank)
+    ids = np.frombuffer(token, dtype=np.int32)
+    alive = ids >= 0
+    packed = ids[alive].astype("<u4").tobytes()
+    cuts = (4 * np.concatenate([[0], np.cumsum(alive)])[np.concatenate([[0], ends])]).tolist()
+    return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 class Replayer:
     """Encodes texts by the words it has replayed so far and replays the new ones together."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.split = ranks, regex.compile(pattern).findall
+        self.merges, self.split = Merges(ranks), regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
         self.held = 0
 
     def learn(self, texts: Iterable[str]) -> list[list[str]]:
-        """The words of each text, all of them replayed."""
+        """The words of each text, all of them replayed; a word that is a token itself needs no replay."""
         if self.held > MEMORY_BYTES:
             self.known, self.held = {}, 0
         split = [self.split(t) for t in texts]
-        fresh = list({w for words in split for w in words if w not in self.known})
-        for word, ids in zip(fresh, replay([w.encode() for w in fresh], self.ranks)):
-            packed = b"".join(i.to_bytes(4, "little") for i in ids)
-            self.known[word] = packed
-            self.held += len(packed) + 4 * len(word) + 150
+        rest, ranks = [], self.merges.ranks
+        for word in set().union(*split) - self.known.keys():
+            rank = ranks.get(word.encode())
+            if rank is None:
+                rest.append(word)
+            else:
+                self.known[word] = rank.to_bytes(4, "little")
+            self.held += 150 + 8 * len(word)
+        self.known.update(zip(rest, replay([w.encode() for w in rest], self.merges)))
         return split
 
     def encode(self, texts: list[str]) -> list[bytes]:
