@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from celltide.llm import bpe, chosen_path, line_spread, mixing, toxicity
+from celltide.llm import bpe, chosen_path, fixity, lattice, line_spread, mixing, permutation_index, toxicity, url_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -25,6 +25,20 @@ def query(function: Query) -> Query:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+#: Rules of the registered URL query: verdict, host, start of the path.
+RULES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"), ("block", "net", "/fr/"),
+]
+#: Pages of one archive file in the registered fixity query.
+FILE_PAGES = 512
+
+
+@query
+def op2_link_graph(spark, sf_dir):
+    judged = url_graph.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
 
 @query
 def op3_cube_mixing(spark, sf_dir):
@@ -34,12 +48,61 @@ def op3_cube_mixing(spark, sf_dir):
     )
 
 
+@query
+def op4_lattice_links(spark, sf_dir):
+    return lattice.link_vectors(table(spark, sf_dir, "embeddings"), similarity=0.98)
+
+
+@query
+def op5_merkle_fixity(spark, sf_dir):
+    """The pages as WARC files in two replicas, of which the second has lost some records and some bytes.
+
+    Every record comes back with its place and its status.
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    hurt = F.overlay("html", F.when(F.substring("html", 6, 1) == "#", "*").otherwise("#"), F.lit(6), F.lit(1))
+    replicas = []
+    for html in (F.col("html"), F.when(F.col("page_id") % 101 == 0, hurt).otherwise(F.col("html"))):
+        record = fixity.record_bytes(F.col("url"), html)
+        replicas.append(pages.select(
+            "page_id", F.floor(F.col("page_id") / FILE_PAGES).cast("string").alias("file"),
+            F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("digest"),
+        ))
+    first = fixity.pack(replicas[0], ["page_id", "digest"])
+    second = fixity.pack(replicas[1], ["page_id", "digest"]).filter("page_id IS NULL OR page_id % 103 <> 0")
+    status = fixity.damaged(fixity.leaves(first), fixity.leaves(second)).withColumnsRenamed({"file": "_file", "offset": "_offset"})
+    at = F.col("file").eqNullSafe(F.col("_file")) & (F.col("offset") == F.col("_offset"))
+    return first.join(status, at, "left").select(
+        "page_id", "file", "offset", "length", F.coalesce("status", F.lit("intact")).alias("status"),
+    )
+
+
+SQL["op5_merkle_fixity"] = """
+WITH records AS (
+    SELECT page_id, CAST(page_id // 512 AS VARCHAR) AS file, html,
+        octet_length(encode('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: '
+            || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(coalesce(html, '')))
+            || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10))) AS length
+    FROM pages
+)
+SELECT page_id, file, CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+    CAST(length AS BIGINT) AS length,
+    CASE WHEN page_id % 103 = 0 THEN 'missing in b' WHEN page_id % 101 = 0 AND length(html) > 0 THEN 'differs' ELSE 'intact' END AS status
+FROM records
+"""
+
+
 @query
 def op6_line_spread(spark, sf_dir):
     cleaned = line_spread.remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+@query
+def op7_permutation_index(spark, sf_dir):
+    return permutation_index.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 @query
 def op8_merge_replay(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
