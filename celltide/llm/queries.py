@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from celltide.llm import bpe, chosen_path, fixity, lattice, line_spread, mixing, permutation_index, toxicity, url_graph
+from celltide.llm import bpe, chosen_path, fixity, lattice, line_spread, mixing, permutation_index, pii, toxicity, url_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -34,6 +34,13 @@ RULES = [
 FILE_PAGES = 512
 
 
+@query
+def op1_bilstm_crf(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.personal_data(docs, pii.train_tagger(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 @query
 def op2_link_graph(spark, sf_dir):
     judged = url_graph.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), RULES)
