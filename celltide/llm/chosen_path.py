@@ -295,7 +295,7 @@ def _with_components(sets: DataFrame, found: DataFrame) -> DataFrame:
 
 def word_key(text: Column) -> Column:
     """The key of a text's word sequence, as ``classify`` gives it."""
-    lower = F.translate(whole(text), F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit("abcdefghijklmnopqrstuvwxyz"))
+    lower = F.translate(whole(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.unhex(F.md5(F.btrim(F.regexp_replace(lower, r"[\x20\x09-\x0D]+", " "))))
 
 

@@ -72,10 +72,10 @@ def search(
 
     A query's own id is no candidate. Nearest first, ties to the smaller id; fewer than ``k`` if there are fewer.
     """
-    shards = [r["shard"] for r in index.select("shard").distinct().collect()] if index is not None else []
+    shards = [r["shard"] for r in index.select("shard").distinct().collect()]
     blocks = max(1, -(-queries.count() // QUERIES))
     block = F.pmod(F.xxhash64("vec_id", F.lit("query")), F.lit(blocks).cast("long"))
-    asked = queries.select("vec_id", "embedding", block.alias("block")).withColumn("shard", F.explode(F.array(*[F.lit(s).cast("long") for s in shards])))
+    asked = queries.select("vec_id", "embedding", block.alias("block")).withColumn("shard", F.explode(F.array(*[F.lit(s) for s in shards]).cast("array<long>")))
     files = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def look(key: tuple, shard: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:

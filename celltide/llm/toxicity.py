@@ -215,10 +215,10 @@ def fit_weights(vectors: Sequence[tuple[int, int, int]], patterns: Sequence[str]
     counts for toxic, less so where it is negated or reported, more so where it is aimed.
     """
     prior = np.array([-3.0, *[4.0 - 1.5 * p.count("negated") - 1.5 * p.count("reported") + p.count("aimed") for p in patterns]])
-    x = np.array([[1.0, *[float(bits >> i & 1) for i in range(len(patterns))]] for bits, _, _ in vectors]).reshape(len(vectors), -1)
-    clean, toxic = (np.array([v[k] for v in vectors], dtype=float) for k in (1, 2))
     if not len(vectors):
         return float(prior[0]), prior[1:]
+    x = np.array([[1.0, *[float(bits >> i & 1) for i in range(len(patterns))]] for bits, _, _ in vectors])
+    clean, toxic = (np.array([v[k] for v in vectors], dtype=float) for k in (1, 2))
     n, w, ridge = clean + toxic, prior.copy(), np.full(len(prior), strength)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
