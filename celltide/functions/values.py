@@ -22,7 +22,7 @@ def safe_ratio(part: Column, whole: Column) -> Column:
 
 
 def percent(part: Column, whole: Column, digits: int = 1) -> Column:
-    return F.round(F.lit(100.0) * part / whole, digits)
+    return F.round(F.try_divide(F.lit(100.0) * part, whole), digits)
 
 
 def at_least(value: Column, lower) -> Column:

@@ -2,15 +2,15 @@
 
 Every draw is a hash of (seed, replicate, position), so replicates need no shared state and a lost
 executor recomputes the same sample. Replicates share one score order: the distinct scores are
-numbered once, and each replicate only adds up counts along those numbers, block by block when
-there are many.
+numbered once, and each replicate only adds up counts along those numbers, block by block.
+Draws are made and joined once and shrink to counts per replicate before any metric is taken.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from celltide.functions.values import hash_number
 from celltide.operators import running
@@ -19,7 +19,7 @@ from celltide.operators.evaluation import pair_counts, class_parts
 from celltide.runtime import checkpoint
 from celltide.schemas import CLASSES, KEY
 
-LEVELS_PER_BLOCK = 1 << 16
+LEVELS_PER_BLOCK = 1 << 12
 POINT = -1  # number of the pseudo-replicate that holds every row once
 
 
@@ -39,8 +39,8 @@ def draw_rows(rows: DataFrame, n_boot: int, seed: int, index: str = "row_index")
     return draws.unionByName(rows.select(F.lit(POINT).alias("replicate"), index))
 
 
-def _score_levels(numbered: DataFrame, scores: Mapping[str, str]) -> tuple[DataFrame, int]:
-    """Rows with the level of each class's score, and the number of levels.
+def _score_levels(numbered: DataFrame, scores: Mapping[str, str]) -> DataFrame:
+    """Rows with the level of each class's score.
 
     Levels number the distinct (class, score) pairs, classes in order and scores falling, so one
     number stands for both, and a run of numbers is a range of scores.
@@ -50,7 +50,7 @@ def _score_levels(numbered: DataFrame, scores: Mapping[str, str]) -> tuple[DataF
         long.select("class_no", "score").distinct(), [F.col("class_no"), F.desc("score")], "level"))
     per_row = long.join(levels, ["class_no", "score"]).groupBy("row_index").agg(*[
         F.max(F.when(F.col("class_no") == k, F.col("level"))).alias(f"level_{k}") for k in range(len(scores))])
-    return checkpoint(numbered.select("row_index", "true_class", "pred_class").join(per_row, "row_index")), levels.count()
+    return checkpoint(numbered.select("row_index", "true_class", "pred_class").join(per_row, "row_index"))
 
 
 def replicate_metrics(
@@ -60,26 +60,24 @@ def replicate_metrics(
     """F1, AUC and AP per replicate and class, with class 'macro' as the mean of the defined ones."""
     slim = rows.select(*order, "true_class", "pred_class", *scores.values())
     numbered = checkpoint(running.number_rows(slim, [F.col(c) for c in order]))
-    levelled, n_levels = _score_levels(numbered, scores)
+    levelled = _score_levels(numbered, scores)
     names = list(scores)
-    joined = draw_rows(levelled, n_boot, seed).join(levelled, "row_index")
+    drawn = checkpoint(draw_rows(levelled, n_boot, seed).join(levelled, "row_index").groupBy(
+        "replicate", "true_class", "pred_class", *[f"level_{k}" for k in range(len(names))]).agg(F.count("*").alias("drawn")))
 
-    f1 = pair_counts(joined, ["replicate"]).select("replicate", F.inline(F.array(*[
+    f1 = pair_counts(drawn, ["replicate"], weight="drawn").select("replicate", F.inline(F.array(*[
         F.struct(F.lit(c).alias("class"), class_parts(c, CLASSES)["f1"].alias("f1"), class_parts(c, CLASSES)["support"].alias("n"))
         for c in CLASSES])))
 
     hits = F.inline(F.array(*[
         F.struct(F.lit(k).alias("class_no"), F.col(f"level_{k}").alias("level"), (F.col("true_class") == c).alias("hit"))
         for k, c in enumerate(names)]))
-    counts = joined.select("replicate", hits).groupBy("replicate", "class_no", "level").agg(
-        F.count_if("hit").alias("pos"), F.count_if(~F.col("hit")).alias("neg"))
+    counts = drawn.select("replicate", "drawn", hits).groupBy("replicate", "class_no", "level").agg(
+        F.coalesce(F.sum(F.when(F.col("hit"), F.col("drawn"))), F.lit(0)).alias("pos"),
+        F.coalesce(F.sum(F.when(~F.col("hit"), F.col("drawn"))), F.lit(0)).alias("neg"))
     keys, sums = ["replicate", "class_no"], {"cum_pos": "pos", "cum_neg": "neg"}
-    if n_levels <= block:  # a replicate's class has no more rows than levels
-        falling = Window.partitionBy(*keys).orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
-        cumulative = counts.withColumns({name: F.sum(c).over(falling) for name, c in sums.items()})
-    else:
-        placed = counts.withColumn(running.PART, F.floor(F.col("level") / block))
-        cumulative = running.totals_of_placed(placed, keys, [F.col("level")], sums)
+    placed = checkpoint(counts.withColumn(running.PART, F.floor(F.col("level") / block)))
+    cumulative = running.totals_of_placed(placed, keys, [F.col("level")], sums)
     areas = cumulative.groupBy(*keys).agg(*area_terms()).select(
         "replicate", F.element_at(F.array(*[F.lit(c) for c in names]), F.col("class_no") + 1).alias("class"), "auc", "ap")
 

@@ -1,7 +1,7 @@
 """Classification metrics, transitions and model comparison.
 
 Every metric comes from one grouped pass that counts (true, predicted) pairs as fixed-width
-columns; the rest is arithmetic on one row per group.
+columns; the rest is arithmetic on one row per group. Without any row, shares and means are NULL.
 """
 
 from __future__ import annotations
@@ -25,10 +25,14 @@ def _pair(t: str, p: str) -> str:
     return f"n_{t}_{p}"
 
 
-def pair_counts(df: DataFrame, groups: Sequence[str] = (), classes: Sequence[str] = CLASSES) -> DataFrame:
-    """One row per group with the count of every (true, predicted) pair."""
+def pair_counts(
+    df: DataFrame, groups: Sequence[str] = (), classes: Sequence[str] = CLASSES, weight: str | None = None,
+) -> DataFrame:
+    """One row per group with the count of every (true, predicted) pair, or the sum of ``weight``."""
+    def count(condition: Column) -> Column:
+        return F.count_if(condition) if weight is None else F.coalesce(F.sum(F.when(condition, F.col(weight))), F.lit(0))
     pairs = [
-        F.count_if((F.col(TRUE) == t) & (F.col(PRED) == p)).alias(_pair(t, p))
+        count((F.col(TRUE) == t) & (F.col(PRED) == p)).alias(_pair(t, p))
         for t in classes for p in classes
     ]
     return df.groupBy(*groups).agg(*pairs)
@@ -53,7 +57,7 @@ def _total(classes: Sequence[str]) -> Column:
 
 
 def _accuracy(classes: Sequence[str]) -> Column:
-    return _sum([F.col(_pair(c, c)) for c in classes]) / _total(classes)
+    return F.try_divide(_sum([F.col(_pair(c, c)) for c in classes]), _total(classes))
 
 
 def _macro(part: str, average_over: str, classes: Sequence[str]) -> Column:
@@ -63,7 +67,7 @@ def _macro(part: str, average_over: str, classes: Sequence[str]) -> Column:
         return _sum([p[part] for p in parts]) / F.lit(float(len(classes)))
     if average_over == "present":
         kept = _sum([F.when(p["present"], p[part]).otherwise(0.0) for p in parts])
-        return kept / _sum([p["present"].cast("int") for p in parts])
+        return F.try_divide(kept, _sum([p["present"].cast("int") for p in parts]))
     raise ValueError(f"average_over must be 'all' or 'present', got {average_over!r}")
 
 
@@ -118,7 +122,7 @@ def classification_report(df: DataFrame, groups: Sequence[str] = (), classes: Se
     measures = ("precision", "recall", "f1")
     rows.append(row("macro avg", {m: _macro(m, "all", classes) for m in measures}, total))
     rows.append(row("weighted avg", {
-        m: _sum([parts[c][m] * parts[c]["support"] for c in classes]) / total for m in measures
+        m: F.try_divide(_sum([parts[c][m] * parts[c]["support"] for c in classes]), total) for m in measures
     }, total))
     return pair_counts(df, groups, classes).select(*groups, F.inline(F.array(*rows)))
 

@@ -76,8 +76,13 @@ def class_coverage(labels: DataFrame, cell_folds: DataFrame, label: str = "targe
 
 
 def changed_assignments(current: DataFrame, saved: DataFrame) -> DataFrame:
-    """Cells whose fold differs from a saved assignment, or that the saved one lacks."""
-    return current.select(CELL, "fold").join(saved.select(CELL, "fold"), [CELL, "fold"], "left_anti")
+    """Cells whose fold differs from a saved assignment, or that only one of the two has.
+
+    ``fold`` is the current one, NULL for a cell that only the saved assignment has.
+    """
+    now, then = current.select(CELL, "fold"), saved.select(CELL, F.col("fold").alias("_saved"))
+    both = now.join(then, CELL, "full")
+    return both.filter(~F.col("fold").eqNullSafe(F.col("_saved"))).select(CELL, "fold")
 
 
 def fold_class_weights(labels: DataFrame, roles: DataFrame, fit: Column, label: str = "target", classes: Sequence[str] = CLASSES) -> DataFrame:

@@ -84,7 +84,7 @@ def neighbours(df: DataFrame, radius: int = 1, row: str = "local_row", col: str
 def focal_cells(
     labels: DataFrame, layout: DataFrame, radius: int = 1, label: str = "target", fit: Column | None = None,
 ) -> DataFrame:
-    """Raster positions within ``radius`` of a changing cell, clipped to the padded raster.
+    """Raster positions within ``radius`` of a changing cell, clipped to the padded raster and the grid.
 
     ``fit`` limits the rows that decide which cells change, e.g. to training months.
     """
@@ -97,6 +97,9 @@ def focal_cells(
         .filter(
             F.col("local_row").between(F.lit(0), F.col("_layout.pad_height") - 1)
             & F.col("local_col").between(F.lit(0), F.col("_layout.pad_width") - 1)
+            # a padded raster may reach past the grid, where columns would wrap into other rows
+            & (F.col("local_row") + F.col("_layout.min_row")).between(0, grid.ROWS - 1)
+            & (F.col("local_col") + F.col("_layout.min_col")).between(0, grid.COLUMNS - 1)
         )
         .withColumn(CELL, grid.cell_at(
             F.col("local_row") + F.col("_layout.min_row"), F.col("local_col") + F.col("_layout.min_col")))
@@ -209,6 +212,8 @@ def clip_cells(cells: DataFrame, edges: DataFrame) -> DataFrame:
     col_of = lambda lon: F.floor((lon + 180.0) / grid.STEP)
     touched = spans.select("row", F.explode(F.sequence(col_of(west_end), col_of(east_end))).alias("col"))
 
-    kept = inside.unionByName(touched).distinct().select(
+    # an edge at longitude 180 or latitude 90 touches no cell beyond it
+    on_grid = F.col("row").between(0, grid.ROWS - 1) & F.col("col").between(0, grid.COLUMNS - 1)
+    kept = inside.unionByName(touched).filter(on_grid).distinct().select(
         grid.cell_at(F.col("row"), F.col("col")).alias(CELL))
     return cells.join(kept, CELL, "left_semi")

@@ -6,22 +6,17 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from celltide.runtime import rows_at_most
 from celltide.schemas import KEY
 
-# A dimension up to this many rows is sent to every executor; a larger one is joined by shuffle.
-BROADCAST_ROWS = 100_000
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if rows_at_most(df, limit) else df
-
 
 def join_dimension(
     df: DataFrame, dim: DataFrame, dim_key: str, outputs: Mapping[str, str], on: Sequence[str],
 ) -> DataFrame:
-    """Left join of one dimension once per column of ``on``; outputs are prefixed with that column."""
-    dim = broadcast_if_small(dim.select(dim_key, *outputs))
+    """Left join of one dimension once per column of ``on``; outputs are prefixed with that column.
+
+    Whether the dimension is broadcast is left to Spark, which knows its bytes.
+    """
+    dim = dim.select(dim_key, *outputs)
     for column in on:
         side = dim.select(
             F.col(dim_key).alias(column),

@@ -36,6 +36,29 @@ def extract_entries(df: DataFrame, content: str, block: str, fields: Mapping[str
     return blocks.withColumns({n: text.group_of(F.col("_block"), p) for n, p in fields.items()}).drop("_block", content)
 
 
+BLANKS = " \t\n\r\x0b\x0c"
+#: ``key = value`` in a map entry; a value is quoted or ends at a comma.
+PAIR = r'(\w+)\s*=\s*("[^"]*"|[^,"]*)'
+
+
+def marker_entries(df: DataFrame, content: str) -> DataFrame:
+    """One row per brace entry with its lat, long, mark and label as text; NULL where an entry lacks one.
+
+    An entry is a list of ``key = value`` pairs, of which the first of a name counts. A label may be a link
+    ``[[target|shown]]``, of which the target counts.
+    """
+    entries = df.withColumn("_entry", F.explode(text.all_groups(F.col(content), r"\{([^{}]*)\}")))
+    pairs = entries.withColumns({
+        "_keys": text.all_groups(F.col("_entry"), PAIR, 1), "_values": text.all_groups(F.col("_entry"), PAIR, 2),
+    })
+    value = lambda key: F.get("_values", (F.array_position("_keys", key) - 1).cast("int"))
+    quoted = lambda key: F.nullif(F.regexp_extract(value(key), '^"(.+)"$', 1), F.lit(""))
+    label = F.regexp_extract(value("label"), r'^"?\[*([^\]|"]*)', 1)
+    return pairs.withColumns({
+        "lat": quoted("lat"), "lon": quoted("long"), "mark": quoted("mark"), "label": F.nullif(label, F.lit("")),
+    }).drop("_entry", "_keys", "_values", content)
+
+
 def parse_snapshots(
     revisions: DataFrame, marks: Mapping[str, tuple] = fixed.MARKS, skipped: Sequence[str] = fixed.SKIPPED_MARKS,
 ) -> DataFrame:
@@ -44,16 +67,15 @@ def parse_snapshots(
     Entries without position or icon, with an unreadable number or a skipped icon, are left out; an
     unknown icon is kept as unknown.
     """
-    entries = extract_entries(
-        monthly_revisions(revisions), "content", "(?s)" + fixed.SNAPSHOT_ENTRY_PATTERN, fixed.SNAPSHOT_FIELD_PATTERNS)
+    entries = marker_entries(monthly_revisions(revisions), "content")
     mark = F.col("mark")
     placed = entries.withColumns({
-        "mark": F.trim(mark), "lat": F.col("lat").try_cast("double"), "lon": F.col("lon").try_cast("double"),
+        "mark": F.btrim(mark, F.lit(BLANKS)), "lat": F.col("lat").try_cast("double"), "lon": F.col("lon").try_cast("double"),
     }).filter("mark IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL").filter(~mark.isin(list(skipped)))
     part = lambda i: {name: meaning[i] for name, meaning in marks.items()}
     return placed.select(
         F.to_date(dates.iso_timestamp(F.col("timestamp"))).alias("date"), "lat", "lon",
-        F.coalesce(text.last_part(F.trim("label")), F.lit("")).alias("location_name"),
+        F.coalesce(F.btrim("label", F.lit(BLANKS)), F.lit("")).alias("location_name"),
         map_values(mark, part(0), "unknown").alias("control_status"),
         F.coalesce(map_values(mark, part(1)), F.concat(F.lit("UNMAPPED:"), mark)).alias("actor"),
         F.lit(fixed.SNAPSHOT_SOURCE).alias("source"),

@@ -23,6 +23,9 @@ from celltide.sources.readers import Source
 from celltide.sources.writers import write_panel
 
 
+BASELINES = ("no_change", "random_proportion")
+
+
 @dataclass
 class Stages:
     """Inputs and settings; each method is one stage and returns the stored table."""
@@ -35,6 +38,7 @@ class Stages:
     signals: DataFrame
     rules: Sequence[ActorRule]
     keep: Column | None = None
+    keep_signals: Column | None = None
     static: DataFrame | None = None
     yearly: DataFrame | None = None
     actors: Mapping[str, str] = field(default_factory=lambda: fixed.TRACKED_ACTORS)
@@ -42,6 +46,7 @@ class Stages:
     labels_since: str = fixed.LABELS_SINCE
     cutoff: str = fixed.TRAIN_CUTOFF
     seed: int = 42
+    models: set[str] = field(default_factory=set)
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.output}/{name}")
@@ -69,7 +74,7 @@ class Stages:
         return self._store(label_plans.labels_to_panel(points, months), "labels")
 
     def target(self) -> DataFrame:
-        signals = self._store(target_plans.signals_to_panel(self.signals, self.rules, since=self.events_since), "signals")
+        signals = self._store(target_plans.signals_to_panel(self.signals, self.rules, since=self.events_since, keep=self.keep_signals), "signals")
         stored = self._store(target_plans.build_target(self.read("labels"), signals), "target")
         target_plans.require_sound(stored)
         return stored
@@ -83,15 +88,22 @@ class Stages:
         }
         for name, df in models.items():
             write_panel(df.withColumn("model", F.lit(name)), f"{self.output}/predictions/run={name}")
-        return self.read("predictions").drop("run")
+        return self.predictions()
+
+    def predictions(self) -> DataFrame:
+        """The declared runs: the baselines and what ``add_predictions`` was given, whatever else lies in the folder."""
+        return self.read("predictions").filter(F.col("run").isin(*BASELINES, *self.models)).drop("run")
 
     def add_predictions(self, name: str, predictions: DataFrame) -> None:
         """Store a model's predictions beside the baselines, after checking that the keys agree."""
-        require_aligned(self.read("predictions").filter("model = 'no_change'"), {name: predictions})
+        if name in BASELINES:
+            raise ValueError(f"{name} is a baseline's name")
+        require_aligned(self.read("predictions/run=no_change"), {name: predictions})
+        self.models.add(name)
         write_panel(predictions.withColumn("model", F.lit(name)), f"{self.output}/predictions/run={name}")
 
     def evaluate(self) -> DataFrame:
-        return self._store(evaluation.model_comparison(self.read("predictions")), "comparison")
+        return self._store(evaluation.model_comparison(self.predictions()), "comparison")
 
     def run(self) -> DataFrame:
         for stage in (self.events, self.features, self.labels, self.target, self.baselines):

@@ -16,8 +16,12 @@ from celltide.operators.summaries import breakdown, frequency
 from celltide.schemas import CELL, CLASSES, KEY, PERIOD, SLIM_TARGET_COLUMNS, TARGET_COLUMNS
 
 
-def control_signals(events: DataFrame, types: Sequence[str] = fixed.CONTROL_SIGNAL_TYPES, since: str = fixed.EVENTS_SINCE) -> DataFrame:
-    """Control-signal events since a day, with their cell."""
+def control_signals(
+    events: DataFrame, types: Sequence[str] = fixed.CONTROL_SIGNAL_TYPES, since: str = fixed.EVENTS_SINCE,
+    keep: Column | None = None,
+) -> DataFrame:
+    """Control-signal events since a day that ``keep`` holds for (e.g. one country), with their cell."""
+    events = events if keep is None else events.filter(keep)
     flagged = flag_members(events, F.col("sub_event_type"), types, "is_control_signal")
     kept = flagged.filter(F.col("is_control_signal") & (F.col("event_date") >= F.lit(since).cast("date")))
     return kept.withColumn(CELL, grid.cell_id(F.col("latitude"), F.col("longitude")))
@@ -25,7 +29,8 @@ def control_signals(events: DataFrame, types: Sequence[str] = fixed.CONTROL_SIGN
 
 def signals_to_panel(
     events: DataFrame, rules: Sequence[ActorRule], types: Sequence[str] = fixed.CONTROL_SIGNAL_TYPES,
-    since: str = fixed.EVENTS_SINCE, sides: Mapping[str, str] = fixed.ACTOR_SIDES, **classify,
+    since: str = fixed.EVENTS_SINCE, sides: Mapping[str, str] = fixed.ACTOR_SIDES,
+    keep: Column | None = None, **classify,
 ) -> DataFrame:
     """Signals by side per cell-month.
 
@@ -33,7 +38,7 @@ def signals_to_panel(
     pattern runs once per distinct combination and a hot cell is reduced before it is shuffled.
     """
     window = override_window(F.col("event_date"), classify.get("overrides", fixed.TIME_OVERRIDES))
-    located = control_signals(events, types, since).filter(F.col(CELL).isNotNull()).withColumns({
+    located = control_signals(events, types, since, keep).filter(F.col(CELL).isNotNull()).withColumns({
         "_month": F.trunc("event_date", "month"), "_window": window,
     })
     reduced = located.groupBy(CELL, "_month", "actor1", "inter1", "admin1", "_window").agg(

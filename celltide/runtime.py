@@ -50,6 +50,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def rows_at_most(df: DataFrame, limit: int) -> bool:
-    """True when ``df`` has no more than ``limit`` rows; reads no more than it must."""
-    return df.limit(limit + 1).count() <= limit
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the tables that ``checkpoint`` has stored for this application; nothing may read them any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint_folder(spark)}/celltide-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -59,11 +59,3 @@ POINTS = _schema(
     "date date, lat double, lon double, location_name string, control_status string, "
     "actor string, source string, confidence string"
 )
-PREDICTIONS = _schema(
-    "priogrid_gid long, year_month string, pred_class string, pred_class_int int, "
-    "prob_gov double, prob_opo double, prob_uncertain double, confidence double, "
-    "true_class string, has_label boolean, is_train_month boolean"
-)
-BOUNDARY_EDGES = _schema(
-    "polygon_id long, lon1 double, lat1 double, lon2 double, lat2 double"
-)

@@ -39,10 +39,16 @@ def align_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[fit(f).alias(f.name) for f in schema.fields])
 
 
-def read_csv_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV by header name into ``schema``; columns may be missing, extra or in any order."""
+def read_csv_table(
+    spark: SparkSession, path: str | list[str], schema: T.StructType, multi_line: bool = True,
+) -> DataFrame:
+    """CSV by header name into ``schema``; columns may be missing, extra or in any order.
+
+    Quoted fields may hold line breaks, so a file is read by one task. Convert large files to parquet
+    once, or pass ``multi_line=False`` where every record is one line and files are to be split.
+    """
     raw = (
-        spark.read.option("header", True).option("multiLine", False)
+        spark.read.option("header", True).option("multiLine", multi_line)
         .option("encoding", "UTF-8").option("escape", '"').csv(path)
     )
     wanted = scan_columns(raw, schema.fieldNames())
@@ -111,16 +117,15 @@ def latest_snapshot(df: DataFrame, file_name: Column, pattern: str = fixed.SNAPS
 
 
 def read_latest_csv(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    """Newest dated CSV of a folder, chosen by file name before any content is read."""
+    """All CSV files of a folder's newest day, chosen by file name before any content is read."""
     listing = spark.read.format("binaryFile").load(folder).select("path")
-    newest = (
-        listing.withColumn("day", F.regexp_extract(F.element_at(F.split("path", "/"), -1), fixed.SNAPSHOT_FILE_DATE, 1))
-        .filter(F.col("day") != "").orderBy(F.desc("day"), F.desc("path")).limit(1)
-    )
-    row = newest.first()
-    if row is None:
+    day = F.regexp_extract(F.element_at(F.split("path", "/"), -1), fixed.SNAPSHOT_FILE_DATE, 1)
+    dated = listing.withColumn("day", day).filter(F.col("day") != "")
+    newest = dated.agg(F.max("day")).first()[0]
+    if newest is None:
         raise FileNotFoundError(f"no dated file in {folder}")
-    return read_csv_table(spark, row["path"], schema)
+    files = dated.filter(F.col("day") == newest).orderBy("path").collect()  # names of one day's files
+    return read_csv_table(spark, [r["path"] for r in files], schema)
 
 
 def normalize_key(df: DataFrame, aliases: Sequence[str] = ("priogrid_gid", "gid"), to: str = schemas.CELL) -> DataFrame:

@@ -226,3 +226,14 @@ def test_weights_and_standardisation(target, spark):
     assert got == {"gov": pytest.approx(5 / 6), "opo": pytest.approx(5 / 9), "uncertain": None}
     df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 3.0, 2.0), ("b", 9.0, 3.0)], "k string, x double, y double")
     assert rows(baselines.standardize(df, ["x", "y"], F.col("k") == "a"), "k", "y") == [("a", 0.0), ("a", 0.0), ("b", 1.0)]
+
+
+def test_metrics_without_rows_are_null(spark, predictions):
+    none = predictions.filter("false")
+    summary = ev.f1_summary(none).first()
+    assert summary["n"] == 0 and summary["accuracy"] is None and summary["macro_f1"] is None
+    assert ev.f1_summary(none, average_over="all").first()["macro_f1"] == 0
+    report = {r["class"]: r for r in ev.classification_report(none).collect()}
+    assert report["weighted avg"]["f1"] is None and report["gov"]["support"] == 0
+    assert ev.confusion_matrix(none).agg(F.sum("n")).first()[0] == 0 and ev.misclassifications(none).count() == 0
+    assert ev.accuracy_lift(none).first()["lift"] is None and ev.accuracy_by_class(none).count() == 0

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from celltide import schemas
 from celltide.operators import folds, grid as ops, models
 from celltide.operators.baselines import class_weights
 from celltide.streaming import stream_cell_months
@@ -100,6 +101,10 @@ def test_folds_partition_cells_without_leaks(spark):
     assert folds.holdout_sizes(roles).agg(F.sum("n_cells")).first()[0] == 100
     assert folds.leaking_cells(roles.unionByName(roles.filter("fold = 0").withColumn("role", F.lit("holdout")))).count() > 0
     assert folds.changed_assignments(assigned, assigned).count() == 0
+    first = assigned.orderBy(schemas.CELL).first()[schemas.CELL]
+    fewer = assigned.filter(F.col(schemas.CELL) != first)
+    assert [r["fold"] is None for r in folds.changed_assignments(fewer, assigned).collect()] == [True]
+    assert [r["fold"] is None for r in folds.changed_assignments(assigned, fewer).collect()] == [False]
 
 
 def test_geo_blocks(spark):
@@ -144,3 +149,24 @@ def test_stream_equals_batch(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert rows(spark.table("cell_months")) == rows(stream_cell_months(events))
+
+
+@pytest.mark.parametrize("row, col", [(200, 0), (200, 719), (0, 300), (359, 300), (0, 0), (359, 719)])
+def test_focal_cells_stay_on_the_grid(spark, row, col):
+    near = [(r, c) for r in (row - 1, row, row + 1) for c in (col - 1, col, col + 1) if 0 <= r < 360 and 0 <= c < 720]
+    labels = spark.createDataFrame(
+        [(at(r, c), f"2024-0{m}", "gov" if (r, c) != (row, col) or m == 1 else "opo") for r, c in near for m in (1, 2)],
+        "priogrid_gid long, year_month string, target string")
+    got = ops.focal_cells(labels, ops.grid_layout(labels.select("priogrid_gid").distinct()), radius=2).collect()
+    want = {at(r, c) for r in range(row - 2, row + 3) for c in range(col - 2, col + 3) if 0 <= r < 360 and 0 <= c < 720}
+    assert {r[0] for r in got} <= want and at(row, col) in {r[0] for r in got}
+
+
+def test_clip_at_the_end_of_the_grid(spark):
+    box = lambda w, s, e, n: [(1, w, s, e, s), (1, e, s, e, n), (1, e, n, w, n), (1, w, n, w, s)]
+    cells = cells_of(spark, *[(r, c) for r in (199, 200, 201, 204, 205, 359, 0) for c in (0, 709, 710, 719)])
+    frame = lambda edges: spark.createDataFrame(edges, "polygon_id long, lon1 double, lat1 double, lon2 double, lat2 double")
+    got = {r[0] for r in ops.clip_cells(cells, frame(box(175.1, 10.1, 180.0, 12.1))).collect()}
+    assert got == {at(r, c) for r in (200, 201, 204) for c in (710, 719)}
+    got = {r[0] for r in ops.clip_cells(cells, frame(box(175.1, 88.1, 180.0, 90.0))).collect()}
+    assert got == {at(359, 710), at(359, 719)}

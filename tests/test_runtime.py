@@ -1,8 +1,9 @@
+import os
 from types import SimpleNamespace
 
 import pytest
 
-from celltide.runtime import checkpoint, checkpoint_folder, rows_at_most
+from celltide.runtime import checkpoint, checkpoint_folder, drop_tables
 from tests.conftest import rows
 
 
@@ -30,5 +31,8 @@ def test_stored_table_is_cut_and_pruned(spark):
     assert "Range" not in plan and "c#" not in plan.split("ReadSchema")[1] and "GreaterThan(a,3)" in plan
 
 
-def test_rows_at_most(spark):
-    assert rows_at_most(spark.range(5), 5) and not rows_at_most(spark.range(6), 5)
+def test_drop_tables(spark):
+    path = checkpoint(spark.range(3)).inputFiles()[0].removeprefix("file:").replace("///", "/")
+    assert os.path.exists(path)
+    drop_tables(spark)
+    assert not os.path.exists(path)

@@ -1,10 +1,10 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from celltide import schemas
-from celltide.operators import dedup, keys
+from celltide.operators import actors, dedup, keys
 from celltide.plans import events as plans
 from celltide.sources import dimensions, readers, writers
 from tests.conftest import rows
@@ -106,12 +106,30 @@ def test_taxonomy_join_and_unmatched(spark):
     assert rows(keys.unmatched_keys(events, tax, "ucdp_name", ["side_a", "side_b"])) == [("side_b", "New")]
 
 
-def test_large_dimension_is_not_broadcast(spark):
-    dim = spark.range(50).select(F.col("id").alias("k"))
-    assert "broadcast" in keys.broadcast_if_small(dim, 50)._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in keys.broadcast_if_small(dim, 49)._jdf.queryExecution().logical().toString().lower()
+def test_dimension_join_leaves_the_strategy_to_spark(spark):
+    dim = spark.range(50).select(F.col("id").alias("k"), F.col("id").alias("v"))
+    joined = keys.join_dimension(spark.range(9).select(F.col("id").alias("a")), dim, "k", {"v": "v"}, ["a"])
+    assert "broadcast" not in joined._jdf.queryExecution().logical().toString().lower()
 
 
+def test_quoted_line_breaks_stay_in_their_record(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('a,b,c\n1,"two\nlines",3\n4,plain,5\n')
+    schema = T.StructType.fromDDL("a int, b string, c int")
+    assert rows(readers.read_csv_table(spark, str(path), schema)) == [(1, "two\nlines", 3), (4, "plain", 5)]
+
+
+def test_all_files_of_the_newest_day(spark, tmp_path):
+    for name, value in (("x_2024-01-01.csv", 1), ("a_2024-02-01.csv", 2), ("b_2024-02-01.csv", 3), ("undated.csv", 4)):
+        (tmp_path / name).write_text(f"a\n{value}\n")
+    assert rows(readers.read_latest_csv(spark, str(tmp_path), T.StructType.fromDDL("a int"))) == [(2,), (3,)]
+
+
+def test_long_rule_lists_are_read_whole(spark, tmp_path):
+    path = tmp_path / "rules.csv"
+    path.write_text("rule_id,pattern,side,coalition,actor_group\n" + "".join(f"{i},p{i},gov,c,g\n" for i in range(10_050)))
+    assert len(actors.read_actor_rules(spark, str(path))) == 10_050
+
 def test_key_differences(spark):
     a = spark.createDataFrame([(1, "m"), (2, "m")], "priogrid_gid long, year_month string")
     b = spark.createDataFrame([(2, "m"), (3, "m"), (4, "m")], "priogrid_gid long, year_month string")
