@@ -28,14 +28,14 @@ from celltide.llm.components import components
 from celltide.llm.text import whole
 from celltide.runtime import checkpoint
 
-#: Coordinates of a signature, and how many must agree for a candidate pair: at similarity 0.8 fewer agree in one pair of a million.
-COORDINATES, AGREE = 64, 34
+#: Coordinates of a signature, and how many must agree for a candidate pair: at similarity 0.8 fewer agree in about one pair of 100,000.
+COORDINATES, AGREE = 64, 37
 #: Trees of the two rounds: the first finds nearly all links, the second the links that it missed.
 TREES = (2, 10)
 #: Sets of a node that is compared at once, levels of branching, sets of a block of a dense node, hubs of a dense node.
 SMALL, DEPTH, BLOCK, HUBS = 64, 4, 128, 4
-_ODD = (np.random.default_rng(20).integers(0, 2**63, COORDINATES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_FLIP = np.random.default_rng(21).integers(0, 2**63, COORDINATES, dtype=np.uint64)
+_ODD = np.random.default_rng(20).integers(0, 2**32, (2, COORDINATES), dtype=np.uint32) | np.uint32(1)
+_FLIP = np.random.default_rng(21).integers(0, 2**32, COORDINATES, dtype=np.uint32)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -69,14 +69,15 @@ def shingles(words: list[bytes], size: int, hashes: _Hashes) -> np.ndarray:
 
 
 def signature(sets: np.ndarray) -> bytes:
-    """The minwise token of each coordinate, as 32 bits of its hash."""
-    least = np.full(COORDINATES, np.iinfo(np.uint64).max, dtype=np.uint64)
+    """The minwise token of each coordinate: the least of 32-bit hashes of the set's shingles."""
+    least, tokens = np.full(COORDINATES, np.iinfo(np.uint32).max, dtype=np.uint32), (sets >> np.uint64(32)).astype(np.uint32)
     with np.errstate(over="ignore"):
-        for at in range(0, len(sets), 4096):
-            h = (sets[at:at + 4096, None] ^ _FLIP) * _ODD
-            h ^= h >> np.uint64(32)
-            least = np.minimum(least, (h * _MIX[0]).min(axis=0))
-    return (least >> np.uint64(32)).astype("<u4").tobytes()
+        for at in range(0, len(tokens), 2048):
+            h = (tokens[at:at + 2048, None] ^ _FLIP) * _ODD[0]
+            h ^= h >> np.uint32(15)
+            h *= _ODD[1]
+            np.minimum(least, h.min(axis=0), out=least)
+    return least.astype("<u4").tobytes()
 
 
 def _key(words: list[bytes]) -> bytes:
@@ -99,18 +100,21 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
     return docs.withColumn("_set", digest(whole(F.col("text")))).select("doc_id", "_set.key", "_set.n_shingles", "_set.signature")
 
 
-def _branch(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Children of each (node, doc, component, signature): one per coordinate that the node chooses."""
+def _chosen(node: Column, similarity: float) -> Column:
+    """The coordinates that a node chooses, at least one."""
     share = int(1_000_000 / (similarity * COORDINATES))
     chosen = F.filter(
         F.sequence(F.lit(0), F.lit(COORDINATES - 1)),
-        lambda i: F.pmod(F.xxhash64("node", i), F.lit(1_000_000)) < share,
+        lambda i: F.pmod(F.xxhash64(node, i), F.lit(1_000_000)) < share,
     )
-    # a node always chooses at least one coordinate
-    one = F.array(F.pmod(F.xxhash64("node", F.lit("first")), F.lit(COORDINATES)).cast("int"))
-    at = nodes.withColumn("_at", F.explode(F.when(F.size(chosen) > 0, chosen).otherwise(one)))
-    token = F.substring(F.col("signature"), F.col("_at") * 4 + 1, F.lit(4))
-    return at.select(F.xxhash64("node", "_at", token).alias("node"), "doc", "component")
+    one = F.array(F.pmod(F.xxhash64(node, F.lit("first")), F.lit(COORDINATES)).cast("int"))
+    return F.when(F.size(chosen) > 0, chosen).otherwise(one)
+
+
+def _branch(frontier: DataFrame) -> DataFrame:
+    """Children (node, doc, component) of each (node, at, doc, component, signature), one per chosen coordinate ``at``."""
+    token = F.substring(F.col("signature"), F.col("at") * 4 + 1, F.lit(4))
+    return frontier.select(F.xxhash64("node", "at", token).alias("node"), "doc", "component")
 
 
 def _paths(sets: DataFrame, trees: range, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -119,20 +123,23 @@ def _paths(sets: DataFrame, trees: range, similarity: float) -> tuple[DataFrame,
     Nodes whose sets are already in one component have nothing to find and are left out. Rows are
     narrow: signatures join large nodes only.
     """
-    roots = sets.select("doc", "component", "signature", F.explode(F.array(*[F.lit(t) for t in trees])).alias("tree"))
-    frontier, small = roots.select("doc", "component", "signature", F.xxhash64(F.lit("tree"), "tree").alias("node")), None
+    # a root's choice is the same for all sets: one row per tree
+    root = F.xxhash64(F.lit("tree"), "id")
+    roots = sets.sparkSession.range(trees.start, trees.stop).select(root.alias("node"), F.explode(_chosen(root, similarity)).alias("at")).collect()
+    chosen = F.array(*[F.struct(F.lit(r["node"]).alias("node"), F.lit(r["at"]).alias("at")) for r in roots])
+    frontier, small = sets.select("doc", "component", "signature", F.inline(chosen)), None
     for _ in range(DEPTH):
-        children = _branch(frontier, similarity)
+        children = _branch(frontier)
         counts = children.groupBy("node").agg(
             F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"),
-        ).filter("n > 1 AND low < high").select("node", "n")
+        ).filter("n > 1 AND low < high").select("node", "n", F.when(F.col("n") > SMALL, _chosen(F.col("node"), similarity)).alias("chosen"))
         kept = checkpoint(children.join(counts, "node"))
-        found = kept.filter(F.col("n") <= SMALL).select("node", "doc")
+        found = kept.filter("chosen IS NULL").select("node", "doc")
         small = found if small is None else small.unionByName(found)
-        large = kept.filter(F.col("n") > SMALL).select("node", "doc", "component")
+        large = kept.filter("chosen IS NOT NULL").drop("n")
         if large.isEmpty():
             break
-        frontier = large.join(sets.select("doc", "signature"), "doc")
+        frontier = large.withColumn("at", F.explode("chosen")).drop("chosen").join(sets.select("doc", "signature"), "doc")
     return small, large.select("node", "doc")
 
 
@@ -198,25 +205,30 @@ def find_links(blocks: DataFrame, sets: DataFrame, docs: DataFrame, size: int, p
     """Links (a, b) that join the components of each block's sets, confirmed on the full sets of their texts.
 
     ``blocks`` holds (block, doc). Signatures come first: a set stays in its block only beside another that is
-    not yet in its component, is near enough in size, and has a signature that agrees.
+    not yet in its component, is near enough in size, and has a signature that agrees. Blocks that are left with the same sets
+    become one, so what meets in many nodes is confirmed once.
     """
     posted = blocks.join(sets, "doc").select("block", "doc", "key", "component", "n_shingles", "signature")
 
     def candidates(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
-        for block, (doc, key, component, n, sig) in _runs(batches):
+        for _, (doc, key, component, n, sig) in _runs(batches):
             group, n = np.array(component), np.array(n)
             sig = np.frombuffer(b"".join(sig), dtype="<u4").reshape(len(doc), -1)
+            alive = []
             for i in range(len(doc)):
                 other = np.flatnonzero((group != group[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent))
                 if len(other) and ((sig[other] == sig[i]).sum(axis=1) >= AGREE).any():
-                    rows.append((block, doc[i], key[i], component[i]))
+                    alive.append((doc[i], key[i], component[i]))
+            if alive:
+                name = hashlib.blake2b(repr(sorted(set(alive))).encode(), digest_size=8).digest()
+                rows += [(int.from_bytes(name, "little", signed=True), *a) for a in set(alive)]
             if len(rows) > 10_000:
                 yield pd.DataFrame(rows, columns=["block", "doc", "key", "component"])
                 rows = []
         yield pd.DataFrame(rows, columns=["block", "doc", "key", "component"])
 
-    alive = checkpoint(_by_block(posted).mapInPandas(candidates, "block long, doc long, key binary, component long"))
+    alive = checkpoint(_by_block(posted).mapInPandas(candidates, "block long, doc long, key binary, component long").distinct())
     texts = docs.select(F.col("doc_id").alias("doc"), "text")
     shipped = _by_block(alive.join(texts, "doc").select("block", "doc", "key", "component", "text"))
 
