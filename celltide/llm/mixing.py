@@ -81,20 +81,16 @@ def land(size: np.ndarray, chance: np.ndarray) -> np.ndarray:
     return out
 
 
-def source_targets(sizes: DataFrame, weights: Sequence[float], max_repeat: float) -> DataFrame:
-    """(source, source_rank, source_size, weight, target) per source of ``(source, size)`` rows.
+def source_targets(sources: DataFrame, weights: Sequence[float], max_repeat: float) -> DataFrame:
+    """``sources`` (source, source_size, one row each) with ``source_rank``, ``weight`` and ``target``.
 
     Sources in code point order, null last, weigh ``weights`` in turn and share the sum of all sizes. A
     target stops at ``max_repeat`` times the source's size; the excess is shared by weight among the others
     until none is above. The share of an uncapped source per weight only grows, so each turn is one
     aggregation over the sources and the state between turns is one number.
     """
-    ordered = number_rows(
-        sizes.groupBy("source").agg(F.sum("size").alias("source_size")),
-        [F.col("source").asc_nulls_last()], "source_rank",
-    )
     turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("source_rank") % len(weights) + 1).cast("int"))
-    stats = checkpoint(ordered.withColumn("weight", turn))
+    stats = checkpoint(number_rows(sources, [F.col("source").asc_nulls_last()], "source_rank").withColumn("weight", turn))
     limit = F.col("source_size") * float(max_repeat)
     total, weight = stats.agg(F.sum("source_size"), F.sum("weight")).first()
     rest, capped_before = float(total or 0), 0
@@ -122,14 +118,12 @@ def mix(
     """
     docs = docs.drop("size", "source_size", "target", "copies").withColumn("size", word_count(F.col("text")))
     units = checkpoint(docs.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")))
-    targets = checkpoint(source_targets(
-        units.select("source", (F.col("size") * F.col("rows")).alias("size")), weights, max_repeat,
-    ))
-    counts = units.groupBy("source").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
-    per_source = checkpoint(targets.join(counts, targets["source"].eqNullSafe(counts["source"])).select(
-        targets["source"], "source_rank", "source_size", "target", "blocks",
-        (F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))).alias("ratio"),
-    ))
+    per_source = units.groupBy("source").agg(
+        F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"),
+    )
+    per_source = source_targets(per_source, weights, max_repeat).withColumn(
+        "ratio", F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size")),
+    ).drop("weight")
     decided = _decide(units, per_source, seed)
     decided = decided.withColumnsRenamed({"doc_id": "_id", "source": "_source", "size": "_size"})
     joined = docs.join(
