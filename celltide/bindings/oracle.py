@@ -414,7 +414,7 @@ RAW["event_overview"] = """SELECT COUNT(*) AS n_rows, COUNT(DISTINCT priogrid_gi
 RAW["label_events"] = f"""SELECT id, year_month, best, side_a, side_b, {', '.join(f'{s}_{x}' for s in ('side_a', 'side_b') for x in LEVELS)} FROM v_labelled"""
 RAW["unmatched_keys"] = " UNION ".join(
     f"SELECT '{s}' AS side, {s} AS name FROM v_events WHERE {s} NOT IN (SELECT ucdp_name FROM v_tax)" for s in ("side_a", "side_b"))
-RAW["presence_flags"] = f"SELECT data_source, {', '.join(f'COUNT(*) FILTER (WHERE {FLAGS[a]}) AS {a}' for a in ACTORS)} FROM v_labelled GROUP BY 1"
+RAW["presence_flags"] = f"SELECT id, data_source, {', '.join(f'CAST(COALESCE({FLAGS[a]}, false) AS BIGINT) AS {a}' for a in ACTORS)} FROM v_labelled"
 RAW["violence_flags"] = f"SELECT id, best, {', '.join(f'CAST({FLAGS[a]} AS BIGINT) AS {a}' for a in ('is_onesided', 'is_statebased', 'gov_vs_civilians'))} FROM v_labelled"
 RAW["classify_actors"] = "SELECT event_id_cnty, event_date, actor1, inter1, side, coalition, actor_group FROM sig_final"
 RAW["actor_patterns"] = f"""SELECT actor1, {', '.join(
@@ -437,17 +437,16 @@ RAW["cell_geometry"] = f"""SELECT priogrid_gid, {ROW} AS grid_row, {COL} AS grid
   FROM (SELECT DISTINCT priogrid_gid FROM v_events)"""
 RAW["grid_layout"] = f"""SELECT min({ROW}) AS min_row, min({COL}) AS min_col, max({ROW}) - min({ROW}) + 1 AS height, max({COL}) - min({COL}) + 1 AS width,
   CAST(ceil((max({ROW}) - min({ROW}) + 1) / 8.0) * 8 AS BIGINT) AS pad_height, CAST(ceil((max({COL}) - min({COL}) + 1) / 8.0) * 8 AS BIGINT) AS pad_width FROM feature_cell"""
-CTE["some_cell"] = f"SELECT * FROM feature_cell WHERE {ROW} >= 203 AND {COL} < 555"
 CTE["label_cell"] = "SELECT DISTINCT priogrid_gid FROM placed"
-RAW["valid_cells"] = valid_sql("some_cell", "label_cell")
-RAW["raster_positions"] = f"""SELECT priogrid_gid, {ROW} - r0 AS local_row, {COL} - c0 AS local_col FROM label_cell CROSS JOIN {layout('some_cell')}
+RAW["valid_cells"] = valid_sql("feature_cell", "label_cell")
+RAW["raster_positions"] = f"""SELECT priogrid_gid, {ROW} - r0 AS local_row, {COL} - c0 AS local_col FROM label_cell CROSS JOIN {layout('feature_cell')}
   WHERE {ROW} - r0 BETWEEN 0 AND ph - 1 AND {COL} - c0 BETWEEN 0 AND pw - 1"""
 RAW["changing_cells"] = "SELECT priogrid_gid, COUNT(DISTINCT target) AS n_classes FROM target GROUP BY 1 HAVING COUNT(DISTINCT target) > 1"
-CTE["rare_change"] = f"""SELECT priogrid_gid FROM target WHERE {TRAIN} AND priogrid_gid % 11 = 0 GROUP BY 1 HAVING COUNT(DISTINCT target) > 1"""
+CTE["rare_change"] = f"""SELECT priogrid_gid FROM target WHERE {TRAIN} GROUP BY 1 HAVING COUNT(DISTINCT target) > 1"""
 RAW["focal_cells"] = f"""SELECT DISTINCT CAST((r + dr) * 720 + c + dc + 1 AS BIGINT) AS priogrid_gid, r + dr - r0 AS local_row, c + dc - c0 AS local_col
   FROM (SELECT {ROW} AS r, {COL} AS c FROM rare_change) CROSS JOIN (SELECT unnest(range(-1, 2)) AS dr) CROSS JOIN (SELECT unnest(range(-1, 2)) AS dc)
   CROSS JOIN {layout('feature_cell')} WHERE r - r0 BETWEEN 0 AND ph - 1 AND c - c0 BETWEEN 0 AND pw - 1
-  AND r + dr - r0 BETWEEN 0 AND ph - 1 AND c + dc - c0 BETWEEN 0 AND pw - 1"""
+  AND r + dr - r0 BETWEEN 0 AND ph - 1 AND c + dc - c0 BETWEEN 0 AND pw - 1 AND r + dr BETWEEN 0 AND 359 AND c + dc BETWEEN 0 AND 719"""
 _POS = f"({ROW} - r0) * pw + {COL} - c0"
 RAW["dense_grid"] = f"""SELECT m.year_month, string_agg(CAST(COALESCE(code, -1) AS VARCHAR), ',' ORDER BY m.pos) AS labels,
   string_agg(CASE WHEN code IS NULL THEN '0' ELSE '1' END, ',' ORDER BY m.pos) AS mask, string_agg(CAST(COALESCE(n_gov, 0) AS VARCHAR), ',' ORDER BY m.pos) AS n_gov
@@ -470,11 +469,9 @@ RAW["neighbour_features"] = RAW["neighbour_features"].replace("COALESCE(s_total_
 
 RAW["cell_month_agg"] = "SELECT * FROM cell_month"
 RAW["panel_dense"] = "SELECT * FROM dense"
-CTE["third"] = f"SELECT * FROM v_labelled WHERE {month_no()} % 3 = 0"
-CTE["third_month"] = cell_month_sql("third")
-CTE["third_skeleton"] = """SELECT priogrid_gid, strftime(m, '%Y-%m') AS year_month FROM (SELECT DISTINCT priogrid_gid FROM third_month) CROSS JOIN (
-  SELECT unnest(generate_series(CAST(min(year_month) || '-01' AS TIMESTAMP), CAST(max(year_month) || '-01' AS TIMESTAMP), INTERVAL 1 MONTH)) AS m FROM third_month)"""
-RAW["panel_full_calendar"] = f"SELECT {KEY}, total_events, adm_1 FROM ({dense_sql('third_skeleton', 'third_month')})"
+CTE["every_month"] = """SELECT priogrid_gid, strftime(m, '%Y-%m') AS year_month FROM (SELECT DISTINCT priogrid_gid FROM cell_month) CROSS JOIN (
+  SELECT unnest(generate_series(CAST(min(year_month) || '-01' AS TIMESTAMP), CAST(max(year_month) || '-01' AS TIMESTAMP), INTERVAL 1 MONTH)) AS m FROM cell_month)"""
+RAW["panel_full_calendar"] = f"SELECT {KEY}, total_events, adm_1 FROM ({dense_sql('every_month', 'cell_month')})"
 RAW["lag_features"] = f"SELECT {KEY}, {', '.join(fixed.LAG_COLUMNS)}, {', '.join(lags(fixed.LAG_COLUMNS, [1, 3, 6, 9, 12]))} FROM dense"
 _M = means(fixed.ROLL_COLUMNS, [3, 6, 12])
 RAW["rolling_mean"] = rounded(f"SELECT {KEY}, {', '.join(fixed.ROLL_COLUMNS + _M)} FROM dense", *names(_M))
@@ -678,7 +675,7 @@ RAW["fold_roles"] = "SELECT * FROM event_role"
 RAW["holdout_sizes"] = "SELECT fold, COUNT(DISTINCT priogrid_gid) AS n_cells, CAST(0 AS BIGINT) AS n_leaks FROM event_role WHERE role = 'holdout' GROUP BY 1"
 RAW["class_coverage"] = f"""SELECT fold, concat_ws(',', {', '.join(f"CASE WHEN NOT bool_or(target = '{c}') THEN '{c}' END" for c in CLASSES)}) AS missing,
   {' AND '.join(f"bool_or(target = '{c}')" for c in CLASSES)} AS complete
-  FROM target JOIN target_fold USING (priogrid_gid) WHERE target <> 'opo' OR priogrid_gid % 10 <> 3 GROUP BY fold"""
+  FROM target JOIN target_fold USING (priogrid_gid) GROUP BY fold"""
 RAW["changed_assignments"] = "SELECT priogrid_gid, fold FROM event_fold WHERE priogrid_gid % 13 = 0"
 RAW["fold_class_weights"] = rounded(" UNION ALL ".join(
     f"SELECT fold, '{c}' AS class, COUNT(*) FILTER (WHERE target = '{c}') AS n, COUNT(*) / CAST(3 * COUNT(*) FILTER (WHERE target = '{c}') AS DOUBLE) AS weight FROM target JOIN target_role USING (priogrid_gid) WHERE role = 'training' AND {TRAIN} GROUP BY 1" for c in CLASSES), "weight")
@@ -721,6 +718,12 @@ RAW["describe_columns"] = " UNION ALL ".join(
 RAW["even_pick"] = """SELECT year_month FROM (SELECT year_month, row_number() OVER (ORDER BY year_month) - 1 AS k, COUNT(*) OVER () AS n FROM (SELECT DISTINCT year_month FROM active))
   WHERE k IN (SELECT unnest([0, (n - 1) // 5, 2 * (n - 1) // 5, 3 * (n - 1) // 5, 4 * (n - 1) // 5, n - 1]))"""
 RAW["middle_period"] = f"SELECT {_MID.format('active')} AS year_month"
-RAW["cell_row_counts"] = """SELECT priogrid_gid, n FROM label_cell LEFT JOIN (SELECT priogrid_gid, COUNT(*) AS n FROM v_events WHERE where_prec = 1 GROUP BY 1) USING (priogrid_gid)"""
+RAW["cell_row_counts"] = """SELECT priogrid_gid, n FROM label_cell LEFT JOIN (SELECT priogrid_gid, COUNT(*) AS n FROM v_events GROUP BY 1) USING (priogrid_gid)"""
+
+RAW["csv_round_trip"] = """SELECT 'a "quoted" note, ' || chr(10) || o_orderpriority AS note, o_orderkey, o_totalprice FROM orders"""
+RAW["json_revision_log"] = """SELECT o_orderkey AS revid, o_orderstatus AS timestamp, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority ELSE '' END AS comment FROM orders"""
+RAW["parquet_by_period"] = f"SELECT {KEY}, total_events FROM cell_month"
+RAW["append_variants"] = " UNION ALL ".join(f"SELECT o_orderpriority, COUNT(*) + {v[1:]} AS n, '{v}' AS variant FROM orders GROUP BY 1" for v in ("f10", "f20"))
+RAW["stable_rows"] = f"SELECT {KEY}, target FROM target ANTI JOIN cell_month USING ({KEY})"
 
 SQL: dict[str, str] = {name: full(sql) for name, sql in RAW.items()}

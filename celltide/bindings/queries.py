@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructType
 
 from celltide import fixed_values as fixed
 from celltide.bindings import tables as t
@@ -15,9 +16,9 @@ from celltide.operators import (
     panel as panel_ops, running, summaries, votes,
 )
 from celltide.plans import events as event_plans, labels as label_plans, panel as panel_plans, target as target_plans
-from celltide.runtime import checkpoint
+from celltide.runtime import checkpoint, checkpoint_folder
 from celltide.schemas import CELL, CLASSES, EVENTS, KEY, PERIOD
-from celltide.sources import readers
+from celltide.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -121,7 +122,7 @@ def unmatched_keys(spark, sf):
 @query
 def presence_flags(spark, sf):
     flagged = panel_plans.presence_flags(t.labelled_events(spark, sf), t.ACTORS)
-    return flagged.groupBy("data_source").agg(*[F.sum(a).alias(a) for a in t.ACTORS])
+    return flagged.select("id", "data_source", *t.ACTORS)
 
 
 @query
@@ -178,20 +179,15 @@ def grid_layout(spark, sf):
     return grid_ops.grid_layout(t.feature_cells(spark, sf))
 
 
-def _some_cells(spark, sf):
-    """Cells that span a smaller raster than the labels do."""
-    return t.feature_cells(spark, sf).filter((grid.cell_row(F.col(CELL)) >= 203) & (grid.cell_col(F.col(CELL)) < 555))
-
-
 @query
 def valid_cells(spark, sf):
-    return grid_ops.valid_cells(_some_cells(spark, sf), label_plans.place_points(t.points(spark, sf)))
+    return grid_ops.valid_cells(t.feature_cells(spark, sf), label_plans.place_points(t.points(spark, sf)))
 
 
 @query
 def raster_positions(spark, sf):
     points = label_plans.place_points(t.points(spark, sf)).select(CELL).distinct()
-    return grid_ops.to_raster(points, grid_ops.grid_layout(_some_cells(spark, sf)))
+    return grid_ops.to_raster(points, grid_ops.grid_layout(t.feature_cells(spark, sf)))
 
 
 @query
@@ -199,15 +195,9 @@ def changing_cells(spark, sf):
     return grid_ops.changing_cells(t.target(spark, sf))
 
 
-def _rarely_changing(spark, sf):
-    """The target with its class blanked to 'gov' except in every eleventh cell, so that few cells change."""
-    return t.target(spark, sf).withColumn("target", F.when(F.col(CELL) % 11 == 0, F.col("target")).otherwise("gov"))
-
-
 @query
 def focal_cells(spark, sf):
-    rows = checkpoint(_rarely_changing(spark, sf))
-    return grid_ops.focal_cells(rows, grid_ops.grid_layout(t.feature_cells(spark, sf)), 1, fit=baselines.is_train(t.CUTOFF))
+    return grid_ops.focal_cells(t.stored_target(spark, sf), grid_ops.grid_layout(t.feature_cells(spark, sf)), 1, fit=baselines.is_train(t.CUTOFF))
 
 
 @query
@@ -247,9 +237,8 @@ def panel_dense(spark, sf):
 
 @query
 def panel_full_calendar(spark, sf):
-    """Every month between first and last, for events of every third month only."""
-    every_third = t.labelled_events(spark, sf).filter(dates.month_number(F.col(PERIOD)) % 3 == 0)
-    aggregates = panel_plans.cell_months(every_third, t.ACTORS)
+    """Every month between first and last."""
+    aggregates = panel_plans.cell_months(t.labelled_events(spark, sf), t.ACTORS)
     return panel_plans.dense_panel(aggregates, "full").select(*KEY, "total_events", "adm_1")
 
 
@@ -500,8 +489,7 @@ def labelled_features(spark, sf):
 def training_weights(spark, sf):
     """Class weight inside the focal region, 0 outside."""
     rows = t.stored_target(spark, sf)
-    rare = rows.withColumn("target", F.when(F.col(CELL) % 11 == 0, F.col("target")).otherwise("gov"))
-    focal = grid_ops.focal_cells(rare, grid_ops.grid_layout(t.feature_cells(spark, sf)), 1, fit=baselines.is_train(t.CUTOFF))
+    focal = grid_ops.focal_cells(rows, grid_ops.grid_layout(t.feature_cells(spark, sf)), 1, fit=baselines.is_train(t.CUTOFF))
     weights = baselines.class_weights(rows, baselines.is_train(t.CUTOFF))
     return rounded(models.training_weights(rows.select(*KEY, "target"), weights, focal))
 
@@ -718,8 +706,7 @@ def holdout_sizes(spark, sf):
 @query
 def class_coverage(spark, sf):
     rows = t.stored_target(spark, sf)
-    rare = rows.filter((F.col("target") != "opo") | (F.col(CELL) % 10 != 3))
-    return folds.class_coverage(rare, folds.assign_folds(t.blocks(rows)))
+    return folds.class_coverage(rows, folds.assign_folds(t.blocks(rows)))
 
 
 @query
@@ -903,5 +890,52 @@ def middle_period(spark, sf):
 @query
 def cell_row_counts(spark, sf):
     """Group sizes attached to all cells that carry a label, NULL where no event was."""
-    sizes = t.events(spark, sf).filter(F.col("where_prec") == 1).groupBy(CELL).agg(F.count("*").alias("n"))
+    sizes = t.events(spark, sf).groupBy(CELL).agg(F.count("*").alias("n"))
     return ev.attach_to_cells(label_plans.place_points(t.points(spark, sf)), sizes)
+
+
+# --- written and read again -------------------------------------------------------------------
+
+def _folder(spark) -> str:
+    return f"{checkpoint_folder(spark)}/celltide-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+@query
+def csv_round_trip(spark, sf):
+    """Orders through a CSV file, with quotes and line breaks in a field."""
+    note = F.concat(F.lit('a "quoted" note, '), F.lit("\n"), F.col("o_orderpriority"))
+    path = _folder(spark)
+    writers.write_csv(t.table(spark, sf, "orders").select("o_orderkey", "o_totalprice", note.alias("note")), path)
+    return readers.read_csv_table(spark, path, StructType.fromDDL("note string, o_orderkey long, o_totalprice double"))
+
+
+@query
+def json_revision_log(spark, sf):
+    path, orders = _folder(spark), t.table(spark, sf, "orders")
+    comment = F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority"))
+    writers.write_revision_log(orders.select(
+        F.col("o_orderkey").alias("revid"), F.col("o_orderstatus").alias("timestamp"), comment.alias("comment")), path)
+    return spark.read.schema("revid long, timestamp string, comment string").json(path)
+
+
+@query
+def parquet_by_period(spark, sf):
+    path = _folder(spark)
+    writers.write_panel(t.cell_months(spark, sf).select(*KEY, "total_events"), path, by_period=True)
+    # as the folder names alone are read, the months stay text
+    return spark.read.schema(f"{CELL} long, total_events long, {PERIOD} string").parquet(path)
+
+
+@query
+def append_variants(spark, sf):
+    path, orders = _folder(spark), t.table(spark, sf, "orders")
+    for variant in ("f10", "f20"):
+        summary = orders.groupBy("o_orderpriority").agg((F.count("*") + int(variant[1:])).alias("n"))
+        writers.append_variant(summary, path, variant)
+    return spark.read.parquet(path)
+
+
+@query
+def stable_rows(spark, sf):
+    """Target rows whose cell and month had no event."""
+    return keys.exclude_keys(t.target(spark, sf), t.cell_months(spark, sf)).select(*KEY, "target")
