@@ -37,6 +37,8 @@ REPORTS = "said says told called wrote quoted claims sagte sagt schrieb nannte d
 #: Most labelled rows to learn from (a hash order picks them), least toxic documents behind a feature as a number
 #: and as a share of all toxic ones, least log-odds, features that explain a document in full.
 TRAIN_ROWS, LEAST_DOCS, LEAST_SHARE, LEAST_ODDS, EXPLAINED = 20_000, 4, 0.01, 3.0, 3
+#: Toxic documents that a clean one with the feature outweighs.
+CLEAN_COST = 10
 #: Lengths of word beginnings that may become features.
 STEMS = (4, 5, 6)
 #: Words over which a negation reaches.
@@ -192,9 +194,10 @@ def learn_lexicon(train: DataFrame) -> list[str]:
     lexicon: list[str] = []
     times: dict[int, int] = {}
     while open_:
-        best = max(sorted(open_), key=lambda f: (len(open_[f][0]) - open_[f][1], -len(f)))
+        # of features that explain as much, the more specific: a whole word before a stem, a long stem before a short one
+        best = max(sorted(open_), key=lambda f: (len(open_[f][0]) - CLEAN_COST * open_[f][1], not f.endswith("*"), len(f)))
         groups, neg = open_.pop(best)
-        if len(groups) - neg < least:
+        if len(groups) - CLEAN_COST * neg < least:
             break
         lexicon.append(best)
         for g in groups:
