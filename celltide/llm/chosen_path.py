@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from celltide.llm.blocks import by_block, runs
 from celltide.llm.components import components
 from celltide.llm.text import whole
 from celltide.runtime import checkpoint
@@ -178,29 +179,6 @@ def _crossing(dense: DataFrame, sets: DataFrame) -> DataFrame:
     return rest.unionByName(every)
 
 
-def _runs(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[int, list[list]]]:
-    """(block, columns) of each block, from batches of rows that are sorted by block."""
-    block, held = None, None
-    for batch in batches:
-        columns = [batch[c].tolist() for c in batch.columns]
-        ids = np.asarray(columns[0])
-        edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1), len(ids)] if len(ids) else [0]
-        for a, b in zip(edges, edges[1:]):
-            part = [c[a:b] for c in columns[1:]]
-            if columns[0][a] == block:
-                held = [x + y for x, y in zip(held, part)]
-            else:
-                if block is not None:
-                    yield block, held
-                block, held = columns[0][a], part
-    if block is not None:
-        yield block, held
-
-
-def _by_block(rows: DataFrame) -> DataFrame:
-    return rows.repartition("block").sortWithinPartitions("block")
-
-
 def find_links(blocks: DataFrame, sets: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) that join the components of each block's sets, confirmed on the full sets of their texts.
 
@@ -212,7 +190,7 @@ def find_links(blocks: DataFrame, sets: DataFrame, docs: DataFrame, size: int, p
 
     def candidates(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
-        for _, (doc, key, component, n, sig) in _runs(batches):
+        for _, (doc, key, component, n, sig) in runs(batches):
             group, n = np.array(component), np.array(n)
             sig = np.frombuffer(b"".join(sig), dtype="<u4").reshape(len(doc), -1)
             alive = []
@@ -228,13 +206,13 @@ def find_links(blocks: DataFrame, sets: DataFrame, docs: DataFrame, size: int, p
                 rows = []
         yield pd.DataFrame(rows, columns=["block", "doc", "key", "component"])
 
-    alive = checkpoint(_by_block(posted).mapInPandas(candidates, "block long, doc long, key binary, component long").distinct())
+    alive = checkpoint(by_block(posted).mapInPandas(candidates, "block long, doc long, key binary, component long").distinct())
     texts = docs.select(F.col("doc_id").alias("doc"), "text")
-    shipped = _by_block(alive.join(texts, "doc").select("block", "doc", "key", "component", "text"))
+    shipped = by_block(alive.join(texts, "doc").select("block", "doc", "key", "component", "text"))
 
     def confirm(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _Hashes()
-        for _, members in _runs(batches):
+        for _, members in runs(batches):
             if links := _links_of_block(members, size, percent, hashes):
                 yield pd.DataFrame(links, columns=["a", "b"])
 

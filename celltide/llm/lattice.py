@@ -13,12 +13,13 @@ task knows from the cells that each vector carries. Exact copies are one vector
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from celltide.llm.blocks import by_block, runs
 from celltide.llm.components import components
 from celltide.llm.vectors import cosines, scaled, usable
 from celltide.runtime import checkpoint
@@ -93,9 +94,7 @@ def link_vectors(
     ))
     carried = checkpoint(_with_cells(copies, tables, probes, scale))
     blocks = _blocks(carried)
-    found = checkpoint(blocks.groupBy("cell", "block_a", "block_b").applyInPandas(
-        _comparing(similarity), "member long, other long, links long",
-    ))
+    found = checkpoint(by_block(blocks).mapInPandas(_comparing(similarity), "member long, other long, links long"))
     links = found.groupBy("member").agg(F.sum("links").alias("links"))
     joined = components(found.filter("other IS NOT NULL").select(F.col("member").alias("a"), F.col("other").alias("b")))
     of = copies.join(links, "member", "left").join(joined, copies["member"] == joined["id"], "left").select(
@@ -138,46 +137,63 @@ def _blocks(carried: DataFrame) -> DataFrame:
     )
     placed = posts.join(sizes, "cell").withColumn("own", F.pmod(F.xxhash64("member"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    side = F.when(F.col("own") == F.col("with"), 2).when(F.col("own") < F.col("with"), 0).otherwise(1)
     return placed.withColumn("with", other).select(
-        "cell", F.least("own", "with").alias("block_a"), F.greatest("own", "with").alias("block_b"), "own", "member", "weight", "embedding", "cells",
+        F.xxhash64("cell", F.least("own", "with"), F.greatest("own", "with")).alias("block"),
+        "cell", side.alias("side"), "member", "weight", "embedding", "cells",
     )
 
 
 def _comparing(similarity: float):
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        cell, block_a, block_b = key
-        rows = rows.sort_values("member").reset_index(drop=True)
-        member, weight = rows["member"].to_numpy(), rows["weight"].to_numpy()
-        unit = _unit(np.stack(rows["embedding"].to_numpy()))
-        # an earlier cell that both carry has counted the pair
-        carried = [np.asarray(c)[np.asarray(c) < cell] for c in rows["cells"]]
-        earlier = {c: i for i, c in enumerate(np.unique(np.concatenate(carried)).tolist())}
-        has = np.zeros((len(rows), len(earlier)), dtype=np.float32)
-        for i, c in enumerate(carried):
-            has[i, [earlier[x] for x in c.tolist()]] = 1
-        side = (rows["own"] == block_a).to_numpy()
-        left = np.flatnonzero(side) if block_a != block_b else np.arange(len(rows))
-        right = np.flatnonzero(~side) if block_a != block_b else left
-        if not len(left) or not len(right):
-            return pd.DataFrame({"member": [], "other": [], "links": []})
-        cosine = unit[left] @ unit[right].T
-        linked = cosine >= similarity
-        for i, j in np.argwhere(np.abs(cosine - similarity) < 1e-9):  # decided without the product's rounding
-            linked[i, j] = cosines(unit[right[j]][None, :], unit[left[i]])[0] >= similarity
-        linked &= (has[left] @ has[right].T) < 0.5
-        if block_a == block_b:
-            np.fill_diagonal(linked, False)
-        counts = np.zeros(len(rows), dtype=np.int64)
-        counts[left] += linked @ weight[right]
-        if block_a != block_b:
-            counts[right] += linked.T @ weight[left]
-        other = _forest(linked, left, right, len(rows))
-        out = pd.DataFrame({"member": member, "other": [member[o] if o >= 0 else None for o in other], "links": counts})
-        return out[(out["links"] > 0)].astype({"other": "Int64"})
+    def compare(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, (cell, side, member, weight, embedding, carried) in runs(batches):
+            found = _links_of_block(cell[0], np.array(side), np.array(member), np.array(weight), np.stack(embedding), carried, similarity)
+            if found is not None:
+                yield found
 
     return compare
 
 
+def _links_of_block(
+    cell: int, side: np.ndarray, member: np.ndarray, weight: np.ndarray, rows: np.ndarray, carried: list, similarity: float,
+) -> pd.DataFrame | None:
+    """Links between the two sides of a block of a cell, or within it if there is one side only.
+
+    ``side`` is 0 or 1 where two blocks meet and 2 where a block meets itself.
+    """
+    within = side[0] == 2
+    left = np.arange(len(member)) if within else np.flatnonzero(side == 0)
+    right = left if within else np.flatnonzero(side == 1)
+    if not len(left) or not len(right):
+        return None
+    unit = _unit(rows)
+    cosine = unit[left] @ unit[right].T
+    if within:
+        np.fill_diagonal(cosine, -2)
+    linked = cosine >= similarity
+    near = np.abs(cosine - similarity) < 1e-9
+    if not (linked | near).any():
+        return None
+    for i, j in np.argwhere(near):  # decided without the product's rounding
+        linked[i, j] = cosines(unit[right[j]][None, :], unit[left[i]])[0] >= similarity
+    # an earlier cell that both carry has counted the pair
+    before = [np.asarray(c)[np.asarray(c) < cell] for c in carried]
+    earlier = {c: i for i, c in enumerate(np.unique(np.concatenate(before)).tolist())}
+    has = np.zeros((len(member), len(earlier)), dtype=np.float32)
+    for i, c in enumerate(before):
+        has[i, [earlier[x] for x in c.tolist()]] = 1
+    linked &= (has[left] @ has[right].T) < 0.5
+    counts = np.zeros(len(member), dtype=np.int64)
+    counts[left] += linked @ weight[right]
+    if not within:
+        counts[right] += linked.T @ weight[left]
+    other = _forest(linked, left, right, len(member))
+    some = counts > 0
+    out = pd.DataFrame({"member": member, "other": pd.array(np.where(other >= 0, member[other], 0), dtype="Int64"), "links": counts})
+    out.loc[other < 0, "other"] = pd.NA
+    return out[some]
+
+
 def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
     """For each row of the block the least one of its component (-1 for itself): joins what is linked."""
     root = np.arange(n)
