@@ -36,7 +36,7 @@ TRIGGER = re.compile(r"[@0-9]")
 WINDOW, STRIDE, AROUND = 64, 32, 24
 #: Documents to look for training windows in, most windows to train on, both picked by hash order.
 TRAIN_DOCS, TRAIN_WINDOWS = 8_000, 1_000
-HIDDEN, EPOCHS, BATCH, RATE = 16, 12, 128, 0.02
+HIDDEN, STEPS, BATCH, RATE = 16, 160, 128, 0.02
 #: Least mean probability of an added span and least digits of one that isn't an e-mail address.
 SURE, DIGITS = 0.9, 7
 #: Symbols: padding, lower case, upper case, digit, other, then these marks one by one.
@@ -191,10 +191,10 @@ class Tagger:
         self._lstm_back("b", x, b_tape, d_both[:, :, HIDDEN:], grad)
         return grad
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 2) -> Tagger:
-        """Adam over shuffled batches; the same windows give the same weights."""
+    def train(self, x: np.ndarray, y: np.ndarray, steps: int = STEPS, seed: int = 2) -> Tagger:
+        """Adam over shuffled batches, the same number of steps however few windows; the same windows give the same weights."""
         draw, first, second, turn = np.random.default_rng(seed), {}, {}, 0
-        for _ in range(epochs):
+        while turn < steps:
             order = draw.permutation(len(x))
             for at in range(0, len(x), BATCH):
                 turn += 1
