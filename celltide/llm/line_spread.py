@@ -5,9 +5,9 @@ line, merge by aggregation, so a line with a third of all rows leaves each task
 whose estimate is near the threshold, on either side, are counted exactly; the others are decided by the
 sketch. A line keeps its first occurrence and goes from everywhere else.
 
-A copied document would carry each of its lines to all sites of its copies. Lines are therefore first
-grouped with their two neighbours, and each such context counts once, with its smallest site:
-copies share their contexts, while boilerplate stands between other lines each time.
+A copied document carries each of its lines to all sites of its copies, which near-duplicate removal is for.
+A line must therefore also stand in as many different texts as it needs sites; texts are
+sketched and counted like sites. Neighbouring lines play no part.
 
 All of it is native: expressions, aggregations and joins.
 """
@@ -35,40 +35,46 @@ def _line_key(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(row, site, place, line, context) of every line that isn't blank: hashes only, no text."""
+    """(row, site, place, line) of every line that isn't blank: hashes only, no text."""
     parts = F.split(F.col("text"), "\n", -1)
     keyed = docs.select(
         _row_key().alias("row"), F.col("source").alias("site"),
         F.transform(parts, lambda p: _line_key(p)).alias("keys"),
     )
-    placed = keyed.select("row", "site", "keys", F.posexplode("keys").alias("place", "line"))
-    around = F.xxhash64(F.get("keys", F.col("place") - 1), F.get("keys", F.col("place") + 1))
-    return placed.select("row", "site", "place", "line", around.alias("context")).filter("line IS NOT NULL")
+    return keyed.select("row", "site", F.posexplode("keys").alias("place", "line")).filter("line IS NOT NULL")
+
+
+def _counted(held: DataFrame, near: DataFrame, what: str) -> DataFrame:
+    """(line, exact number of distinct values of ``what``) of the lines in ``near``."""
+    found = held.join(near, "line", "left_semi").select("line", what).distinct()
+    return found.groupBy("line").agg(F.count("*").alias(f"counted_{what}"))
 
 
 def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, sketch_bits: int = SKETCH_BITS) -> DataFrame:
-    """(line, sites, exact, first_row, first_place) of all lines on at least ``min_sites`` sites.
+    """(line, sites, exact, first_row, first_place) of all lines on at least ``min_sites`` sites and in as many different texts.
 
     ``sites`` is the exact number where ``exact`` is true, else the sketch's estimate. A null site is a
     site of its own.
     """
     site = F.coalesce(F.concat(F.lit("s"), F.col("site")), F.lit("null"))
-    contexts = checkpoint(lines_of(docs).groupBy("line", "context").agg(
-        F.min(site).alias("site"), F.min(F.struct("row", "place")).alias("first"),
-    ))
+    held = checkpoint(lines_of(docs).groupBy(
+        "line", site.alias("site"), F.struct("row.h1", "row.h2").alias("text"),
+    ).agg(F.min(F.struct("row.doc_id", "place")).alias("first")))
+    row = F.struct("first.doc_id", "text.h1", "text.h2")
     error = NEAR * 1.04 / 2 ** (sketch_bits / 2)
-    # a line with one context is on one site, which needs no sketch
-    sketched = contexts.groupBy("line").agg(
-        F.hll_sketch_agg(F.xxhash64("site"), sketch_bits).alias("sketch"), F.min("first").alias("first"), F.count("*").alias("n"),
-    ).filter(F.col("n") >= min_sites).select("line", "first", F.hll_sketch_estimate("sketch").alias("estimate"))
-    known = checkpoint(sketched.filter(F.col("estimate") >= min_sites * (1 - error) - 1))
-    is_near = F.col("estimate") <= min_sites * (1 + error) + 1
-    near = known.filter(is_near).select("line")
-    counted = contexts.join(near, "line", "left_semi").select("line", "site").distinct().groupBy("line").agg(F.count("*").alias("counted"))
-    return known.join(counted, "line", "left").withColumn("sites", F.coalesce("counted", "estimate")).filter(
-        F.col("sites") >= min_sites,
+    sketch = lambda what: F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(what), sketch_bits))
+    # a line in few places needs no exact count
+    known = checkpoint(held.groupBy("line").agg(
+        sketch("site").alias("site"), sketch("text").alias("text"), F.count("*").alias("n"),
+        F.min(F.struct(row.alias("row"), "first.place")).alias("first"),
+    ).filter((F.col("n") >= min_sites) & (F.least("site", "text") >= min_sites * (1 - error) - 1)))
+    near = lambda what: known.filter(F.col(what) <= min_sites * (1 + error) + 1).select("line")
+    for what in ("site", "text"):
+        known = known.join(_counted(held, near(what), what), "line", "left")
+    return known.withColumn("sites", F.coalesce("counted_site", "site")).filter(
+        (F.col("sites") >= min_sites) & (F.coalesce("counted_text", "text") >= min_sites),
     ).select(
-        "line", "sites", F.col("counted").isNotNull().alias("exact"),
+        "line", "sites", F.col("counted_site").isNotNull().alias("exact"),
         F.col("first.row").alias("first_row"), F.col("first.place").alias("first_place"),
     )
 

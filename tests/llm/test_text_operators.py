@@ -351,6 +351,28 @@ def test_lines_of_many_sites_go_but_for_their_first(spark):
         assert out[i]["text"] == "\n".join(kept) and out[i]["n_removed"] == len(text.split("\n")) - len(kept)
 
 
+def test_blocks_and_paragraphs_of_many_sites_go(spark):
+    own = lambda i, k: f"own line {k} of document {i}"
+    block, paragraph = [f"boilerplate {k}" for k in range(5)], "a paragraph between blank lines"
+    rows = [(i, "\n".join([own(i, 0), *block, own(i, 1)]), f"site{i}") for i in range(30)]
+    rows += [(100 + i, "\n".join(["header one", "header two", own(100 + i, 0), "", paragraph, "", own(100 + i, 1)]), f"site{i}") for i in range(30)]
+    # every document stands on the site that sorts first too
+    rows += [(200 + i + 50 * k, f"{own(200 + i, 0)}\nhot line\n{own(200 + i, 1)}", ["a", f"site{i}"][k]) for i in range(30) for k in range(2)]
+    # nine sites are too few, and so are nine texts on thirty sites
+    rows += [(400 + i, f"{own(400 + i, 0)}\nnine sites", f"site{i % 9}") for i in range(30)]
+    rows += [(500 + i, f"{own(500 + i % 9, 0)}\nnine texts", f"site{i}") for i in range(30)]
+    df = docs_of(spark, rows)
+    out = {r["doc_id"]: r for r in line_spread.remove_boilerplate(df, min_sites=10).collect()}
+    spread = {*block, paragraph, "header one", "header two", "hot line"}
+    seen = set()
+    for i, text, _ in sorted(rows):
+        kept = [x for x in text.split("\n") if x not in spread or x not in seen]
+        seen |= spread & set(text.split("\n"))
+        assert out[i]["text"] == "\n".join(kept) and out[i]["n_removed"] == len(text.split("\n")) - len(kept), i
+    sites = sorted(r["sites"] for r in line_spread.spread_lines(df, min_sites=10).collect())
+    assert sites == pytest.approx([30] * 8 + [31], abs=0.01)
+
+
 def test_line_spread_edge_cases(spark):
     odd = docs_of(spark, [(1, None, "a"), (2, "", None), (None, "x\n\nx", "b"), (None, "x\n\nx", "b"), (3, "x\n" * 3000, "c")])
     out = line_spread.remove_boilerplate(odd.withColumn("line", F.lit(1)).withColumn("n_lines", F.lit("q")), min_sites=2)
