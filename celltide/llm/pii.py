@@ -1,8 +1,9 @@
 """Personal data by patterns and a character-level bidirectional LSTM with a CRF on top.
 
 Patterns give the base spans: e-mail and IP addresses, card and phone numbers. The network learns what such spans look
-like, in which surroundings, from windows of text labelled with base spans, and adds spans that the patterns
-are too strict for. It is trained in numpy on a bounded number of windows and travels with the query.
+like, in which surroundings, from windows of text labelled with base spans, and from the same windows with spans
+rewritten to forms that the patterns miss, and adds spans that the patterns are too strict for. It is trained in
+numpy on a bounded number of windows and travels with the query.
 
 Only text near a digit or ``@`` can hold personal data of these kinds, so a text is cut into stretches around
 them and stretches into overlapping windows. Each window is decoded to tag probabilities by forward-backward; where windows
@@ -13,6 +14,7 @@ reconciles them to spans.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator, Sequence
 
@@ -31,13 +33,16 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TRIGGER = re.compile(r"[@0-9]")
+# what may be personal data in a form that the patterns miss, so no example of other text; dates are
+UNCLEAR = re.compile(r"@|(?<!\w)\(?[0-9][0-9 ()./-]{5,}[0-9](?!\w)")
+DATE = re.compile(r"(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?: [0-9]{1,2})?")
 
 #: Characters of a window, between two windows, and on both sides of a trigger.
 WINDOW, STRIDE, AROUND = 64, 32, 24
 #: Documents to look for training windows in, most windows to train on, both picked by hash order.
 TRAIN_DOCS, TRAIN_WINDOWS = 8_000, 1_000
 HIDDEN, STEPS, BATCH, RATE = 16, 160, 128, 0.02
-#: Least mean probability of an added span and least digits of one that isn't an e-mail address.
+#: Least mean probability of an added span and least digits of an added phone number.
 SURE, DIGITS = 0.9, 7
 #: Symbols: padding, lower case, upper case, digit, other, then these marks one by one.
 MARKS = "@.-+() _%/:,;\n\"'#*|"
@@ -250,15 +255,27 @@ def best_spans(probability: np.ndarray, begin: int) -> list[tuple[int, int, int,
     return out
 
 
+def _plausible(text: str, a: int, b: int, kind: int) -> bool:
+    """Whether a span ends where its words and numbers do and holds what its kind needs, in whatever form."""
+    if a and text[a - 1].isalnum() or b < len(text) and text[b].isalnum():
+        return False
+    numbers = re.findall("[0-9]+", text[a:b])
+    digits = "".join(numbers)
+    if kind == 0:
+        name, at, host = text[a:b].partition("@")
+        return bool(at) and any(map(str.isalnum, name)) and any(map(str.isalnum, host))
+    if kind == 1:
+        return len(numbers) == 4 and all(len(n.lstrip("0")) <= 3 and int(n.lstrip("0") or 0) <= 255 for n in numbers)
+    return 14 <= len(digits) <= 19 and luhn(digits) if kind == 2 else DIGITS <= len(digits) <= 15
+
+
 def _added(text: str, spans: list[tuple[int, int, int, float]], matches: list[tuple[int, int, int, bool]]) -> list[Span]:
-    """What the network adds: sure spans apart from every pattern match, those that failed their check included."""
-    out = []
-    for a, b, kind, sure in spans:
-        part = text[a:b]
-        plausible = "@" in part if kind == 0 else sum(c in "0123456789" for c in part) >= DIGITS
-        if sure >= SURE and plausible and all(b <= x or a >= y for x, y, _, _ in matches):
-            out.append((a, b, kind))
-    return out
+    """What the network adds: sure, plausible spans apart from every base span; a match that failed its check bars nothing."""
+    base = [(x, y) for x, y, _, good in matches if good]
+    return [
+        (a, b, kind) for a, b, kind, sure in spans
+        if sure >= SURE and _plausible(text, a, b, kind) and all(b <= x or a >= y for x, y in base)
+    ]
 
 
 def find_spans(texts: Sequence[str], tagger: Tagger | None) -> list[tuple[list[Span], list[Span]]]:
@@ -298,10 +315,68 @@ def said(spans: Sequence[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in spans)
 
 
+def _missed(part: str, kind: int, draw: random.Random) -> str:
+    """A form of personal data that the patterns miss: an e-mail address made from ``part``, or a number of other kind."""
+    n = lambda k: "".join(draw.choices("0123456789", k=k))
+    if kind == 0:
+        name, _, host = part.partition("@")
+        return name + draw.choice((" @ ", " @ ", " @", "@ ")) + host
+    if kind == 1:
+        return draw.choice((" . ", ". ", " .", "[.]")).join(str(draw.randint(0, 255)) for _ in range(4))
+    if kind == 2:
+        return draw.choice((".", "/", "  ", " - ", "_")).join(n(4) for _ in range(4))
+    return draw.choice((
+        f"({n(3)}) {n(3)}-{n(4)}", f"({n(3)}) {n(3)} {n(4)}", f"({n(3)}){n(3)}-{n(4)}", f"{n(3)}-{n(3)}-{n(4)}", f"{n(3)}.{n(3)}.{n(4)}",
+        f"{n(3)} {n(3)} {n(4)}", f"{n(3)}-{n(4)}", f"1 ({n(3)}) {n(3)}-{n(4)}", f"0{n(2)} / {n(3)} {n(3)} {n(2)}", f"0{n(3)}/{n(6)}",
+        f"0{n(2)} {n(7)}", f"0{n(1)} {n(2)} {n(2)} {n(2)} {n(2)}",
+    ))
+
+
+def _other_number(draw: random.Random) -> str:
+    """A number with marks that is no personal data: a date, a time or an amount."""
+    year, month, day, k = draw.randint(1900, 2099), draw.randint(1, 12), draw.randint(1, 28), draw.randint(1, 999)
+    return draw.choice((
+        f"{year}-{month:02}-{day:02}", f"{day:02}.{month:02}.{year}", f"{month}/{day}/{year}", f"{year}-{month:02}-{day:02} {day:02}:{month:02}",
+        f"{day:02}:{month:02}:{day:02}", f"{k},{year - 1800:03},{k:03}", f"{k}.{year - 1800:03}.{k:03}", f"{k}.{month:02}", f"{year}", f"{k}{year}{day}",
+    ))
+
+
+def rewritten(window: str, labels: Sequence[int], draw: random.Random) -> tuple[str, list[int]] | None:
+    """A window and its tags with each whole span rewritten to a form that the patterns miss, one in five to another number; None without any."""
+    text, out, at = "", [], 0
+    while at < len(labels):
+        tag, end = labels[at], at + 1
+        while tag % 2 and end < len(labels) and labels[end] == tag + 1:
+            end += 1
+        part, own = window[at:end], labels[at:end]
+        if tag % 2 and end < len(labels):
+            kind = 0 if tag == 1 and draw.random() < 0.6 else draw.choice((1, 2, 3, 3))
+            if draw.random() < 0.8:
+                part = _missed(part, kind, draw)
+                own = tags([(0, len(part), kind)], 0, len(part))
+            else:
+                part = _other_number(draw)
+                own = [OUTSIDE] * len(part)
+        text, at = text + part, end
+        out += own
+    return None if text == window else (text[:WINDOW], out[:WINDOW])
+
+
+def _unclear(text: str, spans: Sequence[Span]) -> list[tuple[int, int]]:
+    """What may be personal data outside the base spans."""
+    return [
+        m.span() for m in UNCLEAR.finditer(text)
+        if all(m.end() <= a or m.start() >= b for a, b, _ in spans) and not DATE.fullmatch(m[0].strip("()"))
+        and (m[0] == "@" or DIGITS <= sum(c in "0123456789" for c in m[0]) <= 15 and not m[0].isdigit())
+    ]
+
+
 def train_tagger(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_windows: int = TRAIN_WINDOWS) -> Tagger | None:
     """A tagger trained on windows of ``docs`` (doc_id, text) labelled with base spans; None without any window.
 
     At most ``train_docs`` documents are looked at and at most ``train_windows`` windows come to the driver, both the first in hash order.
+    Windows that hold what may be personal data outside base spans are no examples; the others come a second time with
+    their spans in forms that the patterns miss.
     """
     picked = checkpoint(docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs))
 
@@ -312,20 +387,26 @@ def train_tagger(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_windows: i
                 if text is None:
                     continue
                 spans = [(a, b, k) for a, b, k, good in base_matches(text) if good]
+                unclear = _unclear(text, spans)
                 for begin, end in stretches(text):
                     near = [s for s in spans if s[0] < end and s[1] > begin]
+                    doubt = [d for d in unclear if d[0] < end and d[1] > begin]
                     for s in windows(begin, end):
                         last = min(s + WINDOW, end)
-                        rows.append((text[s:last], tags(near, s, last)))
+                        if all(last <= a or s >= b for a, b in doubt):
+                            rows.append((text[s:last], tags(near, s, last)))
             yield pd.DataFrame(rows, columns=["window", "tags"])
 
     found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text").mapInPandas(label, "window string, tags array<int>")
     rows = found.orderBy(F.xxhash64("window"), "window").limit(train_windows).collect()
     if not rows:
         return None
-    x, y = np.stack([symbols(r["window"]) for r in rows]), np.zeros((len(rows), WINDOW), dtype=np.int64)
-    for i, r in enumerate(rows):
-        y[i, :len(r["tags"])] = r["tags"]
+    labelled = [(r["window"], r["tags"]) for r in rows]
+    draw = random.Random(3)
+    labelled += [new for window, own in labelled if (new := rewritten(window, own, draw))]
+    x, y = np.stack([symbols(window) for window, _ in labelled]), np.zeros((len(labelled), WINDOW), dtype=np.int64)
+    for i, (_, own) in enumerate(labelled):
+        y[i, :len(own)] = own
     return Tagger().train(x, y)
 
 

@@ -235,6 +235,38 @@ def test_tagger_learns_and_windows_reconcile(spark):
         assert all(r["text"][f["start"]:f["end"]] == f["text"] for f in r["found"])
 
 
+def test_network_adds_spans_that_the_patterns_miss(spark):
+    draw = random.Random(6)
+    words = "lorem ipsum dolor sit amet consectetur".split()
+    filler = lambda: " ".join(draw.choices(words, k=draw.randint(4, 10)))
+    n = lambda k: "".join(draw.choices("0123456789", k=k))
+
+    def sentence(part):
+        return f"{filler()} {part} {filler()}"
+
+    def seen():
+        mail = f"{draw.choice(words)}{draw.randint(1, 99)}@{draw.choice(words)}.org"
+        address = ".".join(str(draw.randint(1, 255)) for _ in range(4))
+        return sentence(draw.choice([mail, address, f"+1 ({n(3)}) 555-{n(4)}", str(draw.randint(1, 9999)), "4111111111111111"]))
+
+    tagger = pii.train_tagger(docs_of(spark, [(i, seen(), "s") for i in range(800)]))
+    for kind, make in (
+        (3, lambda: f"({n(3)}) 555-{n(4)}"), (3, lambda: f"030 / {n(3)} {n(3)} {n(2)}"), (3, lambda: f"{n(3)}-{n(3)}-{n(4)}"),
+        (0, lambda: f"john{n(2)} @ {draw.choice(words)}.com"), (1, lambda: " . ".join(str(draw.randint(1, 255)) for _ in range(4))),
+        (2, lambda: "4111.1111.1111.1111"),
+    ):
+        parts = [make() for _ in range(40)]
+        texts = [sentence(p) for p in parts]
+        wanted = [(t.index(p), t.index(p) + len(p), kind) for t, p in zip(texts, parts)]
+        found = [added for _, added in pii.find_spans(texts, tagger)]
+        assert sum(w in f for w, f in zip(wanted, found)) >= 32, parts[0]
+    clean = [sentence(p) for p in ("2024-01-15", "15.01.2024", "12:30:45", "1,234,567", "1999", "4111111111111112", "999.1.1.1", "3 @ 5") for _ in range(5)]
+    assert sum(bool(added) for _, added in pii.find_spans(clean, tagger)) <= 4
+    out = pii.personal_data(docs_of(spark, [(1, sentence("(555) 123-4567"), "s"), (2, sentence("john12 @ example.com"), "s")]), tagger)
+    spans = {r["doc_id"]: r["spans"] for r in out.collect()}
+    assert spans[1].startswith("phone:") and spans[2].startswith("email:")
+
+
 def test_personal_data_edge_cases(spark):
     df = docs_of(spark, [(1, None, "a"), (1, None, "a"), (None, "", None), (2, "é 10.0.0.1", "b")]).withColumn("spans", F.lit(1))
     out = pii.personal_data(df, None).collect()
