@@ -10,7 +10,8 @@ good as certain to be met.
 A dense node, whose sets stay together level after level because they are copies of each other, is compared
 in blocks: first each block within itself and with some hubs of the node, then the few sets that did not
 join the node's main component against all others, so that a large group of copies costs time in
-proportion to its size. No pairs are written: a block gives the links that join its components. Candidate
+proportion to its size. Later trees, which know the components, branch a dense node further while many
+of its sets are outside its main component, and compare those that are left against all others too. No pairs are written: a block gives the links that join its components. Candidate
 pairs are those in one node whose signatures agree well enough; only their texts are shuffled, and
 each link is confirmed on the full sets.
 """
@@ -35,6 +36,8 @@ COORDINATES, AGREE = 64, 37
 TREES = (2, 10)
 #: Sets of a node that is compared at once, levels of branching, sets of a block of a dense node, hubs of a dense node.
 SMALL, DEPTH, BLOCK, HUBS = 64, 4, 128, 4
+#: Levels of branching in the second round for nodes with more than SMALL sets outside their main component.
+DEEP = 12
 _ODD = np.random.default_rng(20).integers(0, 2**32, (2, COORDINATES), dtype=np.uint32) | np.uint32(1)
 _FLIP = np.random.default_rng(21).integers(0, 2**32, COORDINATES, dtype=np.uint32)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -118,10 +121,10 @@ def _branch(frontier: DataFrame) -> DataFrame:
     return frontier.select(F.xxhash64("node", "at", token).alias("node"), "doc", "component")
 
 
-def _paths(sets: DataFrame, trees: range, similarity: float) -> tuple[DataFrame, DataFrame]:
+def _paths(sets: DataFrame, trees: range, similarity: float, deep: int = DEPTH) -> tuple[DataFrame, DataFrame]:
     """Members (node, doc) of the small nodes of some trees, and of the dense ones that stay large to the last level.
 
-    Nodes whose sets are already in one component have nothing to find and are left out. Rows are
+    From level DEPTH to level ``deep`` only nodes with more than SMALL sets outside their main component branch. Nodes whose sets are already in one component have nothing to find and are left out. Rows are
     narrow: signatures join large nodes only.
     """
     # a root's choice is the same for all sets: one row per tree
@@ -129,7 +132,8 @@ def _paths(sets: DataFrame, trees: range, similarity: float) -> tuple[DataFrame,
     roots = sets.sparkSession.range(trees.start, trees.stop).select(root.alias("node"), F.explode(_chosen(root, similarity)).alias("at")).collect()
     chosen = F.array(*[F.struct(F.lit(r["node"]).alias("node"), F.lit(r["at"]).alias("at")) for r in roots])
     frontier, small = sets.select("doc", "component", "signature", F.inline(chosen)), None
-    for _ in range(DEPTH):
+    dense = None
+    for level in range(1, deep + 1):
         children = _branch(frontier)
         counts = children.groupBy("node").agg(
             F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"),
@@ -140,8 +144,17 @@ def _paths(sets: DataFrame, trees: range, similarity: float) -> tuple[DataFrame,
         large = kept.filter("chosen IS NOT NULL").drop("n")
         if large.isEmpty():
             break
+        if level >= DEPTH:
+            rest = large.groupBy("node", "component").agg(F.count("*").alias("n")).groupBy("node").agg((F.sum("n") - F.max("n")).alias("rest"))
+            judged = checkpoint(large.join(rest, "node"))
+            ends = F.lit(level == deep) | (F.col("rest") <= SMALL)
+            done = judged.filter(ends).select("node", "doc")
+            dense = done if dense is None else dense.unionByName(done)
+            large = judged.filter(~ends).drop("rest")
+            if large.isEmpty():
+                break
         frontier = large.withColumn("at", F.explode("chosen")).drop("chosen").join(sets.select("doc", "signature"), "doc")
-    return small, large.select("node", "doc")
+    return small, large.select("node", "doc") if dense is None else dense
 
 
 def _in_block(*parts) -> Column:
@@ -267,8 +280,8 @@ def classify(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
     blocks = small.select(F.col("node").alias("block"), "doc").unionByName(_diagonal(dense))
     first = checkpoint(find_links(blocks, sets, docs, size, percent))
     sets = checkpoint(_with_components(sets, components(first)))
-    small, dense_now = _paths(sets, range(TREES[0], sum(TREES)), similarity)
-    blocks = small.select(F.col("node").alias("block"), "doc").unionByName(_diagonal(dense_now)).unionByName(_crossing(dense, sets))
+    small, dense_now = _paths(sets, range(TREES[0], sum(TREES)), similarity, DEEP)
+    blocks = small.select(F.col("node").alias("block"), "doc").unionByName(_crossing(dense.unionByName(dense_now), sets))
     second = checkpoint(find_links(blocks, sets, docs, size, percent))
     sets = _with_components(sets, components(first.unionByName(second)))
     own = F.coalesce("component", "doc_id")

@@ -85,6 +85,20 @@ def test_classes_equal_brute_force(spark, size, monkeypatch):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_pairs_in_crowded_nodes_are_found(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "SMALL", 8)
+    monkeypatch.setattr(chosen_path, "BLOCK", 8)
+    monkeypatch.setattr(chosen_path, "TREES", (1, 10))  # the first round leaves more to the second
+    monkeypatch.setattr(chosen_path, "DEPTH", 1)  # nodes of some hundred documents
+    # every document holds the passage; a pair shares 80 of 100 words, other documents 60 of 120
+    passage, rows = [f"p{k}" for k in range(60)], []
+    for pair in range(150):
+        both = [f"b{pair}x{k}" for k in range(20)]
+        rows += [(2 * pair + i, " ".join(passage + both + [f"o{pair}x{i}x{k}" for k in range(10)])) for i in range(2)]
+    got = {r["doc_id"]: r["component_id"] for r in chosen_path.classify(spark.createDataFrame(rows, DOCS), size=1).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_near_duplicates_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One two"), (5, "one  TWO\n"), (5, "one two"), (None, "one two"), (None, None), (7, "w " * 20000), (8, "w " * 19000), (9, "É"), (10, "é")]
     df = spark.createDataFrame(rows, DOCS).withColumn("key", F.lit(1)).withColumn("component_id", F.lit("q"))
