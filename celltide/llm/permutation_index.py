@@ -27,9 +27,9 @@ RERANK, SLACK = 0.1, 0.1
 
 
 def pick_pivots(vectors: DataFrame, n: int = PIVOTS) -> np.ndarray:
-    """At most ``n`` distinct vectors of unit length: the first in hash order. Four times as many rows come to the driver."""
-    rows = vectors.orderBy(F.xxhash64("embedding"), "vec_id").limit(4 * n).select("embedding").collect()
-    distinct = list(dict.fromkeys(tuple(r["embedding"]) for r in rows))[:n]
+    """At most ``n`` distinct vectors of unit length: the first in hash order, however many copies they have."""
+    rows = vectors.select("embedding").distinct().orderBy(F.xxhash64("embedding"), "embedding").limit(n).collect()
+    distinct = [tuple(r["embedding"]) for r in rows]
     found = scaled(np.array(distinct, dtype=float).reshape(len(distinct), -1)) if distinct else np.empty((0, 1))
     return found / np.linalg.norm(found, axis=1, keepdims=True)
 

@@ -300,3 +300,13 @@ def test_packing_and_record_bytes(spark):
     assert bytes(record[0]["b"]) == "WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: http://a/\r\nContent-Length: 2\r\n\r\né\r\n\r\n".encode()
     packed = fixity.pack(spark.createDataFrame([("f", i, 10 * i) for i in range(4)], "file string, page_id long, length long"), ["page_id"])
     assert [r["offset"] for r in packed.orderBy("page_id").collect()] == [0, 0, 10, 30]
+
+
+def test_pivots_beside_many_copies_of_one_vector(spark):
+    draw = np.random.default_rng(9)
+    rows = [(i, draw.normal(size=8).tolist(), 0) for i in range(300)]
+    df = spark.createDataFrame(rows, VECTORS)
+    least = df.orderBy(F.xxhash64("embedding")).select("embedding").first()["embedding"]
+    copies = spark.createDataFrame([(1000 + i, least, 0) for i in range(600)], VECTORS)
+    alone, beside = permutation_index.pick_pivots(df), permutation_index.pick_pivots(df.unionByName(copies))
+    assert len(beside) == permutation_index.PIVOTS and np.array_equal(alone, beside)
