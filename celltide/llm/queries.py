@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators and their SQL counterparts."""
+"""Registered queries of the operators and their SQL counterparts."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from celltide.llm import bpe, chosen_path, fixity, lattice, line_spread, mixing, permutation_index, pii, toxicity, url_graph
+from celltide.llm import bpe, chosen_path, fixity, lattice, line_spread, mixing, permutation_index, pii, toxicity, tree_concat, url_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -15,6 +15,9 @@ SQL: dict[str, str] = {}
 
 #: Vocabulary of the registered tokenising query and pipeline stage; the operator takes any rank file.
 RANKS_FILE = "byte_bpe_multi_50k.tiktoken"
+#: Vocabularies of the queries that encode with a merge list and that align it with pieces.
+VOCABULARY_FILE = "byte_bpe_50k.json"
+PIECES_FILE = "piece_bpe_32k.model"
 
 
 def query(function: Query) -> Query:
@@ -129,3 +132,10 @@ def op9_pattern_grammar(spark, sf_dir):
 def op10_chosen_path(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return chosen_path.classify(docs, size=4, similarity=0.8).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op11_tree_concat(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = tree_concat.encode_texts(docs, public_tokenizers.path(VOCABULARY_FILE), public_tokenizers.PATTERN, ids=False)
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -19,3 +19,11 @@ def word_count(text: Column) -> Column:
     Each word becomes one letter and blanks go, which holds no array of words.
     """
     return F.length(F.translate(F.regexp_replace(whole(text), WORD, "w"), " \t\n\x0b\x0c\r", "")).cast("long")
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column is called so, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
