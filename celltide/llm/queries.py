@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from celltide.llm import bpe, chosen_path, fixity, lattice, line_spread, mixing, permutation_index, pii, toxicity, tree_concat, url_graph
+from celltide.llm import bpe, chosen_path, fixity, lattice, length_strata, line_spread, mixing, permutation_index, pii, toxicity, tree_concat, url_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -139,3 +139,34 @@ def op11_tree_concat(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = tree_concat.encode_texts(docs, public_tokenizers.path(VOCABULARY_FILE), public_tokenizers.PATTERN, ids=False)
     return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query
+def op13_length_strata(spark, sf_dir):
+    index = length_strata.build_index(table(spark, sf_dir, "documents"))
+    return length_strata.search(index, table(spark, sf_dir, "benchmark"), k=20)
+
+
+SQL["op13_length_strata"] = r"""
+WITH found AS (
+    SELECT row_number() OVER () AS row, doc_id,
+        regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents WHERE text IS NOT NULL
+), docs AS (SELECT row, doc_id, terms, CAST(len(terms) AS BIGINT) AS n FROM found WHERE len(terms) > 0),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS all_docs, CAST(sum(n) AS BIGINT) AS all_terms FROM docs),
+postings AS (
+    SELECT row, doc_id, term, CAST(count(*) AS BIGINT) AS tf, any_value(100 - 25 + (25 * n * all_docs) // all_terms) AS m
+    FROM (SELECT row, doc_id, n, unnest(terms) AS term FROM docs), totals GROUP BY row, doc_id, term
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(all_docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+    FROM postings, totals GROUP BY term
+), asked AS (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark
+), scores AS (
+    SELECT item_id, row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+    FROM asked JOIN weights USING (term) JOIN postings USING (term) GROUP BY item_id, row, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20
+"""

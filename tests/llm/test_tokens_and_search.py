@@ -1,14 +1,20 @@
 """Tree concatenation, alignment of tokenizers and ranked search on small fixtures."""
 
 import hashlib
+import math
 import random
+import re
+from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from celltide.llm import tree_concat
+from celltide.llm import length_strata, tree_concat
 from celltide.llm.queries import VOCABULARY_FILE
+from tests.conftest import rows
 
 VOCABULARY = public_tokenizers.path(VOCABULARY_FILE)
 PARTS = ["a", " ", "\n", "'", "re", "s", "é", "1", "!", "  ", "aaaa", "the", "\t", "<|endoftext|>", "中", "😀", "▁", "=", "-----", " ", "\r\n"]
@@ -84,3 +90,75 @@ def test_tree_concat_over_tables(spark, library):
     back = tree_concat.decode_ids(out, VOCABULARY).collect()
     assert all(r["decoded"] == (r["text"] or "") for r in back)
     assert tree_concat.encode_texts(docs.limit(0), VOCABULARY, public_tokenizers.PATTERN).count() == 0
+
+
+# --- ranked search -------------------------------------------------------------------------------
+
+def terms_by_hand(text):
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", lowered)
+
+
+def ranked_by_hand(docs, items, k):
+    held = [(i, terms_by_hand(t)) for i, t in docs]
+    held = [(i, w) for i, w in held if w]
+    n_docs, n_terms = len(held), sum(len(w) for _, w in held)
+    df = Counter(t for _, w in held for t in set(w))
+    out = []
+    for item, text in items:
+        scored = []
+        for doc, words in held:
+            tf, m = Counter(words), 100 - 25 + 25 * len(words) * n_docs // n_terms
+            score = sum(
+                math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * tf[t] // (1000 * tf[t] + 12 * m))
+                for t in terms_by_hand(text) if t in tf)
+            if score > 0:
+                scored.append((-score, doc is None, doc or 0, doc))
+        out += [(item, rank + 1, doc, -s) for rank, (s, _, _, doc) in enumerate(sorted(scored, key=lambda x: x[:3])[:k])]
+    return sorted(out, key=repr)
+
+
+def made_docs(n, seed):
+    draw = random.Random(seed)
+    words = [f"w{i}" for i in range(300)] + ["É", "é", "the", "THE", "a-b", "中文", "it's", "x1", "🙂"]
+    draw_word = lambda: words[min(int(draw.paretovariate(0.5)) - 1, len(words) - 1)]
+    return [(i, " ".join(draw_word() for _ in range(int(draw.paretovariate(0.7)) + draw.randint(0, 20)))) for i in range(n)]
+
+
+@pytest.mark.parametrize("first", [1, 4])
+def test_search_equals_scoring_every_document(spark, first, monkeypatch):
+    docs = [(i, t[:4000]) for i, t in made_docs(400, 1)]
+    docs += [(1000 + i, "the same few words w1 w2 w250") for i in range(150)]  # a third of all rows are copies
+    docs += [(None, "w1 w7"), (None, None), (7, None), (8, ""), (9, "-- !!"), (3, docs[3][1]), (3, docs[3][1]), (2000, "w5 w250 " * 3000)]
+    items = [(i, " ".join(t.split()[:25])) for i, t in made_docs(30, 2)]
+    items += [(100, None), (101, ""), (102, "nowhere"), (103, "w1 w1 w1 w250"), (None, "w2 w250"), (104, "The same few words")]
+    monkeypatch.setattr(length_strata, "BLOCK_DOCS", 40)
+    monkeypatch.setattr(length_strata, "CELLS", 300)
+    table = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, terms string").repartition(5)
+    index = length_strata.build_index(table)
+    out = length_strata.search(index, spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, rank int"), k=20, first=first)
+    assert out.columns == ["item_id", "rank", "doc_id", "score"]
+    assert rows(out) == ranked_by_hand(docs, items, 20)
+    strata = index.blocks.groupBy("m").count().collect()
+    assert len(strata) > 5 and max(r["count"] for r in strata) > 1  # several strata, a large one in several blocks
+
+
+def test_low_strata_are_not_visited(spark):
+    """Blocks whose bound stays below the last place reached are left out, with the same result."""
+    docs = [(i, f"rare common {'filler ' * (i % 7)}") for i in range(60)] + [(100 + i, "common " + "pad " * (30 + i)) for i in range(60)]
+    index = length_strata.build_index(spark.createDataFrame(docs, "doc_id long, text string"))
+    queries = length_strata.Queries([(1, "rare common")])
+    shared = spark.sparkContext.broadcast(queries)
+    queries.weigh(index.n_docs, length_strata._collect_terms(index, shared))
+    shared = spark.sparkContext.broadcast(queries)
+    least = np.array([ranked_by_hand(docs, [(1, "rare common")], 20)[0][3] // 2])
+    visited = {r["doc_id"] for r in length_strata._visit(index, shared, least, 20).collect()}
+    assert visited and max(visited) < 100
+
+
+def test_search_of_empty_tables(spark):
+    docs = spark.createDataFrame(made_docs(20, 3), "doc_id long, text string")
+    items = spark.createDataFrame([(1, "the w1")], "item_id long, text string")
+    for d, i in ((docs.limit(0), items), (docs, items.limit(0)), (docs.withColumn("text", F.lit(None).cast("string")), items)):
+        out = length_strata.search(length_strata.build_index(d), i)
+        assert out.columns == ["item_id", "rank", "doc_id", "score"] and out.count() == 0
