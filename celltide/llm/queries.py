@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from celltide.llm import bpe, chosen_path, fixity, lattice, length_strata, line_spread, mixing, permutation_index, pii, toxicity, tree_concat, url_graph
+from celltide.llm import bpe, chosen_path, fixity, lattice, length_strata, line_spread, mixing, permutation_index, pii, token_alignment, toxicity, tree_concat, url_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -170,3 +170,9 @@ postings AS (
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
 FROM scores WHERE score > 0 QUALIFY rank <= 20
 """
+
+
+@query
+def op12_token_alignment(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_alignment.align_texts(docs, public_tokenizers.path(VOCABULARY_FILE), public_tokenizers.path(PIECES_FILE))

@@ -1,19 +1,21 @@
 """Tree concatenation, alignment of tokenizers and ranked search on small fixtures."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from celltide.llm import length_strata, tree_concat
-from celltide.llm.queries import VOCABULARY_FILE
+from celltide.llm import length_strata, token_alignment, tree_concat
+from celltide.llm.queries import PIECES_FILE, VOCABULARY_FILE
 from tests.conftest import rows
 
 VOCABULARY = public_tokenizers.path(VOCABULARY_FILE)
@@ -58,7 +60,7 @@ def test_leaves_cut_anywhere_give_the_same_ids(vocabulary, library):
     for text in made_texts(1500, 2) + ["word" * 300, "it's we're " * 40, " \n \n  x" * 60]:
         size, out = draw.randint(1, 9), []
         for segment, mark in worker.segments(text):
-            out += [i for m in worker.tree([worker.leaf(segment[a:a + size]) for a in range(0, max(len(segment), 1), size)]) for i in m]
+            out += worker.tree([worker.leaf(segment[a:a + size]) for a in range(0, max(len(segment), 1), size)]).ids.tolist()
             out += [] if mark is None else [mark]
         assert out == library.encode(text, add_special_tokens=False).ids
 
@@ -162,3 +164,70 @@ def test_search_of_empty_tables(spark):
     for d, i in ((docs.limit(0), items), (docs, items.limit(0)), (docs.withColumn("text", F.lit(None).cast("string")), items)):
         out = length_strata.search(length_strata.build_index(d), i)
         assert out.columns == ["item_id", "rank", "doc_id", "score"] and out.count() == 0
+
+
+# --- alignment of tokenizers -----------------------------------------------------------------------
+
+def aligned_by_hand(texts, pieces):
+    merges = Tokenizer.from_file(VOCABULARY)
+    merges.encode_special_tokens = True
+    letters = tree_concat.byte_letters()
+    ends = lambda tokens: list(itertools.accumulate(map(len, tokens)))
+    out, linked = [], []
+    for text in texts:
+        a = merges.encode(" " + (text or ""), add_special_tokens=False).ids
+        b = pieces.encode(text or "")
+        as_bytes = [bytes(letters[c] for c in merges.id_to_token(i)) for i in a]
+        bs_bytes = [
+            bytes([int(p[3:5], 16)]) if pieces.is_byte(i) else p.replace("▁", " ").encode()
+            for i in b for p in [pieces.id_to_piece(i)]]
+        whole = (" " + (text or "")).encode()
+        if not text or b"".join(as_bytes) != whole or b"".join(bs_bytes) != whole:
+            out.append((0, 0, [], Counter()))
+            linked.append(Counter())
+            continue
+        ea, eb = ends(as_bytes), ends(bs_bytes)
+        groups, last = [], 0
+        for e in sorted(set(ea) & set(eb)):
+            groups.append(([i for i, x in zip(a, ea) if last < x <= e], [i for i, x in zip(b, eb) if last < x <= e]))
+            last = e
+        out.append((len(a), len(b), groups, None))
+        linked.append(Counter((x, y) for g, h in groups for x in g for y in h))
+    held = Counter(p for c in linked for p in c)
+    best = defaultdict(int)
+    for (a, _), n in held.items():
+        best[a] = max(best[a], n)
+    result = []
+    for (n_a, n_b, groups, _), links in zip(out, linked):
+        shown = ";".join(",".join(map(str, g)) + "|" + ",".join(map(str, h)) for g, h in groups)
+        result.append((
+            n_a, n_b, len(groups), sum(links.values()), sum(n for p, n in links.items() if held[p] == best[p[0]]),
+            sum(n * held[p] for p, n in links.items()), hashlib.sha256(shown.encode()).hexdigest() if shown else ""))
+    return result
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_alignment_equals_pairing_by_hand(spark, small, monkeypatch):
+    if small:  # many shares, batches and slices
+        monkeypatch.setattr(token_alignment, "SHARE_CHARS", 60)
+        monkeypatch.setattr(token_alignment, "BATCH_CHARS", 300)
+        monkeypatch.setattr(token_alignment, "SLICE_LINKS", 7)
+    texts = [None, "", " ", "  two  spaces ", "a\n  b\n\n c", "▁", "<s> <unk> <0x0A> <|endoftext|>", "x\x00y", "ﬁ ① é", "=" * 400, "tail ", "　 wide", "a\xa0 b \x1c c"]
+    texts += made_texts(150, 11) + ["hot copies of one text"] * 60 + ["The quick brown fox isn't naïve 中文 12345 " * 20]
+    table = [(i, t, "kept", "n") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, row string, n_best string").repartition(4)
+    out = token_alignment.align_texts(docs, VOCABULARY, public_tokenizers.path(PIECES_FILE))
+    assert out.columns == ["doc_id", "row", *token_alignment.RESULT]
+    want = aligned_by_hand(texts, SentencePieceProcessor(model_file=public_tokenizers.path(PIECES_FILE)))
+    found = {r["doc_id"]: tuple(r[c] for c in token_alignment.RESULT) for r in out.collect()}
+    assert len(found) == len(texts)
+    for i, t in enumerate(texts):
+        assert found[i] == want[i], t
+
+
+def test_alignment_of_empty_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (None, None)], "doc_id long, text string")
+    run = lambda df: token_alignment.align_texts(df, VOCABULARY, public_tokenizers.path(PIECES_FILE))
+    assert run(docs.limit(0)).count() == 0
+    assert sorted((r["doc_id"] or 0, r["n_links"], r["count_sum"]) for r in run(docs).collect()) == [(0, 0, 0), (0, 2, 6), (1, 2, 6), (1, 2, 6)]
+    assert [r["n_a"] for r in run(docs.filter("text IS NULL")).collect()] == [0]
