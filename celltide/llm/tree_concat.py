@@ -16,7 +16,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
@@ -63,6 +64,18 @@ class Vocabulary:
         self.held = 0
 
 
+def _numbers(values: Iterable[int]) -> np.ndarray:
+    return np.fromiter(values, dtype=np.uint32)
+
+
+@dataclass
+class Part:
+    """Encoding of a stretch of text: all ids, and how many each match of the pattern has."""
+
+    ids: np.ndarray
+    sizes: np.ndarray
+
+
 class Encoder:
     """Encodes and decodes with one vocabulary, which remembers the matches seen."""
 
@@ -171,51 +184,59 @@ class Encoder:
         joined = ",".join(shown)
         return joined.count(",") + 1 if joined else 0, joined, b"".join(raw)
 
-    def leaf(self, text: str) -> list[list[int]]:
+    def leaf(self, text: str) -> Part:
         """Ids of each match of a leaf."""
-        return list(map(self.match, self.pattern.findall(text)))
+        pieces = self.pattern.findall(text)
+        self.learn(pieces)
+        shown = list(map(self.v.shown.__getitem__, pieces))
+        ids = np.array(",".join(shown).split(",") if shown else [], dtype=np.uint32)
+        return Part(ids, np.array([s.count(",") + 1 for s in shown], dtype=np.uint32))
 
-    def concat_leaves(self, left: list[list[int]], right: list[list[int]]) -> list[list[int]]:
+    def concat_leaves(self, left: Part, right: Part) -> Part:
         """Matches of two neighbouring leaves together."""
-        if not left or not right:
-            return left + right
-        tail, behind = [], 0  # matches of the left leaf that its end may have changed
-        while len(tail) < len(left):
-            piece = self.decode(left[-1 - len(tail)]).decode()
+        if not len(left.sizes) or not len(right.sizes):
+            return left if len(left.sizes) else right
+        tail: list[str] = []  # matches of the left leaf that its end may have changed
+        at, behind = len(left.ids), 0
+        while len(tail) < len(left.sizes):
+            begin = at - int(left.sizes[-1 - len(tail)])
+            ids = left.ids[begin:at].tolist()
+            piece = self.decode(ids).decode()
             if behind >= 1 and behind + len(piece) >= LOOKAHEAD:
                 break
+            last = last if tail else ids
             tail.append(piece)
-            behind += len(piece)
-        kept, tail_text, reach = len(left) - len(tail), "".join(reversed(tail)), 4
+            at, behind = begin, behind + len(piece)
+        kept, tail_text, reach = len(left.sizes) - len(tail), "".join(reversed(tail)), 4
         while True:
-            head = [self.decode(ids).decode() for ids in right[:reach]]
-            window, ends = tail_text + "".join(head), {len(tail_text): 0}
-            at = len(tail_text)
+            ends, starts = {len(tail_text): 0}, [0, *np.cumsum(right.sizes[:reach], dtype=np.int64).tolist()]
+            heads = [right.ids[x:y].tolist() for x, y in zip(starts, starts[1:])]
+            head = [self.decode(ids).decode() for ids in heads]
+            window, place = tail_text + "".join(head), len(tail_text)
             for i, piece in enumerate(head):
-                at += len(piece)
-                ends[at] = i + 1
-            everything, middle = reach >= len(right), []
+                place += len(piece)
+                ends[place] = i + 1
+            everything, middle = reach >= len(right.sizes), []
             for m in self.pattern.finditer(window):
                 if not everything and (m.end() + 1 > len(window) or m.start() + LOOKAHEAD > len(window)):
                     break
                 middle.append(m)
                 if m.end() in ends and m.end() >= len(tail_text):
-                    parts = [self._across(m, len(tail_text), left[-1], right[0], tail[0], head[0]) for m in middle]
-                    return left[:kept] + parts + right[ends[m.end()]:]
+                    parts, agreed = [], ends[m.end()]
+                    for m in middle:
+                        as_one = m.start() == len(tail_text) - len(tail[0]) and m.end() == len(tail_text) + len(head[0])
+                        parts.append(self.concat(last, heads[0]) if as_one else self.match(m.group()))
+                    return Part(
+                        np.concatenate([left.ids[:at], *map(_numbers, parts), right.ids[starts[agreed]:]]),
+                        np.concatenate([left.sizes[:kept], _numbers(map(len, parts)), right.sizes[agreed:]]))
             reach *= 2
 
-    def _across(self, m: regex.Match, join: int, left: list[int], right: list[int], last: str, first: str) -> list[int]:
-        """Ids of a match near a join; where it is the last and the first match as one, theirs are put together."""
-        if m.start() == join - len(last) and m.end() == join + len(first):
-            return self.concat(left, right)
-        return self.match(m.group())
-
-    def tree(self, leaves: list[list[list[int]]]) -> list[list[int]]:
+    def tree(self, leaves: list[Part]) -> Part:
         """Neighbouring leaves put together level by level."""
         while len(leaves) > 1:
             pairs = zip(leaves[::2], leaves[1::2])
             leaves = [self.concat_leaves(a, b) for a, b in pairs] + ([leaves[-1]] if len(leaves) % 2 else [])
-        return leaves[0] if leaves else []
+        return leaves[0]
 
 
 def _digests(n: int, shown: str, raw: bytes) -> tuple[int, str, str]:
@@ -223,19 +244,6 @@ def _digests(n: int, shown: str, raw: bytes) -> tuple[int, str, str]:
     return n, hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
-def _pack(matches: list[list[int]]) -> tuple[bytes, bytes]:
-    ids = np.array([i for m in matches for i in m], dtype="<u4")
-    return ids.tobytes(), np.array([len(m) for m in matches], dtype="<u4").tobytes()
-
-
-def _unpack(ids: bytes, sizes: bytes) -> list[list[int]]:
-    flat, at, out = np.frombuffer(ids, dtype="<u4").tolist(), 0, []
-    for n in np.frombuffer(sizes, dtype="<u4").tolist():
-        out.append(flat[at:at + n])
-        at += n
-    return out
-
-
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -277,12 +285,14 @@ def encode_texts(docs: DataFrame, vocabulary_path: str, pattern: str, column: st
     def encode_leaf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         worker = Encoder(shared.value, pattern)
         for batch in batches:
-            yield pd.DataFrame([_pack(worker.leaf(t)) for t in batch], columns=["ids", "sizes"])
+            parts = [worker.leaf(t) for t in batch]
+            yield pd.DataFrame([(p.ids.tobytes(), p.sizes.tobytes()) for p in parts], columns=["ids", "sizes"])
 
     def put_together(of: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         worker, out = Encoder(shared.value, pattern), []
         for _, part in rows.sort_values(["segment", "leaf"]).groupby("segment", sort=True):
-            out += [i for m in worker.tree([_unpack(a, b) for a, b in zip(part["ids"], part["sizes"])]) for i in m]
+            leaves = [Part(np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)) for a, b in zip(part["ids"], part["sizes"])]
+            out += worker.tree(leaves).ids.tolist()
             if not pd.isna(mark := part["mark"].iloc[0]):
                 out.append(int(mark))
         shown = ",".join(map(str, out))
