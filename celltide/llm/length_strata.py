@@ -27,6 +27,8 @@ from celltide.runtime import checkpoint
 
 #: Documents and terms (with repeats) of a block, about; bounds what one group holds. A longer text is a block of its own.
 BLOCK_DOCS, BLOCK_TERMS = 1024, 500_000
+#: Bytes of text whose terms lie in a task's memory together; a longer text is a share of its own.
+SHARE_BYTES = 2_000_000
 #: Queries that go through the index together.
 ITEMS = 1024
 #: Blocks that each query visits first, those with its highest bounds.
@@ -71,9 +73,17 @@ def _term_count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([len(terms_of(t)) for t in batch], dtype="int64")
 
 
+def _shares(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``SHARE_BYTES`` of text."""
+    part = np.cumsum(pc.binary_length(batch.column(2)).to_numpy().astype(np.int64)) // SHARE_BYTES
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        yield batch.slice(a, b - a)
+
+
 def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, salt, text) to (doc_id, salt, n, terms, tfs); texts without terms go."""
-    for batch in batches:
+    """Rows (doc_id, salt, text) to (doc_id, salt, n, terms, tfs), a share of the bytes at a time; texts without terms go."""
+    for batch in (share for whole_batch in batches for share in _shares(whole_batch)):
         n, terms, tfs, ends, at = [], [], [], [0], []
         for row, text in enumerate(batch.column(2).to_pylist()):
             counted = Counter(terms_of(text))
