@@ -14,6 +14,7 @@ import os
 import re
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -26,13 +27,13 @@ from celltide.llm.tree_concat import byte_letters
 from celltide.runtime import checkpoint
 
 #: Characters of the documents whose tokens lie in memory together; a longer text is a share of its own.
-SHARE_CHARS = 2_000_000
+SHARE_CHARS = 1_000_000
 #: Characters of a batch: its documents share one list of pairs. A longer text is a batch of its own.
-BATCH_CHARS = 24_000_000
+BATCH_CHARS = 8_000_000
 #: Links that one join puts out at once.
 SLICE_LINKS = 4_000_000
-#: Bytes of remembered words, after which a worker forgets them (the result is the same).
-MEMORY_BYTES = 200_000_000
+#: Remembered words, after which a worker forgets them (the result is the same).
+MEMORY_WORDS = 500_000
 
 #: Words with the white space before them. Neither tokenizer has a token across the end of one: it lies between a
 #: character that is no white space and a space.
@@ -70,32 +71,45 @@ class TokenizerPair:
         self.merges, self.pieces = Tokenizer.from_str(self.files[0]), SentencePieceProcessor(model_proto=self.files[1])
         self.merges.encode_special_tokens = True
         self.before = len(self.pieces.encode("x"))
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.held = 0
-
-    def encode(self, words: list[str]) -> tuple[list[bytes], list[bytes]]:
-        """Ids of each word by both tokenizers, packed as 32-bit integers."""
-        if self.held > MEMORY_BYTES:
-            self.known, self.held = {}, 0
-        new = [w for w in words if w not in self.known]
-        first = self.merges.encode_batch_fast(new, add_special_tokens=False)
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids, self.ends = [np.zeros(0, dtype=np.int32) for _ in "ab"], [np.zeros(1, dtype=np.int64) for _ in "ab"]
+
+    def learn(self, words: list[str]) -> None:
+        """Encode the words that are new by both tokenizers and append their ids to the lists."""
+        if len(self.place) > MEMORY_WORDS:
+            self.forget()
+        new = [w for w in words if w not in self.place]
+        if not new:
+            return
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+        first = [e.ids for e in self.merges.encode_batch_fast(new, add_special_tokens=False)]
         # behind another word, so that the space that begins a text is not added to each
         second = self.pieces.encode(["x" + w for w in new], num_threads=1)
-        for word, a, b in zip(new, first, second):
-            packed = np.array(a.ids, dtype="<i4").tobytes(), np.array(b[self.before:], dtype="<i4").tobytes()
-            self.known[word] = packed
-            self.held += 350 + sum(map(len, packed))
-        found = [self.known[w] for w in words]
-        return [a for a, _ in found], [b for _, b in found]
+        for i, (lists, skip) in enumerate(((first, 0), (second, self.before))):
+            length = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+            flat = np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=int(length.sum()))
+            if skip:
+                flat = np.delete(flat, _spread(np.cumsum(length) - length, np.full(len(lists), skip)))
+            self.ends[i] = np.concatenate([self.ends[i], self.ends[i][-1] + np.cumsum(length - skip)])
+            self.ids[i] = np.concatenate([self.ids[i], flat])
+
+    def encode(self, words: pa.DictionaryArray) -> list[pa.LargeListArray]:
+        """Ids of each word by both tokenizers, as lists."""
+        distinct = words.dictionary.to_pylist()
+        self.learn(distinct)
+        at = pa.array(np.fromiter(map(self.place.__getitem__, distinct), dtype=np.int64, count=len(distinct))).take(words.indices)
+        return [pa.LargeListArray.from_arrays(pa.array(e), pa.array(i)).take(at) for e, i in zip(self.ends, self.ids)]
 
 
 # --- one share of documents ------------------------------------------------------------------------
 
-def _lists(packed: list[bytes], of: pa.Array) -> pa.ListArray:
-    """Ids of each word, dealt to the places where the word stands."""
-    ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed], dtype=np.int64)])
-    ids = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))
-    return pa.LargeListArray.from_arrays(pa.array(ends), ids).take(of)
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges that begin at ``starts``, one range after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
 
 
 def _cut(values: pa.Array, of: np.ndarray, n: int) -> pa.LargeListArray:
@@ -109,7 +123,7 @@ class Side:
 
     def __init__(self, lists: pa.ListArray, doc_of_word: np.ndarray, token_bytes: pa.Array, n_docs: int):
         self.ids = lists.flatten()
-        self.doc = doc_of_word[pc.list_parent_indices(lists).to_numpy()]
+        self.doc = doc_of_word[pc.list_parent_indices(lists).to_numpy()].astype(np.int64)
         self.bytes, self.n_docs = token_bytes, n_docs
         self.count = np.bincount(self.doc, minlength=n_docs)
 
@@ -146,22 +160,34 @@ def _distinct(ids: np.ndarray, group: np.ndarray, size: np.ndarray, width: int,
     })
 
 
-def _links(a: pa.Table, b: pa.Table, doc_of_group: np.ndarray, n_pairs: int, width: int) -> pa.Table:
-    """(doc, pair, times) of all links, a slice of groups at a time; pair is a * width + b."""
-    partners = np.bincount(b.column("group").to_numpy(), minlength=len(doc_of_group))
-    slice_of = np.cumsum(partners[a.column("group").to_numpy()]) // SLICE_LINKS
-    parts = []
+def _links(a: Side, b: Side, groups: list[np.ndarray], doc_of_group: np.ndarray) -> pa.Table:
+    """(doc, pair, times) of all links; pair is a's id times the number of b's ids, plus b's id.
+
+    A group of one token of each side is a link as it stands; the others meet in joins on the group, a slice of groups at a time.
+    """
+    size_a, size_b = (np.bincount(g, minlength=len(doc_of_group)) for g in groups)
+    wide_a, wide_b = len(a.bytes), len(b.bytes)
+    alone = (size_a == 1) & (size_b == 1)
+    one_a, one_b = alone[groups[0]], alone[groups[1]]
+    ids_a, ids_b = a.ids.to_numpy().astype(np.int64), b.ids.to_numpy().astype(np.int64)
+    keys = [(a.doc[one_a] * wide_a + ids_a[one_a]) * wide_b + ids_b[one_b]]
+    times = [np.ones(len(keys[0]), dtype=np.int64)]
+    left = _distinct(ids_a[~one_a], groups[0][~one_a], size_a, wide_a, ["a", "na"])
+    right = _distinct(ids_b[~one_b], groups[1][~one_b], size_b, wide_b, ["b", "nb"])
+    partners = np.bincount(right.column("group").to_numpy(), minlength=len(doc_of_group))
+    slice_of = np.cumsum(partners[left.column("group").to_numpy()]) // SLICE_LINKS
+    summed = [pa.table({"key": keys[0], "times": times[0]})]
     for s in range(int(slice_of[-1]) + 1 if len(slice_of) else 0):
-        both = a.filter(pa.array(slice_of == s)).join(b, "group", join_type="inner", use_threads=False)
-        doc = doc_of_group[both.column("group").to_numpy()].astype(np.int64)
-        key = doc * n_pairs + both.column("a").to_numpy() * width + both.column("b").to_numpy()
-        times = both.column("na").to_numpy() * both.column("nb").to_numpy()
-        parts.append(pa.table({"key": key, "times": times}).group_by("key", use_threads=False).aggregate([("times", "sum")]))
-    if not parts:
-        return pa.table({"doc": pa.array([], pa.int64()), "pair": pa.array([], pa.int64()), "times": pa.array([], pa.int64())})
-    summed = parts[0] if len(parts) == 1 else pa.concat_tables(parts).group_by("key", use_threads=False).aggregate([("times_sum", "sum")])
-    key = summed.column("key").to_numpy()
-    return pa.table({"doc": key // n_pairs, "pair": key % n_pairs, "times": summed.column(summed.schema.names[-1])})
+        both = left.filter(pa.array(slice_of == s)).join(right, "group", join_type="inner", use_threads=False)
+        key = (doc_of_group[both.column("group").to_numpy()] * wide_a + both.column("a").to_numpy()) * wide_b + both.column("b").to_numpy()
+        summed.append(_added(pa.table({"key": key, "times": both.column("na").to_numpy() * both.column("nb").to_numpy()})))
+    total = _added(pa.concat_tables(summed))
+    key = total.column("key").to_numpy()
+    return pa.table({"doc": (key // (wide_a * wide_b)).astype(np.int32), "pair": key % (wide_a * wide_b), "times": pc.cast(total.column("times"), pa.int32())})
+
+
+def _added(links: pa.Table) -> pa.Table:
+    return links.group_by("key", use_threads=False).aggregate([("times", "sum")]).rename_columns(["key", "times"])
 
 
 def align(texts: list[str], pair: TokenizerPair) -> tuple[dict[str, np.ndarray | list[str]], pa.Table]:
@@ -171,10 +197,7 @@ def align(texts: list[str], pair: TokenizerPair) -> tuple[dict[str, np.ndarray |
     words = [_WORD.findall(t) for t in spaced]
     doc_of_word = np.repeat(np.arange(n), [len(w) for w in words])
     coded = pa.array([w for of in words for w in of], pa.large_string()).dictionary_encode()
-    first, second = pair.encode(coded.dictionary.to_pylist())
-    place = coded.indices
-    a = Side(_lists(first, place), doc_of_word, pair.bytes_a, n)
-    b = Side(_lists(second, place), doc_of_word, pair.bytes_b, n)
+    a, b = (Side(lists, doc_of_word, token_bytes, n) for lists, token_bytes in zip(pair.encode(coded), (pair.bytes_a, pair.bytes_b)))
     expected = pa.array([t.encode() for t in spaced], pa.large_binary())
     same = np.array([bool(t) for t in texts], dtype=bool)
     for side in (a, b):
@@ -196,11 +219,7 @@ def align(texts: list[str], pair: TokenizerPair) -> tuple[dict[str, np.ndarray |
     per_doc = lambda values: np.bincount(doc_of_group, values, minlength=n)
     shown = pc.binary_join(_cut(pc.binary_join_element_wise(
         a.shown(groups[0], n_groups), b.shown(groups[1], n_groups), "|"), doc_of_group, n), ";").to_pylist()
-    width = len(pair.bytes_b)
-    links = _links(
-        _distinct(a.ids.to_numpy(), groups[0], size_a, len(pair.bytes_a), ["a", "na"]),
-        _distinct(b.ids.to_numpy(), groups[1], size_b, width, ["b", "nb"]),
-        doc_of_group, len(pair.bytes_a) * width, width)
+    links = _links(a, b, groups, doc_of_group)
     return {
         "n_a": a.count, "n_b": b.count, "n_groups": np.bincount(doc_of_group, minlength=n),
         "n_links": per_doc(size_a * size_b).astype(np.int64), "groups": [s if ok else "" for s, ok in zip(shown, same)],
@@ -237,7 +256,7 @@ class Batch:
         columns, links = align(texts, pair)
         self.rows.append(rows)
         self.columns.append(columns)
-        self.links.append(links.set_column(0, "doc", pc.add(links.column("doc"), self.docs)))
+        self.links.append(links.set_column(0, "doc", pc.add(links.column("doc"), pa.scalar(self.docs, pa.int32()))))
         self.docs += len(texts)
         self.chars += sum(map(len, texts))
 
