@@ -456,6 +456,17 @@ RAW["dense_grid"] = f"""SELECT m.year_month, string_agg(CAST(COALESCE(code, -1)
 RAW["clip_cells"] = f"""SELECT DISTINCT priogrid_gid FROM (SELECT priogrid_gid, {_S} AS s, {_Wst} AS w FROM (SELECT DISTINCT priogrid_gid FROM v_events)) CROSS JOIN (
   SELECT 10.003 + (s_suppkey * 7919 % 1800) / 100.0 AS y, 92.5041 + (s_suppkey * 104729 % 900) / 100.0 AS x, 0.3 + (s_suppkey % 7) / 4.0 AS r FROM supplier)
   WHERE greatest(w - x, 0, x - w - 0.5) + greatest(s - y, 0, y - s - 0.5) <= r"""
+_LINE = "greatest(0.0, least(w + 0.5, x + (r - abs(v - y))) - greatest(w, x - (r - abs(v - y))))"
+CTE["diamond_cell"] = f"""SELECT DISTINCT priogrid_gid, {_S} AS s, {_Wst} AS w, polygon_id, x, y, r FROM v_events CROSS JOIN (
+  SELECT s_suppkey AS polygon_id, CAST(10.003 AS DOUBLE) + (s_suppkey * 7919 % 1800) / CAST(100 AS DOUBLE) AS y,
+    CAST(92.5041 AS DOUBLE) + (s_suppkey * 104729 % 900) / CAST(100 AS DOUBLE) AS x, CAST(0.3 AS DOUBLE) + (s_suppkey % 7) / CAST(4 AS DOUBLE) AS r FROM supplier)
+  WHERE greatest(w - x, 0, x - w - 0.5) + greatest(s - y, 0, y - s - 0.5) < r"""
+# the covered width is linear between the heights where a diamond bends or meets the cell's sides
+RAW["clip_shapes"] = rounded(f"""SELECT priogrid_gid, polygon_id, SUM((v - v0) * (f + f0) / 2) / 0.25 AS share FROM (
+  SELECT priogrid_gid, polygon_id, v, {_LINE} AS f, lag(v) OVER o AS v0, lag({_LINE}) OVER o AS f0 FROM (
+    SELECT *, unnest(list_transform([s, s + 0.5, y, y - r, y + r, y - (r - abs(w - x)), y + (r - abs(w - x)), y - (r - abs(w + 0.5 - x)), y + (r - abs(w + 0.5 - x))],
+      lambda h: least(greatest(h, s), s + 0.5))) AS v FROM diamond_cell)
+  WINDOW o AS (PARTITION BY priogrid_gid, polygon_id ORDER BY v)) GROUP BY 1, 2""", "share")
 CTE["sent"] = f"""SELECT CAST(priogrid_gid + dr * 720 + dc AS BIGINT) AS priogrid_gid, year_month, total_events, total_fatalities
   FROM dense CROSS JOIN (SELECT unnest(range(-1, 2)) AS dr) CROSS JOIN (SELECT unnest(range(-1, 2)) AS dc) WHERE dr <> 0 OR dc <> 0"""
 _NBR = ["total_events", "total_fatalities"]

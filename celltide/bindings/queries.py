@@ -13,7 +13,7 @@ from celltide.bindings import tables as t
 from celltide.functions import dates, grid, values
 from celltide.operators import (
     actors, baselines, bootstrap, curves, dedup, evaluation as ev, folds, grid as grid_ops, keys, models,
-    panel as panel_ops, running, summaries, votes,
+    panel as panel_ops, running, shapes, summaries, votes,
 )
 from celltide.plans import events as event_plans, labels as label_plans, panel as panel_plans, target as target_plans
 from celltide.runtime import checkpoint, checkpoint_folder
@@ -216,6 +216,13 @@ def clip_cells(spark, sf):
     return grid_ops.clip_cells(t.events(spark, sf).select(CELL).distinct(), t.boundary(spark, sf))
 
 
+@query
+def clip_shapes(spark, sf):
+    """Share of each event cell that each diamond covers, from the polygons cut along the cells."""
+    shares = shapes.clip_shapes(t.events(spark, sf).select(CELL).distinct(), shapes.rings(t.corners(spark, sf)))
+    return rounded(shares.select(CELL, "polygon_id", "share"))
+
+
 @query
 def neighbour_features(spark, sf):
     return rounded(grid_ops.neighbour_features(

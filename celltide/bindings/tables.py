@@ -206,19 +206,23 @@ def blocks(rows: DataFrame) -> DataFrame:
         ((grid.cell_row(c) * 7 + grid.cell_col(c)) % 10).alias("block"))
 
 
-def boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of one diamond per supplier, as a polygon table."""
+def corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One diamond per supplier as a table of vertices."""
     centre = table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("polygon_id"),
         F.expr("10.003D + (s_suppkey * 7919 % 1800) / 100.0D").alias("y"),
         F.expr("92.5041D + (s_suppkey * 104729 % 900) / 100.0D").alias("x"),
         F.expr("0.3D + (s_suppkey % 7) / 4.0D").alias("r"))
-    corners = [("x", "y + r"), ("x + r", "y"), ("x", "y - r"), ("x - r", "y")]
-    edges = [
-        F.struct(F.expr(a[0]).alias("lon1"), F.expr(a[1]).alias("lat1"), F.expr(b[0]).alias("lon2"), F.expr(b[1]).alias("lat2"))
-        for a, b in zip(corners, corners[1:] + corners[:1])
-    ]
-    return centre.select("polygon_id", F.inline(F.array(*edges)))
+    at = [F.struct(F.lit(i).alias("seq"), F.expr(x).alias("lon"), F.expr(y).alias("lat")) for i, (x, y) in enumerate(
+        [("x", "y + r"), ("x + r", "y"), ("x", "y - r"), ("x - r", "y")])]
+    return centre.select("polygon_id", F.lit(0).alias("ring"), F.lit(False).alias("hole"), F.inline(F.array(*at)))
+
+
+def boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the same diamonds, as a polygon table."""
+    of_polygon = corners(spark, sf_dir).groupBy("polygon_id").agg(F.array_sort(F.collect_list(F.struct("seq", "lon", "lat"))).alias("v"))
+    edge = lambda i: F.struct(*[F.col("v")[k % 4][c].alias(f"{c}{1 + k - i}") for k in (i, i + 1) for c in ("lon", "lat")])
+    return of_polygon.select("polygon_id", F.inline(F.array(*[edge(i) for i in range(4)])))
 
 
 def static_table(spark: SparkSession, sf_dir: str) -> DataFrame:

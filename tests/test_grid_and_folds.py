@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from celltide import schemas
-from celltide.operators import folds, grid as ops, models
+from celltide.operators import folds, grid as ops, models, shapes
 from celltide.operators.baselines import class_weights
 from celltide.streaming import stream_cell_months
 from tests.conftest import rows
@@ -170,3 +170,81 @@ def test_clip_at_the_end_of_the_grid(spark):
     assert got == {at(r, c) for r in (200, 201, 204) for c in (710, 719)}
     got = {r[0] for r in ops.clip_cells(cells, frame(box(175.1, 88.1, 180.0, 90.0))).collect()}
     assert got == {at(359, 710), at(359, 719)}
+
+
+# --- clipped shapes -----------------------------------------------------------------------
+
+POINTS = "polygon_id long, ring int, hole boolean, seq int, lon double, lat double"
+
+
+def ring_points(polygon, ring, hole, corners):
+    return [(polygon, ring, hole, i, float(x), float(y)) for i, (x, y) in enumerate(corners)]
+
+
+def covered_by_slabs(polygon_rings, w, s, step=0.5):
+    """Area of a polygon inside a box by the even-odd rule, exact between the heights where any edge bends or meets the box."""
+    edges = [(a, b) for ring in polygon_rings for a, b in zip(ring, ring[1:] + ring[:1])]
+    heights = {s, s + step} | {y for ring in polygon_rings for _, y in ring}
+    for (x1, y1), (x2, y2) in edges:
+        heights |= {y1 + (y2 - y1) * (x - x1) / (x2 - x1) for x in (w, w + step) if (x1 - x) * (x2 - x) < 0}
+    heights = sorted(y for y in heights if s <= y <= s + step)
+    area = 0.0
+    for low, high in zip(heights, heights[1:]):
+        middle, width = (low + high) / 2, 0.0
+        xs = sorted(x1 + (x2 - x1) * (middle - y1) / (y2 - y1) for (x1, y1), (x2, y2) in edges if (y1 > middle) != (y2 > middle))
+        for a, b in zip(xs[::2], xs[1::2]):
+            width += max(0.0, min(b, w + step) - max(a, w))
+        area += width * (high - low)
+    return area / step**2
+
+
+def shapes_of(spark, points, positions):
+    table = spark.createDataFrame(points, POINTS).repartition(3)
+    out = shapes.clip_shapes(cells_of(spark, *positions), shapes.rings(table)).collect()
+    return {(r["polygon_id"], r["priogrid_gid"]): r for r in out}
+
+
+def test_clipped_shapes_of_concave_and_holed_polygons(spark):
+    star = [(5.013 + (2.5 if k % 2 else 4.7) * math.cos(k * math.pi / 7), 4.017 + (2.5 if k % 2 else 4.7) * math.sin(k * math.pi / 7)) for k in range(14)]
+    hole = [(4.631, 3.611), (5.427, 3.633), (6.411, 5.429), (4.617, 4.443)]
+    comb = [(-3.0, -3.0)] + [(x / 10, -1.2 if x % 2 else -2.8) for x in range(-29, 0)] + [(0.0, -3.0)]  # leaves and re-enters each cell
+    whole = {1: [star, hole], 2: [comb], 3: [list(reversed(star))]}
+    points = ring_points(1, 0, False, star) + ring_points(1, 1, True, hole) + ring_points(2, 0, False, [*comb, comb[0]]) + ring_points(3, 0, None, whole[3][0])
+    positions = [(r, c) for r in range(165, 200) for c in range(345, 385)]
+    found = shapes_of(spark, points, positions)
+    full = 0
+    for k, polygon in whole.items():
+        for r, c in positions:
+            share = covered_by_slabs(polygon, c * 0.5 - 180, r * 0.5 - 90)
+            got = found.get((k, at(r, c)))
+            assert abs((got["share"] if got else 0.0) - share) < 1e-9, (k, r, c)
+            full += share > 1 - 1e-9
+            for ring in got["rings"] if got else ():
+                assert all(c * 0.5 - 180 - 1e-9 <= v["lon"] <= c * 0.5 - 179.5 + 1e-9 and r * 0.5 - 90 - 1e-9 <= v["lat"] <= r * 0.5 - 89.5 + 1e-9 for v in ring["points"])
+    assert full > 20  # cells wholly inside
+
+
+def test_clipped_shapes_over_the_date_line_and_at_the_pole(spark):
+    corners = [(178.9, 10.2), (-178.8, 10.2), (-178.8, 11.3), (178.9, 11.3)]
+    points = ring_points(1, 0, False, corners) + ring_points(2, 0, False, [(x + 360 if x < 0 else x, y) for x, y in corners])
+    points += ring_points(3, 0, False, [(-180, 89.2), (180, 89.2), (180, 90), (-180, 90)])
+    points += [(3, 0, False, 9, None, 1.0)] + ring_points(4, 0, False, [(1, 1), (2, 2)]) + ring_points(5, 0, False, [(1.0, 1.0), (1.5, 1.0), (1.5, 1.5), (1.0, 1.5)])
+    positions = [(r, c) for r in (199, 200, 201, 202, 203) for c in (717, 718, 719, 0, 1, 2, 3)] + [(358, 5), (359, 719), (182, 361), (182, 362), (182, 363), (181, 362)]
+    found = shapes_of(spark, points, positions)
+    for k in (1, 2):
+        assert abs(sum(r["share"] for (i, _), r in found.items() if i == k) * 0.25 - 2.3 * 1.1) < 1e-9
+        assert abs(found[k, at(200, 717)]["share"] - 0.2 * 0.6) < 1e-9 and found[k, at(201, 0)]["share"] == pytest.approx(1.0)
+        assert (k, at(200, 3)) not in found
+    assert found[3, at(358, 5)]["share"] == pytest.approx(0.6) and found[3, at(359, 719)]["share"] == pytest.approx(1.0)
+    # a polygon along grid lines covers its own cell only, one of two vertices none
+    assert [key for key in found if key[0] in (4, 5)] == [(5, at(182, 362))]
+    text = spark.createDataFrame([([(False, [(1.0, 2.0), (3.0, 4.0), (5.0, 6.0)])],)], "rings array<struct<hole:boolean,points:array<struct<lon:double,lat:double>>>>")
+    assert text.select(shapes.shape_wkt(F.col("rings"))).first()[0] == (
+        "MULTIPOLYGON (((1.000000 2.000000, 3.000000 4.000000, 5.000000 6.000000, 1.000000 2.000000)))")
+
+
+def test_clipping_shapes_needs_one_shuffle_to_the_cells(spark):
+    table = spark.createDataFrame(ring_points(1, 0, False, [(0.1, 0.1), (3.2, 0.4), (2.0, 2.7)]), POINTS)
+    pieces = shapes.clipped_rings(shapes.rings(table))
+    plan = pieces._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
