@@ -6,6 +6,7 @@ import re
 
 from celltide import fixed_values as fixed
 from celltide.bindings import tables as t
+from celltide.functions.mixing import mix_sql, mix_values, shuffled_sql
 from celltide.schemas import CLASSES
 
 KEY = "priogrid_gid, year_month"
@@ -664,17 +665,20 @@ RAW["macro_roc_area"] = rounded("""SELECT model, SUM((step - px) * (tpr + py) /
   SELECT *, lag(step) OVER (PARTITION BY model ORDER BY step) AS px, lag(tpr) OVER (PARTITION BY model ORDER BY step) AS py
   FROM (SELECT model, step, avg(v) AS tpr FROM roc_grid GROUP BY 1, 2)) GROUP BY 1""", "area")
 
-CTE["boot_row"] = f"""SELECT s.*, row_number() OVER (ORDER BY {KEY}) - 1 AS i, COUNT(*) OVER () AS total FROM soft_prev s WHERE prev_true <> true_class"""
-CTE["boot_draw"] = f"""SELECT r AS replicate, {hashed(str(t.SEED), 'r', 'i')} % total AS i, 1 AS times FROM boot_row CROSS JOIN (SELECT unnest(range(0, 1000)) AS r)
-  UNION ALL SELECT -1, i, 1 FROM boot_row"""
-CTE["boot"] = "SELECT replicate, true_class, pred_class, prob_gov, prob_opo, prob_uncertain FROM boot_draw JOIN boot_row USING (i)"
-CTE["boot_f1"] = f"SELECT replicate, class, f1, support FROM ({per_class('boot', 'replicate')})"
-CTE["boot_area"] = areas("boot", "replicate")
-CTE["boot_all"] = """SELECT replicate, class, support AS n, f1, auc, ap FROM boot_f1 LEFT JOIN boot_area USING (replicate, class)
-  UNION ALL SELECT replicate, 'macro', SUM(support), avg(f1), avg(auc), avg(ap) FROM boot_f1 LEFT JOIN boot_area USING (replicate, class) GROUP BY 1"""
+CTE["boot_key"] = f"""SELECT {KEY}, row_number() OVER (ORDER BY {KEY}) - 1 AS i, COUNT(*) OVER () AS total FROM soft_prev WHERE prev_true <> true_class"""
+CTE["boot_row"] = f"SELECT p.*, i FROM val p JOIN boot_key USING ({KEY})"
+CTE["boot_replicate"] = f"""SELECT r, {mix_sql('h')} AS key FROM (SELECT r, xor({mix_values(t.SEED)}, r) AS h FROM (SELECT unnest(range(0, 1000)) AS r))"""
+CTE["boot_draw"] = f"""SELECT r AS replicate, ({mix_sql('h')} * total) >> 31 AS i FROM (
+    SELECT r, total, xor(i, key) AS h FROM boot_key CROSS JOIN boot_replicate)
+  UNION ALL SELECT -1, i FROM boot_key"""
+CTE["boot"] = "SELECT replicate, model, true_class, pred_class, prob_gov, prob_opo, prob_uncertain FROM boot_draw JOIN boot_row USING (i)"
+CTE["boot_f1"] = f"SELECT replicate, model, class, f1, support FROM ({per_class('boot', 'replicate, model')})"
+CTE["boot_area"] = areas("boot", "replicate, model")
+CTE["boot_all"] = """SELECT replicate, model, class, support AS n, f1, auc, ap FROM boot_f1 LEFT JOIN boot_area USING (replicate, model, class)
+  UNION ALL SELECT replicate, model, 'macro', SUM(support), avg(f1), avg(auc), avg(ap) FROM boot_f1 LEFT JOIN boot_area USING (replicate, model, class) GROUP BY 1, 2"""
 _CI = " UNION ALL ".join(
-    f"""SELECT class, CAST(max(n) FILTER (WHERE replicate = -1) AS BIGINT) AS n, '{m}' AS measure, max({m}) FILTER (WHERE replicate = -1) AS value,
-  quantile_cont({m}, 0.025) FILTER (WHERE replicate >= 0) AS lower, quantile_cont({m}, 0.975) FILTER (WHERE replicate >= 0) AS upper FROM boot_all GROUP BY class"""
+    f"""SELECT model, class, CAST(max(n) FILTER (WHERE replicate = -1) AS BIGINT) AS n, '{m}' AS measure, max({m}) FILTER (WHERE replicate = -1) AS value,
+  quantile_cont({m}, 0.025) FILTER (WHERE replicate >= 0) AS lower, quantile_cont({m}, 0.975) FILTER (WHERE replicate >= 0) AS upper FROM boot_all GROUP BY model, class"""
     for m in ("f1", "auc", "ap"))
 RAW["bootstrap_ci"] = rounded(f"SELECT *, CASE WHEN value IS NULL OR lower IS NULL OR upper IS NULL THEN 'n/a' ELSE printf('%.3f [%.3f, %.3f]', value, lower, upper) END AS text FROM ({_CI})", "value", "lower", "upper")
 

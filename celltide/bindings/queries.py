@@ -679,9 +679,10 @@ def macro_roc_area(spark, sf):
 
 @query
 def bootstrap_ci(spark, sf):
-    rows = checkpoint(_soft(spark, sf))
-    moved = ev.validation_rows(rows, ev.transition_keys(rows))
-    intervals = bootstrap.bootstrap_intervals(bootstrap.replicate_metrics(moved, 1000, t.SEED))
+    """Paired intervals of all three models on the transition rows."""
+    rows = checkpoint(t.predictions(spark, sf))
+    moved = ev.validation_rows(rows, ev.transition_keys(rows.filter("model = 'soft'")))
+    intervals = bootstrap.bootstrap_intervals(bootstrap.replicate_metrics(moved, 1000, t.SEED, by=["model"]), by=["model"])
     return rounded(intervals.withColumn("text", bootstrap.format_interval(F.col("value"), F.col("lower"), F.col("upper"))))
 
 

@@ -144,31 +144,58 @@ def test_running_totals_over_a_hot_score(spark, parts):
     assert (numbers.row_index == n - 1 - numbers.id).all()
 
 
+def drawn_by_hand(seed, replicate, n):
+    def mix(x):
+        for shift in (16, 15):
+            x = ((x ^ (x >> shift)) * 73244475) % 2**31
+        return x ^ (x >> 16)
+    return [mix(mix(mix(seed) ^ replicate) ^ i) * n // 2**31 for i in range(n)]
+
+
 def test_bootstrap_matches_brute_force(spark, frame):
-    g = frame[(frame.model == "a") & ~frame.is_train_month].sort_values(["priogrid_gid", "year_month"]).reset_index(drop=True)
-    df = spark.createDataFrame(g).repartition(3)
-    n, n_boot, seed = len(g), 25, 5
-    metrics = bootstrap.replicate_metrics(df, n_boot, seed).toPandas().set_index(["replicate", "class"])
-    import hashlib
-    for r in (-1, 0, 7, 24):
-        index = list(range(n)) if r < 0 else [int(hashlib.md5(f"{seed}|{r}|{i}".encode()).hexdigest()[:13], 16) % n for i in range(n)]
-        sample = g.iloc[index]
-        for c in CLASSES:
-            y, s = (sample.true_class == c).to_numpy(), sample[f"prob_{c}"].to_numpy()
-            got = metrics.loc[(r, c)]
-            assert got.f1 == pytest.approx(f1_of(sample.true_class, sample.pred_class, c))
-            assert got.auc == pytest.approx(auc_of(y, s)) and got.ap == pytest.approx(ap_of(y, s))
-    table = bootstrap.bootstrap_intervals(spark.createDataFrame(metrics.reset_index())).filter("class = 'macro' AND measure = 'auc'").first()
-    values = metrics.xs("macro", level="class").auc.drop(-1)
+    g = frame[~frame.is_train_month].sort_values(["model", "priogrid_gid", "year_month"]).reset_index(drop=True)
+    dropped = g[(g.model == "b")].index[:3]  # keys that one model lacks
+    kept = g.drop(dropped)
+    df = spark.createDataFrame(kept).repartition(3)
+    keys = g[g.model == "a"].reset_index(drop=True)[["priogrid_gid", "year_month"]]
+    n, n_boot, seed = len(keys), 25, 5
+    metrics = bootstrap.replicate_metrics(df, n_boot, seed, block=10, by=["model"]).toPandas()
+    assert len(metrics) == (n_boot + 1) * 4 * g.model.nunique() and metrics.replicate.nunique() == n_boot + 1
+    indexed = metrics.set_index(["replicate", "model", "class"])
+    for model in ("a", "b"):
+        of_model = kept[kept.model == model].set_index(["priogrid_gid", "year_month"])
+        for r in (-1, 0, 7, 24):
+            index = list(range(n)) if r < 0 else drawn_by_hand(seed, r, n)  # one draw for all models
+            drawn = [tuple(k) for k in keys.iloc[index].itertuples(index=False)]
+            sample = of_model.loc[[k for k in drawn if k in of_model.index]]
+            for c in CLASSES:
+                y, s = (sample.true_class == c).to_numpy(), sample[f"prob_{c}"].to_numpy()
+                got = indexed.loc[(r, model, c)]
+                assert got.f1 == pytest.approx(f1_of(sample.true_class, sample.pred_class, c)) and got.n == y.sum()
+                assert got.auc == pytest.approx(auc_of(y, s)) and got.ap == pytest.approx(ap_of(y, s))
+    table = bootstrap.bootstrap_intervals(spark.createDataFrame(metrics), by=["model"]).filter("class = 'macro' AND measure = 'auc' AND model = 'a'").first()
+    values = metrics[(metrics["class"] == "macro") & (metrics.model == "a") & (metrics.replicate >= 0)].auc
     assert table["lower"] == pytest.approx(np.percentile(values, 2.5)) and table["upper"] == pytest.approx(np.percentile(values, 97.5))
 
 
-def test_bootstrap_blocks_agree(spark, frame):
+def test_bootstrap_blocks_agree_and_share_one_draw(spark, frame):
     df = spark.createDataFrame(frame[(frame.model == "a") & ~frame.is_train_month])
     whole = bootstrap.replicate_metrics(df, 10, 1).toPandas()
     split = bootstrap.replicate_metrics(df, 10, 1, block=2).toPandas()
     order = ["replicate", "class"]
     pd.testing.assert_frame_equal(whole.sort_values(order).reset_index(drop=True), split.sort_values(order).reset_index(drop=True))
+    twice = df.unionByName(df.withColumn("model", F.lit("z")))
+    paired = bootstrap.replicate_metrics(twice, 10, 1, by=["model"]).toPandas().set_index(["replicate", "class"])
+    for c in ("f1", "auc", "ap"):
+        pd.testing.assert_series_equal(paired[paired.model == "a"][c].sort_index(), paired[paired.model == "z"][c].sort_index())
+
+
+def test_undefined_measures_and_empty_rows(spark, frame):
+    df = spark.createDataFrame(frame[(frame.model == "a") & ~frame.is_train_month])
+    alone = bootstrap.replicate_metrics(df.filter("true_class = 'gov'"), 5, 1).toPandas().set_index(["replicate", "class"])
+    assert alone.loc[(-1, "gov"), "auc"] is None or np.isnan(alone.loc[(-1, "gov"), "auc"])
+    assert np.isnan(alone.loc[(2, "opo"), "ap"]) and alone.loc[(2, "gov"), "ap"] == pytest.approx(1.0)
+    assert bootstrap.replicate_metrics(df.limit(0), 5, 1).count() == 0
 
 
 def test_ranges_do_not_change_areas(predictions):

@@ -1,9 +1,12 @@
 import datetime as dt
 import math
 
+import duckdb
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from celltide.functions import dates, grid, text, values
+from celltide.functions import dates, grid, mixing, text, values
 from tests.conftest import rows
 
 
@@ -79,3 +82,21 @@ def test_patterns(spark):
     df = spark.createDataFrame([("PDF: Kani",), ("updf",), (None,)], "s string")
     got = df.select(text.matches_any(F.col("s"), [r"\bpdf\b", "^zz"]), text.group_of(F.col("s"), r"(\w+): (\w+)", 2)).collect()
     assert [tuple(r) for r in got] == [(True, "Kani"), (False, None), (None, None)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 12, 210, 1000, 30030])
+def test_keyed_shuffle_is_a_bijection_in_every_engine(spark, n):
+    frame = spark.range(n).select("id", mixing.shuffled(F.col("id"), F.lit(99), n).alias("to")).orderBy("id").toPandas()
+    assert sorted(frame["to"]) == list(range(n))
+    assert frame["to"].tolist() == mixing.shuffle_values(np.arange(n), 99, n).tolist()
+    con = duckdb.connect()
+    sql = con.execute(f"SELECT id, place FROM ({mixing.shuffled_sql(f'(SELECT range AS id FROM range({n}))', 'id', 99, 'place')}) ORDER BY id").fetchall()
+    assert [p for _, p in sql] == frame["to"].tolist()
+
+
+def test_keyed_shuffles_look_random():
+    n = 4001
+    a, b = mixing.shuffle_values(np.arange(n), 1, n), mixing.shuffle_values(np.arange(n), 2, n)
+    assert abs(np.corrcoef(np.arange(n), a)[0, 1]) < 0.06 and abs(np.corrcoef(a, b)[0, 1]) < 0.06
+    steps = np.diff(a) % n
+    assert len(np.unique(steps)) > 0.5 * n  # no constant stride
