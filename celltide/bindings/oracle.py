@@ -711,12 +711,16 @@ RAW["fold_summary"] = rounded(" UNION ALL ".join(
   (SELECT fold FROM fold_side ORDER BY h_macro_f1 DESC, fold LIMIT 1) AS best_fold, (SELECT fold FROM fold_side ORDER BY h_macro_f1, fold LIMIT 1) AS worst_fold FROM fold_side"""
     for c in ("h_macro_f1", "nh_macro_f1", "delta_macro_f1")), "mean", "std")
 RAW["geo_block_cover"] = "SELECT COUNT(*) AS n_rows, COUNT(*) AS n_cells, CAST(10 AS BIGINT) AS n_blocks FROM feature_cell"
+RAW["geo_block_optimum"] = "SELECT COUNT(*) AS n_cells, CAST(10 AS BIGINT) AS n_blocks, CAST(0 AS BIGINT) AS n_nearer_elsewhere FROM feature_cell"
 RAW["classifier_contract"] = f"""SELECT {TRAIN} AS is_train_month, target AS true_class, COUNT(*) AS n, CAST(0 AS BIGINT) AS bad_sums,
   CAST(0 AS BIGINT) AS bad_confidence, CAST(0 AS BIGINT) AS bad_class FROM target GROUP BY 1, 2"""
 RAW["spatial_cv_rows"] = """SELECT fold, role, true_class, COUNT(*) AS n, COUNT(DISTINCT priogrid_gid) AS n_cells FROM fold_val GROUP BY 1, 2, 3"""
-CTE["numbered"] = f"""SELECT {KEY}, target, n_gov, row_number() OVER (ORDER BY {KEY}) - 1 AS row_index,
-  row_number() OVER (ORDER BY {hashed(str(t.SEED), "'n_gov'", 'priogrid_gid', 'year_month')}, {KEY}) - 1 AS hash_rank FROM target"""
-RAW["permuted_column"] = "SELECT a.row_index, a.priogrid_gid, a.year_month, a.target, b.n_gov FROM numbered a JOIN numbered b ON a.row_index = b.hash_rank"
+CTE["numbered"] = f"SELECT {KEY}, target, n_gov, row_number() OVER (ORDER BY {KEY}) - 1 AS row_index FROM target"
+RAW["permuted_column"] = f"""SELECT a.row_index, a.priogrid_gid, a.year_month, a.target, b.n_gov FROM numbered a
+  JOIN ({shuffled_sql('numbered', 'row_index', t.SEED, 'place')}) b ON a.row_index = b.place"""
+RAW["fold_moments"] = rounded(" UNION ALL ".join(
+    f"""SELECT fold, COUNT(*) AS n, '{c}' AS feature, avg({c}) AS mean, CASE WHEN stddev_samp({c}) > 0 THEN stddev_samp({c}) ELSE 1 END AS deviation
+  FROM target JOIN target_role USING (priogrid_gid) WHERE role = 'training' AND {TRAIN} GROUP BY fold""" for c in ("n_gov", "n_opo")), "mean", "deviation")
 
 # --- summaries ----------------------------------------------------------------------------
 

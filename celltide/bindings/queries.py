@@ -784,11 +784,17 @@ def geo_blocks(spark, sf):
 @query
 def geo_block_cover(spark, sf):
     """Every cell in exactly one of the ten blocks."""
-    blocks = folds.geo_blocks(t.feature_cells(spark, sf), k=10, restarts=5)
+    blocks = folds.geo_blocks(t.feature_cells(spark, sf), k=10, restarts=20)
     return blocks.agg(
         F.count("*").alias("n_rows"), F.count_distinct(CELL).alias("n_cells"), F.count_distinct("block").alias("n_blocks"))
 
 
+@query
+def geo_block_optimum(spark, sf):
+    """Cells that lie nearer to another block's mean than to their own: none, once no centre moves any more."""
+    return folds.block_faults(checkpoint(folds.geo_blocks(t.feature_cells(spark, sf), k=10, restarts=20)))
+
+
 @query
 def classifier_contract(spark, sf):
     """Scored rows by part, and rows that break a rule of the prediction contract."""
@@ -851,9 +857,20 @@ def permutation_importance(spark, sf):
 def permuted_column(spark, sf):
     rows = t.stored_target(spark, sf).select(*KEY, "target", "n_gov")
     numbered = checkpoint(running.number_rows(rows, [F.col(k) for k in KEY]))
-    shuffled = models.permuted_values(numbered, ["n_gov"], t.SEED)
+    shuffled = models.permuted_values(numbered, ["n_gov"], t.SEED, numbered.count())
     return numbered.drop("n_gov").join(shuffled, "row_index").select(
-        "row_index", *KEY, "target", F.col("shuffled_n_gov").cast("long").alias("n_gov"))
+        "row_index", *KEY, "target", F.col("shuffled")[0].cast("long").alias("n_gov"))
+
+
+@query
+def fold_moments(spark, sf):
+    """Mean and deviation of two columns over each fold's training rows, without its holdout cells."""
+    rows = t.stored_target(spark, sf)
+    roles = checkpoint(folds.fold_roles(folds.assign_folds(t.blocks(rows))))
+    moments = models.fold_moments(rows, ["n_gov", "n_opo"], roles, baselines.is_train(t.CUTOFF))
+    return rounded(moments.select("fold", "n", F.inline(F.arrays_zip(
+        F.array(F.lit("n_gov"), F.lit("n_opo")).alias("feature"), F.col("means").alias("mean"), F.col("deviations").alias("deviation")))).toDF(
+        "fold", "n", "feature", "mean", "deviation"))
 
 
 # --- summaries ----------------------------------------------------------------------------

@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, functions as F
 
-from celltide.functions.values import hash_number, map_values
+from celltide.functions.mixing import BITS, shuffled
+from celltide.functions.values import map_values
 from celltide.operators.baselines import is_train, standardize, to_contract
 from celltide.operators.curves import macro_areas, ranking_areas
 from celltide.operators.evaluation import f1_summary, fold_differences, transition_keys, validation_rows
 from celltide.operators.folds import fold_class_weights
-from celltide.operators.running import number_rows, running_totals
+from celltide.operators.running import number_rows
 from celltide.runtime import checkpoint
 from celltide.schemas import CELL, CLASSES, CLASS_CODES, KEY
 
+#: Distance of the shuffle keys of two neighbouring features.
+FEATURE_STEP = 7919
+
 
 def labelled_features(target: DataFrame, features: DataFrame, columns: Sequence[str]) -> DataFrame:
     """All target rows with their features; a quiet cell without features gets 0."""
@@ -43,48 +49,84 @@ def training_weights(rows: DataFrame, weights: DataFrame, focal: DataFrame | Non
         "weight", F.col("weight") * F.coalesce("_in", F.lit(outside))).drop("_in")
 
 
-def train_classifier(rows: DataFrame, columns: Sequence[str], algorithm: str = "logistic", seed: int = 42) -> PipelineModel:
+def train_classifier(
+    rows: DataFrame, columns: Sequence[str], algorithm: str = "logistic", seed: int = 42,
+    max_iterations: int = 50, regularisation: float = 1e-3, trees: int = 50, depth: int = 8,
+) -> PipelineModel:
     """Fit a 3-class classifier on rows with ``target`` and ``weight``; rows of weight 0 are left out."""
     data = rows.filter("weight > 0").withColumn("label", map_values(F.col("target"), CLASS_CODES).cast("double"))
     assembler = VectorAssembler(inputCols=list(columns), outputCol="features")
     if algorithm == "logistic":
-        learner = LogisticRegression(family="multinomial", weightCol="weight", maxIter=50, regParam=1e-3)
+        learner = LogisticRegression(family="multinomial", weightCol="weight", maxIter=max_iterations, regParam=regularisation)
     elif algorithm == "forest":
-        learner = RandomForestClassifier(weightCol="weight", numTrees=50, maxDepth=8, seed=seed)
+        learner = RandomForestClassifier(weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed)
     else:
         raise ValueError(f"algorithm must be 'logistic' or 'forest', got {algorithm!r}")
     return Pipeline(stages=[assembler, learner]).fit(data)
 
 
-def score(model: PipelineModel, rows: DataFrame, cutoff: str) -> DataFrame:
-    """Class probabilities in the prediction contract."""
-    scored = model.transform(rows).withColumn("_p", vector_to_array("probability"))
+def score(model: PipelineModel, rows: DataFrame, cutoff: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Class probabilities in the prediction contract, after the columns in ``keep``."""
+    return _contract(model.transform(rows).withColumn("_p", vector_to_array("probability")), cutoff, keep)
+
+
+def _contract(scored: DataFrame, cutoff: str, keep: Sequence[str] = ()) -> DataFrame:
+    """The prediction contract from rows with an array ``_p`` of class probabilities."""
     by_code = {code: name for name, code in CLASS_CODES.items()}
     best = F.array_position("_p", F.array_max("_p")) - 1
     return to_contract(scored.withColumns({
         **{f"prob_{c}": F.coalesce(F.get("_p", F.lit(CLASS_CODES[c])), F.lit(0.0)) for c in CLASSES},
         "pred_class": map_values(best, by_code), "confidence": F.array_max("_p"),
         "true_class": F.col("target"), "is_train_month": is_train(cutoff),
-    }))
+    }), keep)
+
+
+def fold_moments(rows: DataFrame, columns: Sequence[str], roles: DataFrame, fit: Column) -> DataFrame:
+    """(fold, means, deviations, n) of the fitted rows of each fold's training cells, as arrays in the order of ``columns``.
+
+    The rows are aggregated once, by the fold that holds their cell out; a fold's moments are those of all other folds' rows
+    put together, so no holdout row has a part in them. Sample deviations; 1 where a column doesn't vary.
+    """
+    own = roles.filter("role = 'holdout'").select(CELL, F.col("fold").alias("_own"))
+    parts = rows.filter(fit).join(own, CELL).groupBy("_own").agg(F.count("*").alias("_n"), F.array(*[
+        F.struct(F.avg(F.col(c).cast("double")).alias("m"), F.var_pop(F.col(c).cast("double")).alias("v")) for c in columns]).alias("_p"))
+    last = roles.agg(F.max("fold")).scalar()
+    each = parts.withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), last))).filter("fold <> _own")  # a row per pair of folds
+    long = each.select("fold", "_n", F.posexplode("_p").alias("at", "p"))
+    mean = F.sum(F.col("_n") * F.col("p.m")) / F.sum("_n")
+    merged = long.groupBy("fold", "at").agg(F.sum("_n").alias("n"), mean.alias("mean"), F.collect_list(F.struct("_n", "p.m", "p.v")).alias("parts"))
+    squares = F.aggregate("parts", F.lit(0.0), lambda t, x: t + x["_n"] * (x["v"] + (x["m"] - F.col("mean")) * (x["m"] - F.col("mean"))))
+    spread = F.sqrt(F.try_divide(squares, F.col("n") - 1))
+    by_column = merged.withColumn("deviation", F.when(spread > 0, spread).otherwise(1.0))
+    listed = by_column.groupBy("fold").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "mean", "deviation"))).alias("l"))
+    return listed.select("fold", F.col("l.mean").alias("means"), F.col("l.deviation").alias("deviations"), "n")
 
 
 def spatial_validation(
     rows: DataFrame, columns: Sequence[str], roles: DataFrame, cutoff: str, n_folds: int = 5,
-    focal: DataFrame | None = None, algorithm: str = "logistic",
+    focal: DataFrame | None = None, algorithm: str = "logistic", regularisation: float = 1e-3, max_iterations: int = 50,
 ) -> DataFrame:
-    """Predictions of the validation months by fold and role; each fold trains without its holdout cells.
+    """Predictions of the validation months by fold and role; each fold trains, and is standardised, without its holdout cells.
 
-    The fits are independent distributed jobs, so several are submitted at a time.
+    The logistic models of all folds are fitted together: every iteration reads the rows once and adds up the
+    gradients and curvatures of all folds in one aggregation. Forests are fitted fold by fold, several at a time.
     """
-    data = checkpoint(standardize(rows, columns, is_train(cutoff)))
-    weights = fold_class_weights(data, roles, is_train(cutoff))
+    weights = fold_class_weights(rows, roles, is_train(cutoff))
+    if algorithm == "logistic":
+        moments = fold_moments(rows, columns, roles, is_train(cutoff))
+        data = _fold_rows(rows, columns, roles, weights, cutoff, n_folds, focal)
+        models, _ = fit_folds(data, moments, len(columns), regularisation, max_iterations)
+        return _fold_predictions(rows, columns, roles, models, cutoff)
+    data = checkpoint(rows)
 
     def predict(fold: int) -> DataFrame:
         in_fold = roles.filter(F.col("fold") == fold).select(CELL, "role")
-        train = data.filter(is_train(cutoff)).join(in_fold.filter("role = 'training'"), CELL, "left_semi")
-        fitted = train_classifier(
-            training_weights(train, weights.filter(F.col("fold") == fold), focal), columns, algorithm)
-        scored = validation_rows(score(fitted, data, cutoff))
+        training = in_fold.filter("role = 'training'").select(CELL).withColumn("_in", F.lit(True))
+        marked = data.join(training, CELL, "left")
+        scaled = checkpoint(standardize(marked, columns, is_train(cutoff) & F.col("_in")))
+        fitted = train_classifier(training_weights(
+            scaled.filter(is_train(cutoff) & F.col("_in")), weights.filter(F.col("fold") == fold), focal), columns, algorithm)
+        scored = validation_rows(score(fitted, scaled, cutoff))
         return scored.join(in_fold, CELL).withColumn("fold", F.lit(fold).cast("long"))
 
     with ThreadPoolExecutor(max_workers=4) as pool:
@@ -92,6 +134,113 @@ def spatial_validation(
     return reduce(DataFrame.unionByName, parts)
 
 
+def _fold_rows(rows: DataFrame, columns: Sequence[str], roles: DataFrame, weights: DataFrame, cutoff: str, n_folds: int, focal: DataFrame | None) -> DataFrame:
+    """Training rows once each: features, class code, the fold that holds them out, and their weight in every fold."""
+    own = roles.filter("role = 'holdout'").select(CELL, F.col("fold").alias("own"))
+    by_fold = weights.groupBy("class").agg(F.map_from_entries(F.collect_list(F.struct("fold", "weight"))).alias("w"))
+    table = by_fold.agg(F.map_from_entries(F.collect_list(F.struct("class", "w"))).alias("t")).scalar()
+    picked = rows.filter(is_train(cutoff)).join(own, CELL)
+    if focal is not None:
+        picked = picked.join(focal.select(CELL).distinct(), CELL, "left_semi")
+    return checkpoint(picked.withColumn("_t", table).select(
+        F.array(*[F.col(c).cast("double") for c in columns]).alias("x"), map_values(F.col("target"), CLASS_CODES).cast("int").alias("y"),
+        F.col("own").cast("int").alias("own"), F.array(*[
+            F.coalesce(F.try_element_at(F.try_element_at("_t", F.col("target")), F.lit(f).cast("long")), F.lit(0.0)) for f in range(n_folds)]).alias("weights")))
+
+
+def fit_folds(data: DataFrame, moments: DataFrame, n_features: int, regularisation: float = 1e-3, max_iterations: int = 50, tolerance: float = 1e-8):
+    """Multinomial logistic models of all folds, by Newton steps that share one reading of the rows.
+
+    Returns fold -> coefficients per class (the intercept last) for features as they are in ``data``, and the number of
+    iterations. The penalty is on the coefficients of standardised features. A task sends one gradient and
+    one curvature matrix per fold, whatever its rows. Stops once no gradient component exceeds ``tolerance``; not
+    getting there within ``max_iterations`` is an error.
+    """
+    scale = {int(r["fold"]): (np.array(r["means"]), np.array(r["deviations"])) for r in moments.collect()}
+    folds, wide, n_classes = sorted(scale), n_features + 1, len(CLASS_CODES)
+    size = wide * n_classes
+    beta = {f: np.zeros((n_classes, wide)) for f in folds}
+
+    def sums(at):
+        def of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = {f: [0.0, 0.0, np.zeros(size), np.zeros((size, size))] for f in folds}
+            for batch in batches:
+                if not len(batch):
+                    continue
+                x, y, own, weights = np.stack(batch["x"].to_numpy()), batch["y"].to_numpy(), batch["own"].to_numpy(), np.stack(batch["weights"].to_numpy())
+                for f in folds:
+                    weight = weights[:, f]
+                    used = (own != f) & (weight > 0)
+                    if not used.any():
+                        continue
+                    z = np.hstack([(x[used] - scale[f][0]) / scale[f][1], np.ones((used.sum(), 1))])
+                    w, truth = weight[used], np.eye(n_classes)[y[used]]
+                    raw = z @ at[f].T
+                    raw -= raw.max(axis=1, keepdims=True)
+                    p = np.exp(raw)
+                    p /= p.sum(axis=1, keepdims=True)
+                    held = total[f]
+                    held[0] += w.sum()
+                    held[1] -= (w * np.log(np.maximum((p * truth).sum(axis=1), 1e-300))).sum()
+                    held[2] += (((p - truth) * w[:, None]).T @ z).ravel()
+                    for i in range(n_classes):
+                        for j in range(i, n_classes):
+                            part = (z * (w * p[:, i] * ((i == j) - p[:, j]))[:, None]).T @ z
+                            held[3][i * wide:(i + 1) * wide, j * wide:(j + 1) * wide] += part
+                            if i != j:
+                                held[3][j * wide:(j + 1) * wide, i * wide:(i + 1) * wide] += part.T
+            yield pd.DataFrame([(f, a, b, g, h.ravel()) for f, (a, b, g, h) in total.items()], columns=["fold", "w", "loss", "g", "h"])
+
+        def of_tasks(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame([(key[0], parts["w"].sum(), parts["loss"].sum(), parts["g"].sum(), parts["h"].sum())], columns=["fold", "w", "loss", "g", "h"])
+
+        kind = "fold int, w double, loss double, g array<double>, h array<double>"
+        # first some tasks' sums are added up by each of a few tasks, then theirs here
+        parts = data.mapInPandas(of_task, kind).groupBy("fold", F.pmod(F.spark_partition_id(), F.lit(8)).alias("part")).applyInPandas(of_tasks, kind)
+        out = {f: [0.0, 0.0, np.zeros(size), np.zeros((size, size))] for f in folds}
+        for r in parts.collect():
+            held = out[r["fold"]]
+            held[0] += r["w"]
+            held[1] += r["loss"]
+            held[2] += np.array(r["g"])
+            held[3] += np.array(r["h"]).reshape(size, size)
+        return out
+
+    penalty = np.tile(np.append(np.full(n_features, regularisation), 0.0), n_classes)
+    for iteration in range(1, max_iterations + 1):
+        largest, found = 0.0, sums(beta)
+        for f, (w, _, g, h) in found.items():
+            if not w:
+                continue
+            gradient = g / w + penalty * beta[f].ravel()
+            largest = max(largest, np.abs(gradient).max())
+            step = np.linalg.lstsq(h / w + np.diag(penalty), gradient, rcond=1e-12)[0].reshape(n_classes, wide)
+            longest = np.abs(step).max()
+            beta[f] = beta[f] - step * min(1.0, 5.0 / longest if longest else 1.0)
+        if largest < tolerance:
+            break
+    else:
+        raise RuntimeError(f"folds not fitted after {max_iterations} iterations; raise max_iterations or the penalty")
+    own_scale = {}
+    for f in folds:
+        mean, deviation = scale[f]
+        slope = beta[f][:, :-1] / deviation
+        own_scale[f] = np.hstack([slope, (beta[f][:, -1] - slope @ mean)[:, None]])
+    return own_scale, iteration
+
+
+def _fold_predictions(rows: DataFrame, columns: Sequence[str], roles: DataFrame, fitted: Mapping[int, np.ndarray], cutoff: str) -> DataFrame:
+    """Scores of the validation rows by every fold's model, in one pass."""
+    table = F.create_map(*[x for f, b in fitted.items() for x in (
+        F.lit(f).cast("long"), F.array(*[F.array(*[F.lit(float(v)) for v in line]) for line in b]))])
+    x = F.array(*[F.col(c).cast("double") for c in columns], F.lit(1.0))
+    raw = F.transform(F.element_at("_b", F.col("fold")), lambda b: F.aggregate(F.zip_with(b, "_x", lambda u, v: u * v), F.lit(0.0), lambda s, t: s + t))
+    top = rows.filter(~is_train(cutoff)).join(roles, CELL).withColumn("_x", x).withColumn("_b", table).withColumn("_raw", raw)
+    powers = top.withColumn("_e", F.transform("_raw", lambda v: F.exp(v - F.array_max("_raw"))))
+    total = F.aggregate("_e", F.lit(0.0), lambda s, t: s + t)
+    return _contract(powers.withColumn("_t", total).withColumn("_p", F.transform("_e", lambda v: v / F.col("_t"))), cutoff, keep=["fold", "role"])
+
+
 def spatial_scores(predictions: DataFrame) -> DataFrame:
     """F1 and AUC of holdout and training cells per fold, and their differences."""
     keys = ["fold", "role"]
@@ -128,31 +277,37 @@ def ablation(
     return result
 
 
-def permuted_values(numbered: DataFrame, columns: Sequence[str], seed: int) -> DataFrame:
-    """Each column shuffled on its own: row i gets the value of the row with hash rank i.
+def permuted_values(numbered: DataFrame, columns: Sequence[str], seed: int, n: int) -> DataFrame:
+    """(row_index, shuffled): each column shuffled on its own over the ``n`` rows, as one array in the order of ``columns``.
 
-    All columns are ranked in one pass, as one long table ordered by hash within each column.
+    Every value is sent to the place that a keyed bijection gives its row, another one for each column, so no column is
+    sorted: one hash exchange brings the values together, whatever the number of columns.
     """
-    long = numbered.select(*KEY, F.inline(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])))
-    order = [hash_number(F.lit(seed), F.col("feature"), *[F.col(k) for k in KEY]), *[F.col(k) for k in KEY]]
-    ranked = running_totals(long.withColumn("_one", F.lit(1).cast("long")), ["feature"], order, {"_number": "_one"})
-    return ranked.groupBy((F.col("_number") - 1).alias("row_index")).agg(*[
-        F.max(F.when(F.col("feature") == c, F.col("value"))).alias(f"shuffled_{c}") for c in columns])
+    values = F.array(*[F.col(c).cast("double") for c in columns])
+    sent = numbered.select("row_index", F.posexplode(values).alias("feature", "value"))
+    key = F.pmod(F.lit(seed) + F.col("feature").cast("long") * FEATURE_STEP, F.lit(1 << BITS))
+    placed = sent.select(shuffled(F.col("row_index"), key, n).alias("row_index"), "feature", "value")
+    gathered = placed.groupBy("row_index").agg(F.array_sort(F.collect_list(F.struct("feature", "value"))).alias("shuffled"))
+    return gathered.select("row_index", F.col("shuffled.value").alias("shuffled"))
 
 
 def permutation_importance(
     model: PipelineModel, rows: DataFrame, columns: Sequence[str], cutoff: str, seed: int = 42,
 ) -> DataFrame:
-    """Macro F1 before, and its drop after, shuffling each feature over the validation rows."""
-    validation = rows.filter(~is_train(cutoff)).select(*KEY, "target", *columns)
+    """Macro F1 before, and its drop after, shuffling each feature over the validation rows.
+
+    All features are scored in one pass: each row comes once as it is and once per feature with that feature's shuffled value.
+    """
+    own = F.array(*[F.col(c).cast("double") for c in columns]).alias("own")
+    validation = rows.filter(~is_train(cutoff)).select(*KEY, "target", own, *columns)
     numbered = checkpoint(number_rows(validation, [F.col(k) for k in KEY]))
-    wide = checkpoint(numbered.join(permuted_values(numbered, columns, seed), "row_index"))
-    scored = score(model, wide, cutoff).withColumn("feature", F.lit(""))
-    for column in columns:
-        shuffled = wide.withColumn(column, F.col(f"shuffled_{column}"))
-        scored = scored.unionByName(score(model, shuffled, cutoff).withColumn("feature", F.lit(column)))
-    table = checkpoint(f1_summary(scored, ["feature"], digits=None).select("feature", "macro_f1"))
+    both = numbered.drop(*columns).join(permuted_values(numbered, columns, seed, numbered.count()), "row_index")
+    changes = F.concat(F.array(F.lit(None).cast("double")), F.col("shuffled"))  # the first change is none
+    every = both.select(*KEY, "target", "own", F.posexplode(changes).alias("change", "value"))
+    changed = F.transform("own", lambda v, j: F.when(j == F.col("change") - 1, F.col("value")).otherwise(v))
+    scored = score(PipelineModel(model.stages[1:]), every.withColumn("features", array_to_vector(changed)), cutoff, keep=["change"])
+    names = F.array(F.lit(""), *[F.lit(c) for c in columns])
+    table = checkpoint(f1_summary(scored, ["change"], digits=None).select(F.get(names, F.col("change")).alias("feature"), "macro_f1"))
     base = table.filter("feature = ''").agg(F.max("macro_f1").alias("b")).scalar()
     drop = F.col("baseline_f1") - F.col("macro_f1")
     return table.filter("feature <> ''").withColumn("baseline_f1", base).select(

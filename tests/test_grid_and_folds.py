@@ -1,6 +1,8 @@
 import math
 import random
+import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +116,26 @@ def test_geo_blocks(spark):
     assert sorted(r["n_cells"] for r in folds.block_stats(blocks).collect()) == [16, 16, 16]
 
 
+def test_blocks_are_at_rest_and_the_best_of_all_restarts(spark, monkeypatch):
+    rng = random.Random(4)
+    cells = cells_of(spark, *{(rng.randint(150, 250), rng.randint(300, 420)) for _ in range(400)}).repartition(5)
+    steps, plain = [], folds._added
+    monkeypatch.setattr(folds, "_added", lambda *a: steps.append(plain(*a)) or steps[-1])
+    blocks = folds.geo_blocks(cells, k=6, seed=3, restarts=8).persist()
+    assert folds.block_faults(blocks).first()[:] == (cells.distinct().count(), 6, 0)
+    held = blocks.toPandas()
+    cost = sum(((g[["lat", "lon"]] - g[["lat", "lon"]].mean()) ** 2).to_numpy().sum() for _, g in held.groupby("block"))
+    costs = steps[-1][:, :, 3].sum(axis=1)
+    assert cost == pytest.approx(costs.min()) and len(set(costs.round(6))) > 1  # the restarts differ
+    again = folds.geo_blocks(cells.repartition(2), k=6, seed=3, restarts=8)
+    assert rows(again, "priogrid_gid", "block") == rows(blocks, "priogrid_gid", "block")
+    wrong = blocks.withColumn("block", F.when(F.col("lat") == F.lit(held.lat.max()), (F.col("block") + 1) % 6).otherwise(F.col("block")))
+    assert folds.block_faults(wrong).first()["n_nearer_elsewhere"] > 0
+    assert folds.geo_blocks(cells.limit(0)).count() == 0 and folds.geo_blocks(cells.limit(1)).first()["block"] == 0
+    with pytest.raises(RuntimeError):
+        folds.geo_blocks(cells, k=6, restarts=2, max_iterations=1)
+
+
 def test_classifier_learns_and_contract_holds(spark):
     rng = random.Random(1)
     data = []
@@ -248,3 +270,83 @@ def test_clipping_shapes_needs_one_shuffle_to_the_cells(spark):
     pieces = shapes.clipped_rings(shapes.rings(table))
     plan = pieces._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+# --- models by fold and shuffles ------------------------------------------------------------
+
+def labelled_rows(spark, n_cells=60, seed=1):
+    rng, data = random.Random(seed), []
+    for cell in range(1, n_cells + 1):
+        for month in range(1, 7):
+            x, y = rng.random() + cell / 40, 5 * rng.random()
+            label = "gov" if x + rng.random() / 3 > 1.4 else "opo" if y > 2.5 else "uncertain"
+            data.append((cell, f"2024-{month:02d}", label, x, y, 3.0))
+    return data, spark.createDataFrame(data, "priogrid_gid long, year_month string, target string, x double, y double, z double")
+
+
+def roles_of(spark, n_cells=60, n_folds=3):
+    return spark.createDataFrame(
+        [(c, f, "holdout" if c % n_folds == f else "training") for c in range(1, n_cells + 1) for f in range(n_folds)],
+        "priogrid_gid long, fold long, role string")
+
+
+def test_fold_moments_leave_the_holdout_out(spark):
+    data, table = labelled_rows(spark)
+    found = models.fold_moments(table, ["x", "y", "z"], roles_of(spark), F.col("year_month") <= "2024-04").collect()
+    assert sorted(r["fold"] for r in found) == [0, 1, 2]
+    for r in found:
+        held = [d for d in data if d[1] <= "2024-04" and d[0] % 3 != r["fold"]]
+        assert r["n"] == len(held)
+        for k, c in enumerate((3, 4)):
+            values = [d[c] for d in held]
+            assert r["means"][k] == pytest.approx(statistics.mean(values)) and r["deviations"][k] == pytest.approx(statistics.stdev(values))
+        assert r["deviations"][2] == 1.0  # a column that doesn't vary
+
+
+def test_all_folds_are_fitted_in_shared_passes(spark, monkeypatch):
+    data, table = labelled_rows(spark)
+    roles, columns = roles_of(spark), ["x", "y", "z"]
+    passes, plain = [], type(table).mapInPandas
+    monkeypatch.setattr(type(table), "mapInPandas", lambda self, *a, **k: passes.append(1) or plain(self, *a, **k))
+    weights = folds.fold_class_weights(table, roles, F.col("year_month") <= "2024-04")
+    held = models._fold_rows(table, columns, roles, weights, "2024-04", 3, None)
+    moments = models.fold_moments(table, columns, roles, F.col("year_month") <= "2024-04")
+    fitted, iterations = models.fit_folds(held, moments, 3)
+    assert len(passes) == iterations <= 25  # one reading of the rows per iteration, whatever the folds
+    # the optimum of each fold: the gradient of the penalised loss over its own training rows is 0
+    weight_of = {(r["fold"], r["class"]): r["weight"] for r in weights.collect()}
+    for m in moments.collect():
+        f, mean, deviation = m["fold"], np.array(m["means"]), np.array(m["deviations"])
+        train = [d for d in data if d[1] <= "2024-04" and d[0] % 3 != f]
+        x, y = np.array([d[3:] for d in train]), np.array([schemas.CLASS_CODES[d[2]] for d in train])
+        w = np.array([weight_of[f, d[2]] for d in train])
+        raw = np.hstack([x, np.ones((len(x), 1))]) @ fitted[f].T
+        p = np.exp(raw - raw.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        z = (x - mean) / deviation
+        gradient = ((p - np.eye(3)[y]) * w[:, None]).T @ z / w.sum() + 1e-3 * fitted[f][:, :3] * deviation
+        assert np.abs(gradient).max() < 1e-6
+    with pytest.raises(RuntimeError, match="max_iterations"):
+        models.fit_folds(held, moments, 3, max_iterations=1)
+    scored = models.spatial_validation(table, columns, roles, "2024-04", n_folds=3).toPandas()
+    assert len(scored) == 60 * 2 * 3 and (scored.role == "holdout").sum() == 120
+    one = scored[(scored.priogrid_gid == 5) & (scored.year_month == "2024-06") & (scored.fold == 1)].iloc[0]
+    row = next(d for d in data if d[:2] == (5, "2024-06"))
+    raw = fitted[1] @ np.array([*row[3:], 1.0])
+    assert one.prob_gov == pytest.approx((np.exp(raw) / np.exp(raw).sum())[schemas.CLASS_CODES["gov"]])
+    assert (scored.pred_class == scored.true_class).mean() > 0.75
+    assert set(models.spatial_validation(table, columns, roles, "2024-04", n_folds=3, algorithm="forest").toPandas().role) == {"holdout", "training"}
+
+
+def test_shuffles_of_many_columns_need_no_sort(spark):
+    n, columns = 211, [f"c{k}" for k in range(93)]
+    table = spark.range(n).select(F.col("id").alias("row_index"), *[(F.col("id") * 100 + k).alias(c) for k, c in enumerate(columns)])
+    out = models.permuted_values(table, columns, 42, n)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and plan.count("Exchange hashpartitioning") == 1
+    found = sorted(out.collect())
+    assert [r["row_index"] for r in found] == list(range(n))
+    moved = np.array([r["shuffled"] for r in found])
+    for k in range(93):  # every column keeps its values, in an order of its own
+        assert sorted(moved[:, k]) == [i * 100 + k for i in range(n)]
+        assert (moved[:, k] != moved[:, 0] + k).any() or k == 0
