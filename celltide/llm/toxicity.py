@@ -132,11 +132,9 @@ class Matcher:
             if first < done or first and text[first - 1].isalnum():
                 continue
             begin = done
-            for m in CLAUSE_END.finditer(text, max(done, first - 400), first):
+            for m in CLAUSE_END.finditer(text, done, first):  # each stretch once, as done moves past it
                 begin = m.end()
             end = m.start() if (m := CLAUSE_END.search(text, last + 1)) else len(text)
-            # without an end nearby the clause begins at the word boundary 400 characters before
-            begin = max(begin, first - 400)
             yield text[begin:end]
             done = end
 

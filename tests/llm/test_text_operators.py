@@ -340,20 +340,14 @@ def test_toxicity_edge_cases(spark):
 # --- line spread ------------------------------------------------------------------------------
 
 def spread_by_hand(rows, least):
-    contexts = defaultdict(list)
-    for i, text, site in set(rows):
-        if text is None:
-            continue
-        lines = text.split("\n")
-        keys = [x if x.strip(" \t\r\x0b\x0c") else None for x in lines]
-        for k, line in enumerate(keys):
-            if line is not None:
-                around = (keys[k - 1] if k else None, keys[k + 1] if k + 1 < len(keys) else None)
-                contexts[line, around].append((site, i))
-    sites = defaultdict(set)
-    for (line, _), found in contexts.items():
-        sites[line].add(min("s" + s if s is not None else "null" for s, _ in found))
-    return {line for line, s in sites.items() if len(s) >= least}
+    """Lines on at least so many sites and in as many different texts."""
+    sites, texts = defaultdict(set), defaultdict(set)
+    for _, text, site in rows:
+        for line in (text or "").split("\n"):
+            if line.strip(" \t\r\x0b\x0c"):
+                sites[line].add(site)
+                texts[line].add(text)
+    return {line for line in sites if min(len(sites[line]), len(texts[line])) >= least}
 
 
 def test_lines_of_many_sites_go_but_for_their_first(spark):
@@ -411,3 +405,24 @@ def test_line_spread_edge_cases(spark):
     assert out.count() == 5 and out.filter("doc_id = 1").first()["text"] is None
     assert out.filter("doc_id = 2").first()["text"] == ""
     assert line_spread.remove_boilerplate(odd.limit(0)).count() == 0
+
+
+def test_clauses_are_read_from_their_beginning():
+    matcher = toxicity.Matcher(["idiot"])
+    names = lambda text: {p for p, i in matcher.place.items() if matcher.matches(text) >> i & 1}
+    filler = "calm and even words " * 100
+    for text in ("he wrote that you are an idiot", f"he wrote that you {filler} are an idiot", f"{filler}. he wrote that you {filler} are an idiot"):
+        assert names(text) == {"aimed reported insult"}, text
+    assert names(f"he wrote that. you {filler} idiot") == {"aimed insult"}
+    assert names(f"you idiot {filler} idiot. {filler} idiot") == {"aimed insult", "insult"}
+
+
+def test_training_windows_are_distinct(spark, monkeypatch):
+    """One line in thousands of documents is one training window, not all of them."""
+    docs = [(i, f"write to person{i}@host{i % 97}.example.org now\n\n\n{'. ' * 200}\ncall us at 555 1234 today") for i in range(3000)]
+    seen, plain = [], pii.symbols
+    monkeypatch.setattr(pii, "symbols", lambda window: seen.append(window) or plain(window))
+    monkeypatch.setattr(pii.Tagger, "train", lambda self, x, y: self)
+    pii.train_tagger(spark.createDataFrame(docs, "doc_id long, text string"), train_windows=400)
+    own = seen[:400]
+    assert len(set(own)) == 400
