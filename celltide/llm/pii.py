@@ -398,7 +398,8 @@ def train_tagger(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_windows: i
             yield pd.DataFrame(rows, columns=["window", "tags"])
 
     found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text").mapInPandas(label, "window string, tags array<int>")
-    rows = found.orderBy(F.xxhash64("window"), "window").limit(train_windows).collect()
+    # each window once, so that the copies of one line can't crowd out the others
+    rows = found.distinct().orderBy(F.xxhash64("window"), "window").limit(train_windows).collect()
     if not rows:
         return None
     labelled = [(r["window"], r["tags"]) for r in rows]
