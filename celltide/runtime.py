@@ -47,11 +47,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/celltide-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_table(*stored: DataFrame) -> None:
+    """Delete tables that ``checkpoint`` returned, once a later stored table has taken their place."""
+    for table in stored:
+        if path := getattr(table, "_stored_at", None):
+            _delete(table.sparkSession, path)
 
 
 def drop_tables(spark: SparkSession) -> None:
     """Delete the tables that ``checkpoint`` has stored for this application; nothing may read them any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint_folder(spark)}/celltide-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{checkpoint_folder(spark)}/celltide-{spark.sparkContext.applicationId}")

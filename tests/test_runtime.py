@@ -36,3 +36,12 @@ def test_drop_tables(spark):
     assert os.path.exists(path)
     drop_tables(spark)
     assert not os.path.exists(path)
+
+
+def test_superseded_tables_can_go_one_by_one(spark):
+    from celltide.runtime import checkpoint, drop_table
+
+    first = checkpoint(spark.range(5))
+    second = checkpoint(first.selectExpr("id + 1 AS id"))
+    drop_table(first, spark.range(1))
+    assert second.count() == 5 and not os.path.exists(first._stored_at) and os.path.exists(second._stored_at)
