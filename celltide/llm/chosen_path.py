@@ -28,15 +28,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from celltide.llm.blocks import by_block, runs
 from celltide.llm.components import components
 from celltide.llm.text import whole
-from celltide.runtime import checkpoint
+from celltide.runtime import checkpoint, drop_table
 
 #: Coordinates of a signature, and how many must agree for a candidate pair: at similarity 0.8 fewer agree in about one pair of 100,000.
 COORDINATES, AGREE = 64, 37
-#: Trees of the two rounds: the first finds nearly all links, the second the links that it missed.
-TREES = (2, 10)
+#: Trees of each round: the first finds nearly all links, the others those that were missed. Between rounds components are contracted.
+TREES = (2, 2, 3, 5)
 #: Sets of a node that is compared at once, levels of branching, sets of a block of a dense node, hubs of a dense node.
 SMALL, DEPTH, BLOCK, HUBS = 64, 4, 128, 4
-#: Levels of branching in the second round for nodes with more than SMALL sets outside their main component.
+#: Levels of branching after the first round for nodes with more than SMALL sets outside their main component.
 DEEP = 12
 _ODD = np.random.default_rng(20).integers(0, 2**32, (2, COORDINATES), dtype=np.uint32) | np.uint32(1)
 _FLIP = np.random.default_rng(21).integers(0, 2**32, COORDINATES, dtype=np.uint32)
@@ -121,8 +121,8 @@ def _branch(frontier: DataFrame) -> DataFrame:
     return frontier.select(F.xxhash64("node", "at", token).alias("node"), "doc", "component")
 
 
-def _paths(sets: DataFrame, trees: range, similarity: float, deep: int = DEPTH) -> tuple[DataFrame, DataFrame]:
-    """Members (node, doc) of the small nodes of some trees, and of the dense ones that stay large to the last level.
+def _paths(sets: DataFrame, trees: range, similarity: float, deep: int = DEPTH) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Members (node, doc) of the small nodes of some trees, of the dense ones that stay large to the last level, and the tables that hold them.
 
     From level DEPTH to level ``deep`` only nodes with more than SMALL sets outside their main component branch. Nodes whose sets are already in one component have nothing to find and are left out. Rows are
     narrow: signatures join large nodes only.
@@ -132,13 +132,14 @@ def _paths(sets: DataFrame, trees: range, similarity: float, deep: int = DEPTH)
     roots = sets.sparkSession.range(trees.start, trees.stop).select(root.alias("node"), F.explode(_chosen(root, similarity)).alias("at")).collect()
     chosen = F.array(*[F.struct(F.lit(r["node"]).alias("node"), F.lit(r["at"]).alias("at")) for r in roots])
     frontier, small = sets.select("doc", "component", "signature", F.inline(chosen)), None
-    dense = None
+    dense, held = None, []
     for level in range(1, deep + 1):
         children = _branch(frontier)
         counts = children.groupBy("node").agg(
             F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"),
         ).filter("n > 1 AND low < high").select("node", "n", F.when(F.col("n") > SMALL, _chosen(F.col("node"), similarity)).alias("chosen"))
         kept = checkpoint(children.join(counts, "node"))
+        held.append(kept)
         found = kept.filter("chosen IS NULL").select("node", "doc")
         small = found if small is None else small.unionByName(found)
         large = kept.filter("chosen IS NOT NULL").drop("n")
@@ -147,6 +148,7 @@ def _paths(sets: DataFrame, trees: range, similarity: float, deep: int = DEPTH)
         if level >= DEPTH:
             rest = large.groupBy("node", "component").agg(F.count("*").alias("n")).groupBy("node").agg((F.sum("n") - F.max("n")).alias("rest"))
             judged = checkpoint(large.join(rest, "node"))
+            held.append(judged)
             ends = F.lit(level == deep) | (F.col("rest") <= SMALL)
             done = judged.filter(ends).select("node", "doc")
             dense = done if dense is None else dense.unionByName(done)
@@ -154,7 +156,7 @@ def _paths(sets: DataFrame, trees: range, similarity: float, deep: int = DEPTH)
             if large.isEmpty():
                 break
         frontier = large.withColumn("at", F.explode("chosen")).drop("chosen").join(sets.select("doc", "signature"), "doc")
-    return small, large.select("node", "doc") if dense is None else dense
+    return small, large.select("node", "doc") if dense is None else dense, held
 
 
 def _in_block(*parts) -> Column:
@@ -276,14 +278,17 @@ def classify(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
     sets = checkpoint(rows.filter("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(
         F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"),
     ).withColumn("component", F.col("doc")))
-    small, dense = _paths(sets, range(TREES[0]), similarity)
-    blocks = small.select(F.col("node").alias("block"), "doc").unionByName(_diagonal(dense))
-    first = checkpoint(find_links(blocks, sets, docs, size, percent))
-    sets = checkpoint(_with_components(sets, components(first)))
-    small, dense_now = _paths(sets, range(TREES[0], sum(TREES)), similarity, DEEP)
-    blocks = small.select(F.col("node").alias("block"), "doc").unionByName(_crossing(dense.unionByName(dense_now), sets))
-    second = checkpoint(find_links(blocks, sets, docs, size, percent))
-    sets = _with_components(sets, components(first.unionByName(second)))
+    links, first_dense, first_held = None, None, []
+    for r, trees in enumerate(TREES):
+        small, dense, held = _paths(sets, range(sum(TREES[:r]), sum(TREES[:r]) + trees), similarity, DEEP if r else DEPTH)
+        # the first round's dense nodes come back once their components are known
+        crowded = _diagonal(dense) if not r else _crossing(dense if first_dense is None else dense.unionByName(first_dense), sets)
+        found = checkpoint(find_links(small.select(F.col("node").alias("block"), "doc").unionByName(crowded), sets, docs, size, percent))
+        drop_table(*first_held, *(held if r else ()))
+        first_dense, first_held = (dense, held) if not r else (None, [])
+        links, former = found if links is None else links.unionByName(found), sets
+        sets = checkpoint(_with_components(sets, components(links)))
+        drop_table(former)
     own = F.coalesce("component", "doc_id")
     return rows.join(sets.select("key", "component"), "key", "left").select(
         "doc_id", "key", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"),

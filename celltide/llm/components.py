@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from celltide.runtime import checkpoint
+from celltide.runtime import checkpoint, drop_table
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -28,10 +28,11 @@ def components(links: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = checkpoint(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        hung = large.join(least, "a")
+        hung, former = large.join(least, "a"), edges
         edges = checkpoint(hung.select(
             F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"),
         ).select("e.a", "e.b").filter("a <> b").distinct())
+        drop_table(former, large)
     every = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     return every.join(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")), "id", "left").select(
         "id", F.coalesce("m", "id").alias("component_id"),
