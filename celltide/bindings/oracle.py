@@ -454,6 +454,10 @@ RAW["dense_grid"] = f"""SELECT m.year_month, string_agg(CAST(COALESCE(code, -1)
   FROM (SELECT year_month, unnest(range(0, ph * pw)) AS pos FROM (SELECT DISTINCT year_month FROM target) CROSS JOIN {layout('target')}) m
   LEFT JOIN (SELECT year_month, {_POS} AS pos, CASE target WHEN 'gov' THEN 0 WHEN 'opo' THEN 1 ELSE 2 END AS code, n_gov FROM target CROSS JOIN {layout('target')}) v
   ON m.year_month = v.year_month AND m.pos = v.pos GROUP BY m.year_month"""
+RAW["dense_grid_tiles"] = RAW["dense_grid"].replace("SELECT m.year_month, string_agg", "SELECT m.year_month, m.band, string_agg", 1).replace(
+    "unnest(range(0, ph * pw)) AS pos", "pw, unnest(range(0, ph * pw)) AS pos").replace(") m\n", ") m0) m\n").replace(
+    "FROM (SELECT year_month, pw,", "FROM (SELECT *, CAST(pos // (pw * 8) AS BIGINT) AS band FROM (SELECT year_month, pw,").replace(
+    "GROUP BY m.year_month", "GROUP BY m.year_month, m.band")
 RAW["clip_cells"] = f"""SELECT DISTINCT priogrid_gid FROM (SELECT priogrid_gid, {_S} AS s, {_Wst} AS w FROM (SELECT DISTINCT priogrid_gid FROM v_events)) CROSS JOIN (
   SELECT 10.003 + (s_suppkey * 7919 % 1800) / 100.0 AS y, 92.5041 + (s_suppkey * 104729 % 900) / 100.0 AS x, 0.3 + (s_suppkey % 7) / 4.0 AS r FROM supplier)
   WHERE greatest(w - x, 0, x - w - 0.5) + greatest(s - y, 0, y - s - 0.5) <= r"""
@@ -476,6 +480,10 @@ RAW["neighbour_features"] = rounded(f"""SELECT d.priogrid_gid, d.year_month, d.t
   FROM dense d LEFT JOIN (SELECT {KEY}, {', '.join(f'SUM({c}) AS s_{c}, avg({c}) AS m_{c}' for c in _NBR)} FROM sent GROUP BY {KEY}) USING ({KEY})""",
     *[f"{c}_nbr_mean" for c in _NBR])
 RAW["neighbour_features"] = RAW["neighbour_features"].replace("COALESCE(s_total_events, 0)", "CAST(COALESCE(s_total_events, 0) AS BIGINT)")
+CTE["sent_wide"] = f"""SELECT CAST(priogrid_gid + dr * 720 + dc AS BIGINT) AS priogrid_gid, year_month, total_events, total_fatalities
+  FROM dense CROSS JOIN (SELECT unnest(range(-8, 9)) AS dr) CROSS JOIN (SELECT unnest(range(-8, 9)) AS dc)
+  WHERE (dr <> 0 OR dc <> 0) AND {COL} + dc BETWEEN 0 AND 719"""
+RAW["neighbour_features_wide"] = RAW["neighbour_features"].replace("FROM sent ", "FROM sent_wide ")
 
 # --- panel --------------------------------------------------------------------------------
 

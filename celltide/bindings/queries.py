@@ -200,17 +200,27 @@ def focal_cells(spark, sf):
     return grid_ops.focal_cells(t.stored_target(spark, sf), grid_ops.grid_layout(t.feature_cells(spark, sf)), 1, fit=baselines.is_train(t.CUTOFF))
 
 
-@query
-def dense_grid(spark, sf):
-    rows = t.stored_target(spark, sf)
-    dense = grid_ops.dense_grid(rows, grid_ops.grid_layout(rows), ["n_gov"])
-    # arrays as text, so that any engine can compare them
+def _as_text(dense, *keys):
+    """Arrays as text, so that any engine can compare them."""
     return dense.select(
-        PERIOD, F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"),
+        *keys, F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"),
         F.array_join(F.transform("mask", lambda x: x.cast("string")), ",").alias("mask"),
         F.array_join(F.transform("n_gov", lambda x: x.cast("int").cast("string")), ",").alias("n_gov"))
 
 
+@query
+def dense_grid(spark, sf):
+    rows = t.stored_target(spark, sf)
+    return _as_text(grid_ops.dense_grid(rows, grid_ops.grid_layout(rows), ["n_gov"]), PERIOD)
+
+
+@query
+def dense_grid_tiles(spark, sf):
+    """The same rasters in bands of eight rows."""
+    rows = t.stored_target(spark, sf)
+    return _as_text(grid_ops.dense_grid(rows, grid_ops.grid_layout(rows), ["n_gov"], band_rows=8), PERIOD, "band")
+
+
 @query
 def clip_cells(spark, sf):
     return grid_ops.clip_cells(t.events(spark, sf).select(CELL).distinct(), t.boundary(spark, sf))
@@ -229,6 +239,13 @@ def neighbour_features(spark, sf):
         t.dense_panel(spark, sf).select(*KEY, "total_events", "total_fatalities"), ["total_events", "total_fatalities"]))
 
 
+@query
+def neighbour_features_wide(spark, sf):
+    """Sums and means over the 17 x 17 cells around each."""
+    return rounded(grid_ops.window_features(
+        t.dense_panel(spark, sf).select(*KEY, "total_events", "total_fatalities"), ["total_events", "total_fatalities"], radius=8))
+
+
 # --- panel --------------------------------------------------------------------------------
 
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegralType
 
 from celltide.functions import grid
 from celltide.functions.values import map_values
@@ -136,12 +139,62 @@ def neighbour_features(
     return panel.join(received, [CELL, PERIOD], "left").fillna(0, subset=added)
 
 
+#: Rows of a band, at least; a wider radius has wider bands, so that a cell lies in the reach of few of them.
+BAND_ROWS = 32
+
+
+def window_features(panel: DataFrame, columns: Sequence[str], radius: int, include_self: bool = False) -> DataFrame:
+    """What ``neighbour_features`` gives, for any radius: a cell's cost doesn't grow with its (2r+1)-square window.
+
+    Cells go to bands of rows, with those within ``radius`` of a band sent to it as well, two or three copies in all. A band and
+    month is a small raster whose running sums over rows and columns give every window by four look-ups. Sums of whole
+    numbers stay exact; NULL values count neither in sums nor in means. Windows end at the edges of the grid.
+    """
+    rows_of_band, columns = max(BAND_ROWS, 2 * radius + 1), list(columns)
+    whole = {c: isinstance(panel.schema[c].dataType, IntegralType) for c in columns}
+    names = [f"{c}_{n}" for c in columns for n in ("nbr_sum", "nbr_mean")]
+    kinds = ", ".join(f"{c}_nbr_sum {'long' if whole[c] else 'double'}, {c}_nbr_mean double" for c in columns)
+    row = grid.cell_row(F.col(CELL))
+    band = lambda r: F.floor(r / rows_of_band)
+    sent = panel.select(CELL, PERIOD, *columns).withColumn("_row", row).withColumn("_col", grid.cell_col(F.col(CELL))).withColumn(
+        "_band", F.explode(F.sequence(band(F.greatest(F.col("_row") - radius, F.lit(0))), band(F.least(F.col("_row") + radius, F.lit(grid.ROWS - 1))))))
+
+    def windows(key: tuple, held: pd.DataFrame) -> pd.DataFrame:
+        first = key[1] * rows_of_band - radius  # the raster begins a radius above the band
+        west = int(held["_col"].min()) - radius
+        at = held["_row"].to_numpy() - first, held["_col"].to_numpy() - west
+        shape = rows_of_band + 2 * radius + 1, int(held["_col"].max()) - west + radius + 2
+        own = (at[0] >= radius) & (at[0] < radius + rows_of_band)
+        out = {CELL: held[CELL].to_numpy()[own], PERIOD: held[PERIOD].to_numpy()[own]}
+        low, high = (at[0][own] - radius, at[1][own] - radius), (at[0][own] + radius + 1, at[1][own] + radius + 1)
+
+        def summed(values: np.ndarray) -> np.ndarray:
+            raster = np.zeros(shape, dtype=values.dtype)
+            np.add.at(raster, (at[0] + 1, at[1] + 1), values)
+            total = raster.cumsum(axis=0).cumsum(axis=1)
+            around = total[high] - total[low[0], high[1]] - total[high[0], low[1]] + total[low]
+            return around if include_self else around - values[own]
+
+        for c in columns:
+            known = held[c].notna().to_numpy()
+            values = np.where(known, held[c].to_numpy(dtype=float), 0.0) if not whole[c] else held[c].fillna(0).to_numpy(dtype=np.int64)
+            sums, counts = summed(values), summed(known.astype(np.int64))
+            out[f"{c}_nbr_sum"] = np.where(counts > 0, sums, 0)
+            out[f"{c}_nbr_mean"] = sums / np.maximum(counts, 1) * (counts > 0)
+        return pd.DataFrame(out)
+
+    key_type = panel.schema[PERIOD].dataType.simpleString()
+    received = sent.groupBy(PERIOD, "_band").applyInPandas(windows, f"{CELL} long, {PERIOD} {key_type}, {kinds}")
+    return panel.join(received, [CELL, PERIOD], "left").fillna(0, subset=names)
+
+
 def dense_grid(
-    panel: DataFrame, layout: DataFrame, features: Sequence[str] = (), label: str = "target", codes=CLASS_CODES,
+    panel: DataFrame, layout: DataFrame, features: Sequence[str] = (), label: str = "target", codes=CLASS_CODES, band_rows: int | None = None,
 ) -> DataFrame:
     """One row per month with row-major arrays: labels (-1 where none), mask, and one array per feature.
 
-    A month has at most 259,200 positions, which bounds every array.
+    A month has at most 259,200 positions, which bounds every array. With ``band_rows`` there is one row per month and band of
+    so many rows of the raster, with its number in ``band`` from 0, and no array or group holds more than a band.
     """
     placed = to_raster(panel, layout)
     box = layout_value(layout)
@@ -151,10 +204,12 @@ def dense_grid(
         map_values(F.col(label), codes).cast("int").alias("label"),
         *[F.col(f).cast("float").alias(f) for f in features],
     )
+    of_band = F.lit(0) if band_rows is None else F.floor(F.col("pos") / (F.col("_layout.pad_width") * band_rows))
     every = (
         panel.select(PERIOD).distinct().withColumn("_layout", box)
-        .select(PERIOD, F.explode(F.sequence(
+        .select(PERIOD, "_layout", F.explode(F.sequence(
             F.lit(0).cast("long"), F.col("_layout.pad_height") * F.col("_layout.pad_width") - 1)).alias("pos"))
+        .select(PERIOD, "pos", of_band.cast("long").alias("band"))
     )
     filled = every.join(placed, [PERIOD, "pos"], "left")
     rows = F.array_sort(F.collect_list(F.struct(
@@ -162,9 +217,10 @@ def dense_grid(
         F.col("label").isNotNull().cast("int").alias("mask"),
         *[F.coalesce(f, F.lit(0.0).cast("float")).alias(f) for f in features],
     )))
-    months = filled.groupBy(PERIOD).agg(rows.alias("cells"))
+    keys = [PERIOD] if band_rows is None else [PERIOD, "band"]
+    months = filled.groupBy(*keys).agg(rows.alias("cells"))
     return months.select(
-        PERIOD, F.col("cells.label").alias("labels"), F.col("cells.mask").alias("mask"),
+        *keys, F.col("cells.label").alias("labels"), F.col("cells.mask").alias("mask"),
         *[F.col(f"cells.{f}").alias(f) for f in features],
     )
 

@@ -350,3 +350,57 @@ def test_shuffles_of_many_columns_need_no_sort(spark):
     for k in range(93):  # every column keeps its values, in an order of its own
         assert sorted(moved[:, k]) == [i * 100 + k for i in range(n)]
         assert (moved[:, k] != moved[:, 0] + k).any() or k == 0
+
+
+# --- windows of any radius, rasters in bands --------------------------------------------------
+
+@pytest.mark.parametrize("radius, include_self", [(1, False), (3, True), (8, False), (40, False)])
+def test_windows_of_any_radius_equal_brute_force(spark, radius, include_self):
+    rng, data = random.Random(radius), {}
+    spots = [(r, c) for r in (0, 1, 30, 31, 32, 33, 63, 64, 100, 358, 359) for c in (0, 1, 5, 9, 300, 301, 308, 718, 719)]
+    for month in ("2024-01", "2024-02"):
+        for r, c in rng.sample(spots, 60):
+            data[month, r, c] = (rng.randint(0, 9) if rng.random() > 0.1 else None, rng.random())
+    table = spark.createDataFrame([(at(r, c), m, n, x, "kept") for (m, r, c), (n, x) in data.items()], "priogrid_gid long, year_month string, n int, x double, other string")
+    found = ops.window_features(table.repartition(4), ["n", "x"], radius, include_self)
+    assert found.schema["n_nbr_sum"].dataType.simpleString() == "bigint" and found.count() == len(data)
+    for row in found.collect():
+        r, c = divmod(row["priogrid_gid"] - 1, 720)
+        near = [v for (m, a, b), v in data.items() if m == row["year_month"] and abs(a - r) <= radius and abs(b - c) <= radius and (include_self or (a, b) != (r, c))]
+        for k, name in enumerate(("n", "x")):
+            values = [v[k] for v in near if v[k] is not None]
+            assert row[f"{name}_nbr_sum"] == pytest.approx(sum(values)), (r, c, name)
+            assert row[f"{name}_nbr_mean"] == pytest.approx(sum(values) / len(values) if values else 0.0)
+    if radius == 1:
+        same = ops.neighbour_features(table, ["n"], 1)
+        assert rows(same, "priogrid_gid", "year_month", "n_nbr_sum") == rows(found, "priogrid_gid", "year_month", "n_nbr_sum")
+
+
+def test_windows_send_few_copies(spark):
+    table = spark.createDataFrame([(at(r, c), "m", 1) for r in range(120, 160) for c in range(10)], "priogrid_gid long, year_month string, n long")
+    sent, plain = [], type(table).groupBy
+    class Seen(Exception):
+        pass
+    def caught(self, *a):
+        sent.append(self.count())
+        raise Seen
+    try:
+        type(table).groupBy = caught
+        with pytest.raises(Seen):
+            ops.window_features(table, ["n"], 8)
+    finally:
+        type(table).groupBy = plain
+    assert sent[0] <= 3 * 400  # 289 copies each by sending values to every cell of the window
+
+
+def test_bands_hold_the_raster_of_a_month(spark):
+    data = [(at(r, c), m, "gov", float(r * c)) for m in ("a", "b") for r in range(100, 113) for c in range(200, 207) if (r + c) % 3]
+    panel = spark.createDataFrame(data, "priogrid_gid long, year_month string, target string, v double")
+    layout = ops.grid_layout(panel)
+    whole = {r["year_month"]: r for r in ops.dense_grid(panel, layout, ["v"]).collect()}
+    bands = ops.dense_grid(panel, layout, ["v"], band_rows=5).collect()
+    assert len(bands) == 2 * 4 and max(len(r["labels"]) for r in bands) == 5 * 8
+    for month, r in whole.items():
+        parts = sorted((b for b in bands if b["year_month"] == month), key=lambda b: b["band"])
+        for c in ("labels", "mask", "v"):
+            assert sum((b[c] for b in parts), []) == r[c]
