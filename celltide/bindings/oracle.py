@@ -383,7 +383,8 @@ def full(sql: str) -> str:
     visit(sql)
     if not needed:
         return sql
-    return "WITH " + ",\n".join(f"{n} AS ({CTE[n]})" for n in needed) + "\n" + sql
+    # computed once each, however often the statement reads them
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTE[n]})" for n in needed) + "\n" + sql
 
 
 RAW: dict[str, str] = {}
@@ -753,4 +754,15 @@ RAW["parquet_by_period"] = f"SELECT {KEY}, total_events FROM cell_month"
 RAW["append_variants"] = " UNION ALL ".join(f"SELECT o_orderpriority, COUNT(*) + {v[1:]} AS n, '{v}' AS variant FROM orders GROUP BY 1" for v in ("f10", "f20"))
 RAW["stable_rows"] = f"SELECT {KEY}, target FROM target ANTI JOIN cell_month USING ({KEY})"
 
+# --- lists and literals ---------------------------------------------------------------------
+
+RAW["header_columns"] = " UNION ALL ".join(
+    f"SELECT CAST({i} AS BIGINT) AS place, '{c}' AS name, (SELECT COUNT(*) FROM orders) AS n_rows" for i, c in enumerate(("o_orderkey", "o_orderpriority", "o_totalprice")))
+_KINDS = " UNION ALL ".join("SELECT " + ", ".join(f"'{v}' AS {c}" for c, v in zip(("inter1", "side", "coalition", "actor_group"), (k, *o))) for k, o in fixed.TYPE_FALLBACK.items())
+RAW["type_table"] = f"""SELECT f.side, f.coalition, f.actor_group, s.inter1, COUNT(*) AS n FROM v_signals s LEFT JOIN ({_KINDS}) f ON f.inter1 = s.inter1 GROUP BY 1, 2, 3, 4"""
+_SUMS = ["best", "deaths_a", "deaths_b", "deaths_civilians", "type_of_violence", "where_prec"]
+CTE["event_sum"] = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST(SUM({c}) AS DOUBLE) AS total FROM v_events" for c in _SUMS)
+RAW["numeric_columns"] = "SELECT feature, total FROM event_sum"
+RAW["ranked_columns"] = """SELECT CAST(row_number() OVER (ORDER BY total DESC, feature) AS BIGINT) AS place, feature, total FROM event_sum QUALIFY place <= 3"""
+
 SQL: dict[str, str] = {name: full(sql) for name, sql in RAW.items()}

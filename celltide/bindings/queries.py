@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from celltide import fixed_values as fixed
@@ -18,7 +18,7 @@ from celltide.operators import (
 from celltide.plans import events as event_plans, labels as label_plans, panel as panel_plans, target as target_plans
 from celltide.runtime import checkpoint, checkpoint_folder
 from celltide.schemas import CELL, CLASSES, EVENTS, KEY, PERIOD
-from celltide.sources import readers, writers
+from celltide.sources import dimensions, readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -977,6 +977,46 @@ def append_variants(spark, sf):
     return spark.read.parquet(path)
 
 
+@query
+def header_columns(spark, sf):
+    """Column names of a CSV table by its header, with the number of its rows."""
+    path = _folder(spark)
+    writers.write_csv(t.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), path)
+    names = F.posexplode(F.array(*[F.lit(c) for c in readers.available_columns(spark, path)])).alias("place", "name")
+    stored = readers.read_csv_table(spark, path, StructType.fromDDL("o_orderkey long"))
+    return stored.agg(F.count("*").alias("n_rows")).select(names, "n_rows").withColumn("place", F.col("place").cast("long"))
+
+
+@query
+def type_table(spark, sf):
+    """Signals by what the literal table of actor types says of theirs."""
+    signals = t.signal_events(spark, sf).select("inter1")
+    return keys.left_enrich(signals, dimensions.fallback_table(spark), ["inter1"]).groupBy(
+        "side", "coalition", "actor_group", "inter1").agg(F.count("*").alias("n"))
+
+
+def _column_sums(spark, sf):
+    """(feature, total) of every numeric column of the events that is no key or place."""
+    events = t.events(spark, sf)
+    names = summaries.numeric_features(events, ["id", CELL, "latitude", "longitude"])
+    sums = events.agg(*[F.sum(c).cast("double").alias(c) for c in names])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("total")) for c in names])))
+
+
+@query
+def numeric_columns(spark, sf):
+    return _column_sums(spark, sf)
+
+
+@query
+def ranked_columns(spark, sf):
+    """The first three of a ranked list of columns, each with its place and sum."""
+    sums = checkpoint(_column_sums(spark, sf).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), "feature"))))  # a row per column
+    first = readers.ranked_features(sums, 3)
+    place = F.array_position(F.array(*[F.lit(c) for c in first]), F.col("feature"))
+    return sums.select(place.alias("place"), "feature", "total").filter("place > 0")
+
+
 @query
 def stable_rows(spark, sf):
     """Target rows whose cell and month had no event."""
