@@ -123,3 +123,23 @@ def test_summaries(spark):
     assert rows(summaries.evenly_spaced_periods(months, 4)) == [("2020-01",), ("2020-03",), ("2020-05",), ("2020-07",)]
     assert rows(summaries.evenly_spaced_periods(months, 20)) == [(f"2020-{m:02d}",) for m in range(1, 8)]
     assert rows(summaries.middle_period(months)) == [("2020-04",)]
+
+
+def test_quantiles_are_exact_without_a_buffer_of_values(spark):
+    import random
+    import numpy as np
+    from celltide.operators import summaries
+    rng = random.Random(2)
+    data = [(rng.choice([None, 1.5, 2.0, rng.random() * 9]), rng.randint(-3, 3), None) for _ in range(501)]
+    table = spark.createDataFrame(data, "a double, b int, c double").repartition(5)
+    shares = (0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0)
+    found = {r["column"]: r for r in summaries.quantiles(table, ["a", "b", "c"], shares).collect()}
+    assert set(found) == {"a", "b"}  # a column without values has no quantiles
+    for k, c in enumerate(("a", "b")):
+        values = [d[k] for d in data if d[k] is not None]
+        for i, q in enumerate(shares):
+            assert abs(found[c][f"q{i}"] - np.quantile(values, q)) < 1e-9
+    described = summaries.describe_columns(table, ["a", "c"])
+    assert "percentile" not in described._jdf.queryExecution().optimizedPlan().toString()
+    line = {r["column"]: r for r in described.collect()}
+    assert line["c"]["count"] == 0 and line["c"]["p50"] is None and line["a"]["count"] == sum(d[0] is not None for d in data)
