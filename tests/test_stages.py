@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from celltide import schemas
+from celltide.operators import baselines, grid, models
 from celltide.operators.actors import ActorRule
 from celltide.plans.stages import Stages
+from celltide.runtime import checkpoint
 from celltide.sources.readers import Source
 from tests.conftest import rows
 
@@ -67,3 +69,39 @@ def test_added_predictions_must_cover_the_same_keys(stages):
         stages.add_predictions("partial", base.limit(5))
     stages.add_predictions("copy", base)
     assert stages.evaluate().count() == 3
+
+
+FEATURES = ["total_events", "total_fatalities", "total_events_lag1"]
+
+
+def test_model_stages_equal_their_operators(stages, spark):
+    stages.feature_columns = FEATURES
+    scored = stages.classifier()
+    data, fit = checkpoint(stages.read("model_rows")), baselines.is_train("2024-06")
+    assert data.columns == [*schemas.KEY, "target", *FEATURES] and data.count() == 24
+    scaled = baselines.standardize(data, FEATURES, fit)
+    focal = grid.focal_cells(data, grid.grid_layout(data), fit=fit)
+    fitted = models.train_classifier(models.training_weights(scaled.filter(fit), baselines.class_weights(data, fit), focal), FEATURES)
+    rounded = lambda df: rows(df.select(*schemas.KEY, "pred_class", F.round("prob_gov", 6)))
+    assert rounded(scored) == rounded(models.score(fitted, scaled, "2024-06"))
+    assert {r["model"] for r in stages.evaluate().collect()} >= {"no_change", "random_proportion", "classifier"}
+
+    scores = {r["fold"]: r for r in stages.spatial_cv(n_blocks=2, n_folds=2).collect()}
+    assert set(scores) == {0, 1}
+    roles = stages.read("fold_roles")
+    direct = models.spatial_scores(models.spatial_validation(data, FEATURES, roles, "2024-06", 2, focal))
+    assert rows(direct) == rows(stages.read("fold_scores"))
+
+    table = stages.ablation({"one": FEATURES[:1], "all": FEATURES})
+    assert rows(table, "variant", "subset", "n_features") == [("all", "overall", 3), ("all", "transition", 3), ("one", "overall", 1), ("one", "transition", 1)]
+    stages.ablation({"one": FEATURES[:2]})
+    assert rows(stages.read("ablation"), "variant", "n_features") == [("all", 3), ("all", 3), ("one", 2), ("one", 2)]
+
+
+def test_report_covers_all_models(stages):
+    intervals = stages.report(20)
+    names = {r["model"] for r in stages.predictions().select("model").distinct().collect()}
+    assert {r["model"] for r in intervals.collect()} == names and intervals.count() == len(names) * 4 * 3
+    line = intervals.filter("model = 'no_change' AND class = 'macro' AND measure = 'f1'").first()
+    assert line["lower"] <= line["upper"] and line["text"].startswith(f"{line['value']:.3f} [")
+    assert rows(stages.read("headline"), "model") == [(n,) for n in sorted(names)]
