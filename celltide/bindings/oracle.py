@@ -749,6 +749,7 @@ RAW["middle_period"] = f"SELECT {_MID.format('active')} AS year_month"
 RAW["cell_row_counts"] = """SELECT priogrid_gid, n FROM label_cell LEFT JOIN (SELECT priogrid_gid, COUNT(*) AS n FROM v_events GROUP BY 1) USING (priogrid_gid)"""
 
 RAW["csv_round_trip"] = """SELECT 'a "quoted" note, ' || chr(10) || o_orderpriority AS note, o_orderkey, o_totalprice FROM orders"""
+RAW["large_csv_round_trip"] = RAW["csv_round_trip"]
 RAW["json_revision_log"] = """SELECT o_orderkey AS revid, o_orderstatus AS timestamp, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority ELSE '' END AS comment FROM orders"""
 RAW["parquet_by_period"] = f"SELECT {KEY}, total_events FROM cell_month"
 RAW["append_variants"] = " UNION ALL ".join(f"SELECT o_orderpriority, COUNT(*) + {v[1:]} AS n, '{v}' AS variant FROM orders GROUP BY 1" for v in ("f10", "f20"))

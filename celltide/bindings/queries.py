@@ -951,6 +951,15 @@ def csv_round_trip(spark, sf):
     return readers.read_csv_table(spark, path, StructType.fromDDL("note string, o_orderkey long, o_totalprice double"))
 
 
+@query
+def large_csv_round_trip(spark, sf):
+    """The same rows by the reader that splits files."""
+    note = F.concat(F.lit('a "quoted" note, '), F.lit("\n"), F.col("o_orderpriority"))
+    path = _folder(spark)
+    writers.write_csv(t.table(spark, sf, "orders").select("o_orderkey", "o_totalprice", note.alias("note")), path)
+    return readers.read_large_csv(spark, path, StructType.fromDDL("note string, o_orderkey long, o_totalprice double"))
+
+
 @query
 def json_revision_log(spark, sf):
     path, orders = _folder(spark), t.table(spark, sf, "orders")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from celltide import fixed_values as fixed, schemas
 
@@ -44,13 +44,17 @@ def read_csv_table(
 ) -> DataFrame:
     """CSV by header name into ``schema``; columns may be missing, extra or in any order.
 
-    Quoted fields may hold line breaks, so a file is read by one task. Convert large files to parquet
-    once, or pass ``multi_line=False`` where every record is one line and files are to be split.
+    Quoted fields may hold line breaks, so a file is read by one task. For large files use ``read_large_csv``, or pass
+    ``multi_line=False`` where every record is one line.
     """
     raw = (
         spark.read.option("header", True).option("multiLine", multi_line)
         .option("encoding", "UTF-8").option("escape", '"').csv(path)
     )
+    return _typed(raw, schema)
+
+
+def _typed(raw: DataFrame, schema: T.StructType) -> DataFrame:
     wanted = scan_columns(raw, schema.fieldNames())
     cleaned = wanted.select(*[
         F.when(~F.trim(F.col(c)).isin(NULL_SPELLINGS), F.col(c)).alias(c) for c in wanted.columns
@@ -66,6 +70,42 @@ class Source:
     label: str
 
 
+def read_large_csv(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+    """What ``read_csv_table`` gives, with files split among tasks although quoted fields may hold line breaks.
+
+    A line begins a record where an even number of quotes stands before it in its file. Quotes are counted per block of a file; the
+    few block totals give each block's parity, so every task finds its own records, and only a record that
+    crosses blocks brings lines of several together. All files have the header of the first.
+    """
+    names = available_columns(spark, path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"), quotes.cast("long").alias("quotes"))
+    in_block = Window.partitionBy("file", "block").orderBy("line")
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.coalesce(F.sum("quotes").over(earlier(in_block)), F.lit(0))
+    # records that begin in a block, for either parity that it may begin with
+    counted = lines.withColumn("upto", upto).withColumns({
+        f"n{k}": F.sum(F.when((F.col("upto") + k) % 2 == 0, 1).otherwise(0)).over(in_block) for k in (0, 1)})
+    blocks = lines.groupBy("file", "block").agg(F.sum("quotes").alias("total"))
+    by_file = Window.partitionBy("file").orderBy("block")  # as many rows as a file has blocks
+    blocks = blocks.select("file", "block", (F.coalesce(F.sum("total").over(earlier(by_file)), F.lit(0)) % 2).alias("parity"))
+    placed = counted.join(blocks, ["file", "block"]).withColumn("n", F.when(F.col("parity") == 0, F.col("n0")).otherwise(F.col("n1")))
+    held = placed.groupBy("file", "block").agg(F.max("n").alias("records"))
+    former = lambda c: F.last(F.when(F.col("records") > 0, F.col(c)), ignorenulls=True).over(earlier(by_file))
+    open_before = held.select("file", "block", former("block").alias("of_block"), former("records").alias("of_record"))
+    carried = placed.join(open_before, ["file", "block"])
+    own = F.col("n") > 0
+    whole = carried.groupBy(
+        "file", F.when(own, F.col("block")).otherwise(F.col("of_block")).alias("at"), F.when(own, F.col("n")).otherwise(F.col("of_record")).alias("record"),
+    ).agg(F.array_sort(F.collect_list(F.struct("block", "line", "value"))).alias("l"))
+    text = F.rtrim(F.array_join("l.value", "\n"), F.lit("\r"))
+    records = whole.filter("NOT (at = 0 AND record = 1)").select(text.alias("text")).filter("text <> ''")
+    kind = ", ".join(f"`{c}` STRING" for c in names)
+    return _typed(records.select(F.from_csv("text", F.lit(kind), {"escape": '"', "maxCharsPerColumn": "-1"}).alias("r")).select("r.*"), schema)
+
+
 def missing_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:
     """The paths that do not exist. Nothing is read."""
     missing = []

@@ -152,3 +152,30 @@ def test_restrict_exclude_and_optional_join(spark):
 def test_literal_tables(spark):
     assert dimensions.mark_table(spark).count() == 28
     assert dimensions.fallback_table(spark).filter("side = 'Pro-junta'").count() == 1
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_large_csv_files_are_split_inside_quotes(spark, tmp_path, end):
+    import random
+    rng = random.Random(6)
+    lines = ["id,note,best"]
+    for i in range(400):
+        note = "".join(rng.choice(["a", ",", end, '""', " ", "é"]) for _ in range(rng.randint(0, 120)))
+        lines.append(f'{i},"{note}",{rng.choice(["1.5", "", "NA"])}')
+    lines.append('400,"' + f"long{end}" * 3000 + '",2')  # a record over several blocks
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_bytes((end.join(lines) + end).encode())
+    schema = T.StructType.fromDDL("best double, id long, note string, absent string")
+    plain = rows(readers.read_csv_table(spark, str(tmp_path), schema))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20  # several tasks, cut inside quotes
+        found = rows(readers.read_large_csv(spark, str(tmp_path), schema))
+    finally:
+        for key, value in zip(("maxPartitionBytes", "openCostInBytes"), before):
+            spark.conf.set(f"spark.sql.files.{key}", value)
+    assert len(found) == 802
+    strip = lambda table: [tuple(v.replace("\r\n", "\n") if isinstance(v, str) else v for v in r) for r in table]
+    assert sorted(strip(found), key=repr) == sorted(strip(plain), key=repr)
