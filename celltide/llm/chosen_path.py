@@ -8,12 +8,11 @@ exhaustively; larger ones branch again. Independent trees are repeated until a l
 good as certain to be met.
 
 A dense node, whose sets stay together level after level because they are copies of each other, is compared
-in blocks: first each block within itself and with some hubs of the node, then the few sets that did not
-join the node's main component against all others, so that a large group of copies costs time in
+in blocks: first each block within itself and with some hubs of the node, so that a large group of copies costs time in
 proportion to its size. Later trees, which know the components, branch a dense node further while many
-of its sets are outside its main component, and compare those that are left against all others too. No pairs are written: a block gives the links that join its components. Candidate
-pairs are those in one node whose signatures agree well enough; only their texts are shuffled, and
-each link is confirmed on the full sets.
+of its sets are outside its main component, and compare the few that are left against all others. No pairs are written: a block gives the links that join its components. Nodes of
+different trees with the same sets are one block. Candidate pairs are those in one block whose sketches, a byte of each
+minwise token, agree well enough; only their texts are shuffled, and each link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -38,6 +37,10 @@ TREES = (2, 10)
 SMALL, DEPTH, BLOCK, HUBS = 64, 4, 128, 4
 #: Levels of branching in the second round for nodes with more than SMALL sets outside their main component.
 DEEP = 12
+#: Bits of the filter that keeps texts without a candidate out of the shuffle, at most 8 MB of them.
+FILTER_BITS = 2**26
+#: Bits of one row of that filter, as Spark's bitmap functions cut them.
+_BITMAP = 32_768
 _ODD = np.random.default_rng(20).integers(0, 2**32, (2, COORDINATES), dtype=np.uint32) | np.uint32(1)
 _FLIP = np.random.default_rng(21).integers(0, 2**32, COORDINATES, dtype=np.uint32)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -89,8 +92,11 @@ def _key(words: list[bytes]) -> bytes:
 
 
 def sets_of(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, key, n_shingles, signature) per row; key tells different word sequences apart and is null without words."""
-    @F.pandas_udf("struct<key: binary, n_shingles: long, signature: binary>")
+    """(doc_id, key, n_shingles, signature, sketch) per row; key tells different word sequences apart and is null without words.
+
+    The sketch is the lowest byte of each of the signature's tokens.
+    """
+    @F.pandas_udf("struct<key: binary, n_shingles: long, signature: binary, sketch: binary>")
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes = _Hashes()
         for batch in batches:
@@ -98,10 +104,13 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
             for text in batch:
                 words = words_of(text)
                 found = shingles(words, size, hashes)
-                rows.append((_key(words), len(found), signature(found)) if words else (None, 0, None))
-            yield pd.DataFrame(rows, columns=["key", "n_shingles", "signature"])
+                tokens = signature(found) if words else b""
+                rows.append((_key(words), len(found), tokens, tokens[::4]) if words else (None, 0, None, None))
+            yield pd.DataFrame(rows, columns=["key", "n_shingles", "signature", "sketch"])
 
-    return docs.withColumn("_set", digest(whole(F.col("text")))).select("doc_id", "_set.key", "_set.n_shingles", "_set.signature")
+    return docs.withColumn("_set", digest(whole(F.col("text")))).select(
+        "doc_id", "_set.key", "_set.n_shingles", "_set.signature", "_set.sketch",
+    )
 
 
 def _chosen(node: Column, similarity: float) -> Column:
@@ -122,9 +131,9 @@ def _branch(frontier: DataFrame) -> DataFrame:
 
 
 def _paths(sets: DataFrame, trees: range, similarity: float, deep: int = DEPTH) -> tuple[DataFrame, DataFrame]:
-    """Members (node, doc) of the small nodes of some trees, and of the dense ones that stay large to the last level.
+    """Members (block, doc) of the small nodes of some trees, and (node, doc) of the dense ones that stay large to the last level.
 
-    From level DEPTH to level ``deep`` only nodes with more than SMALL sets outside their main component branch. Nodes whose sets are already in one component have nothing to find and are left out. Rows are
+    A small node is named by its sets, so that the same sets are one block wherever they meet. From level DEPTH to level ``deep`` only nodes with more than SMALL sets outside their main component branch. Nodes whose sets are already in one component have nothing to find and are left out. Rows are
     narrow: signatures join large nodes only.
     """
     # a root's choice is the same for all sets: one row per tree
@@ -137,11 +146,12 @@ def _paths(sets: DataFrame, trees: range, similarity: float, deep: int = DEPTH)
         children = _branch(frontier)
         counts = children.groupBy("node").agg(
             F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"),
-        ).filter("n > 1 AND low < high").select("node", "n", F.when(F.col("n") > SMALL, _chosen(F.col("node"), similarity)).alias("chosen"))
+            F.expr("bit_xor(xxhash64(doc, 'name'))").alias("name"),
+        ).filter("n > 1 AND low < high").select("node", F.xxhash64("n", "name").alias("block"), F.when(F.col("n") > SMALL, _chosen(F.col("node"), similarity)).alias("chosen"))
         kept = checkpoint(children.join(counts, "node"))
-        found = kept.filter("chosen IS NULL").select("node", "doc")
+        found = kept.filter("chosen IS NULL").select("block", "doc")
         small = found if small is None else small.unionByName(found)
-        large = kept.filter("chosen IS NOT NULL").drop("n")
+        large = kept.filter("chosen IS NOT NULL").drop("block")
         if large.isEmpty():
             break
         if level >= DEPTH:
@@ -154,7 +164,7 @@ def _paths(sets: DataFrame, trees: range, similarity: float, deep: int = DEPTH)
             if large.isEmpty():
                 break
         frontier = large.withColumn("at", F.explode("chosen")).drop("chosen").join(sets.select("doc", "signature"), "doc")
-    return small, large.select("node", "doc") if dense is None else dense
+    return small.distinct(), large.select("node", "doc") if dense is None else dense
 
 
 def _in_block(*parts) -> Column:
@@ -195,17 +205,17 @@ def _crossing(dense: DataFrame, sets: DataFrame) -> DataFrame:
 def find_links(blocks: DataFrame, sets: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) that join the components of each block's sets, confirmed on the full sets of their texts.
 
-    ``blocks`` holds (block, doc). Signatures come first: a set stays in its block only beside another that is
-    not yet in its component, is near enough in size, and has a signature that agrees. Blocks that are left with the same sets
+    ``blocks`` holds (block, doc). Sketches come first: a set stays in its block only beside another that is
+    not yet in its component, is near enough in size, and has a sketch that agrees. Blocks that are left with the same sets
     become one, so what meets in many nodes is confirmed once.
     """
-    posted = blocks.join(sets, "doc").select("block", "doc", "key", "component", "n_shingles", "signature")
+    posted = blocks.join(sets, "doc").select("block", "doc", "key", "component", "n_shingles", "sketch")
 
     def candidates(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for _, (doc, key, component, n, sig) in runs(batches):
             group, n = np.array(component), np.array(n)
-            sig = np.frombuffer(b"".join(sig), dtype="<u4").reshape(len(doc), -1)
+            sig = np.frombuffer(b"".join(sig), dtype=np.uint8).reshape(len(doc), -1)
             alive = []
             for i in range(len(doc)):
                 other = np.flatnonzero((group != group[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent))
@@ -220,7 +230,7 @@ def find_links(blocks: DataFrame, sets: DataFrame, docs: DataFrame, size: int, p
         yield pd.DataFrame(rows, columns=["block", "doc", "key", "component"])
 
     alive = checkpoint(by_block(posted).mapInPandas(candidates, "block long, doc long, key binary, component long").distinct())
-    texts = docs.select(F.col("doc_id").alias("doc"), "text")
+    texts = _likely_in(docs.select(F.col("doc_id").alias("doc"), "text"), alive)
     shipped = by_block(alive.join(texts, "doc").select("block", "doc", "key", "component", "text"))
 
     def confirm(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,6 +242,24 @@ def find_links(blocks: DataFrame, sets: DataFrame, docs: DataFrame, size: int, p
     return shipped.mapInPandas(confirm, "a long, b long")
 
 
+def _likely_in(texts: DataFrame, alive: DataFrame) -> DataFrame:
+    """``texts`` whose doc is in ``alive``, and few others: a join must follow.
+
+    A filter of one hashed bit per document, at most FILTER_BITS, 16 for each row of ``alive`` below that, is broadcast. The more documents
+    are alive, the less it holds back.
+    """
+    maps = max(1, min(FILTER_BITS, 16 * alive.count()) // _BITMAP)
+    spot = F.pmod(F.xxhash64("doc", F.lit("filter")), F.lit(maps * _BITMAP))
+    bits = alive.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("map")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"),
+    )
+    at = F.bitmap_bit_position("spot")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return texts.withColumn("spot", spot).withColumn("map", F.bitmap_bucket_number("spot")).join(F.broadcast(bits), "map").filter(
+        F.getbit(byte, (at % 8).cast("int")) == 1,
+    ).select("doc", "text")
+
+
 def _links_of_block(members: list[list], size: int, percent: int, hashes: _Hashes) -> list[tuple[int, int]]:
     """Links between sets of different components, as many as join them."""
     found: dict[tuple[int, bytes], tuple[int, np.ndarray]] = {}
@@ -275,13 +303,14 @@ def classify(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
     rows = checkpoint(sets_of(docs, size))
     sets = checkpoint(rows.filter("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(
         F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"),
+        F.first("sketch").alias("sketch"),
     ).withColumn("component", F.col("doc")))
     small, dense = _paths(sets, range(TREES[0]), similarity)
-    blocks = small.select(F.col("node").alias("block"), "doc").unionByName(_diagonal(dense))
+    blocks = small.unionByName(_diagonal(dense))
     first = checkpoint(find_links(blocks, sets, docs, size, percent))
     sets = checkpoint(_with_components(sets, components(first)))
-    small, dense_now = _paths(sets, range(TREES[0], sum(TREES)), similarity, DEEP)
-    blocks = small.select(F.col("node").alias("block"), "doc").unionByName(_crossing(dense.unionByName(dense_now), sets))
+    small, dense = _paths(sets, range(TREES[0], sum(TREES)), similarity, DEEP)
+    blocks = small.unionByName(_crossing(dense, sets))
     second = checkpoint(find_links(blocks, sets, docs, size, percent))
     sets = _with_components(sets, components(first.unionByName(second)))
     own = F.coalesce("component", "doc_id")
@@ -292,7 +321,7 @@ def classify(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
 
 def _with_components(sets: DataFrame, found: DataFrame) -> DataFrame:
     return sets.drop("component").join(found.select(F.col("id").alias("doc"), "component_id"), "doc", "left").select(
-        "key", "doc", "n_shingles", "signature", F.coalesce("component_id", "doc").alias("component"),
+        "key", "doc", "n_shingles", "signature", "sketch", F.coalesce("component_id", "doc").alias("component"),
     )
 
 
