@@ -21,9 +21,9 @@ from celltide.runtime import checkpoint
 
 #: Pivots, how many of them a vector is posted under, vectors of a shard, queries of a block.
 PIVOTS, NEAREST, SHARD, QUERIES = 128, 128, 4096, 1024
-#: Share of a shard that is reranked, and how far below the worst kept cosine the median of a further run of
+#: Share of a shard that is reranked, how many of a query's candidates at least (over all shards), and how far below the worst kept cosine the median of a further run of
 #: candidates may lie for the reranking to go on.
-RERANK, SLACK = 0.1, 0.1
+RERANK, LEAST, SLACK = 0.06, 256, 0.1
 
 
 def pick_pivots(vectors: DataFrame, n: int = PIVOTS) -> np.ndarray:
@@ -72,10 +72,10 @@ def search(
 
     A query's own id is no candidate. Nearest first, ties to the smaller id; fewer than ``k`` if there are fewer.
     """
-    shards = [r["shard"] for r in index.select("shard").distinct().collect()]
+    shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
     blocks = max(1, -(-queries.count() // QUERIES))
     block = F.pmod(F.xxhash64("vec_id", F.lit("query")), F.lit(blocks).cast("long"))
-    asked = queries.select("vec_id", "embedding", block.alias("block")).withColumn("shard", F.explode(F.array(*[F.lit(s) for s in shards]).cast("array<long>")))
+    asked = queries.select("vec_id", "embedding", block.alias("block")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
     files = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def look(key: tuple, shard: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
@@ -86,10 +86,15 @@ def search(
             # slots count the vectors in id order
             at = np.argsort(ids, kind="stable")
             ids, stored = ids[at], stored[at]
-            posted = {int(p): (s, q) for p, s, q in shard[shard["pivot"].notna()][["pivot", "slots", "places"]].itertuples(index=False)}
+            files = shard[shard["pivot"].notna()][["pivot", "slots", "places"]]
+            # the files side by side: a vector that isn't in one has that pivot at the place after the last
+            posted = np.full((len(pivots), len(ids)), nearest, dtype=np.int16)
+            for p, s, q in files.itertuples(index=False):
+                posted[int(p), s] = q
+            run = max(k, int(np.ceil(rerank * len(ids))), -(-LEAST // shards))
             wanted = np.stack(asked["embedding"].to_numpy())
             for q_id, vector, order in zip(asked["vec_id"], wanted, orders(wanted, pivots, nearest)):
-                out += [(q_id, *hit) for hit in _nearest(q_id, vector, order, ids, stored, posted, k, rerank)]
+                out += [(q_id, *hit) for hit in _nearest(q_id, vector, order, ids, stored, posted, k, run)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     found = files.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(
@@ -99,16 +104,11 @@ def search(
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _nearest(q_id, vector, order, ids, stored, posted, k, rerank) -> list[tuple[int, float]]:
-    """The ``k`` nearest of one shard, by footrule first and cosine then."""
-    m, footrule = len(order), np.zeros(len(ids), dtype=np.int32)
-    for place, pivot in enumerate(order):
-        slots, places = posted[int(pivot)]
-        # a vector without this pivot has it at place m
-        footrule[slots] += np.abs(places - place) - (m - place)
+def _nearest(q_id, vector, order, ids, stored, posted, k, run) -> list[tuple[int, float]]:
+    """The ``k`` nearest of one shard, by footrule first and cosine then, ``run`` candidates at a time."""
+    footrule = np.abs(posted[order] - np.arange(len(order), dtype=np.int16)[:, None]).sum(axis=0, dtype=np.int32)
     ranked = np.argsort(footrule, kind="stable")
     ranked = ranked[ids[ranked] != q_id]
-    run = max(k, int(np.ceil(rerank * len(ranked))))
     taken = np.empty(0, dtype=int)
     score = np.empty(0)
     for at in range(0, len(ranked), run):
