@@ -119,7 +119,7 @@ class Stages:
         rows, columns = self.model_rows()
         fit = baselines.is_train(self.cutoff)
         data = self._store(baselines.standardize(rows, columns, fit), "scaled_rows")
-        train = model_ops.training_weights(data.filter(fit), baselines.class_weights(rows, fit), self._focal(rows))
+        train = model_ops.fit_weights(data.filter(fit), baselines.class_weights(rows, fit), self._focal(rows))
         fitted = model_ops.train_classifier(train, columns, algorithm, self.seed)
         self.add_predictions(name, model_ops.score(fitted, data, self.cutoff))
         return self.predictions().filter(F.col("model") == name)

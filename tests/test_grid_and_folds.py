@@ -160,6 +160,34 @@ def test_focal_weights(spark):
     assert got == [(1, 0.5), (2, 1.0), (3, 0.0)]
 
 
+def test_models_are_fitted_without_a_changing_cell(spark):
+    names = ["gov", "opo", "uncertain"]  # by cell, so no cell ever changes and the focal region is empty
+    table = spark.createDataFrame(
+        [(c, f"2024-{m:02d}", names[c // 3 % 3], float(c // 3 % 3 == 0) + m / 100, float(c // 3 % 3 == 1), c / 10) for c in range(1, 37) for m in range(1, 7)],
+        "priogrid_gid long, year_month string, target string, x double, y double, z double")
+    fit, columns = F.col("year_month") <= "2024-04", ["x", "y", "z"]
+    focal = ops.focal_cells(table, ops.grid_layout(table), fit=fit)
+    assert focal.isEmpty()
+    for algorithm in ("logistic", "forest"):
+        train = models.fit_weights(table.filter(fit), class_weights(table, fit), focal)
+        assert train.count() == 144 and train.filter("weight = 1").count() == 144
+        model = models.train_classifier(train, columns, algorithm, trees=5)
+        assert models.score(model, table, "2024-04").filter("pred_class = true_class").count() == 216
+    variant = models.ablation(table, {"all": columns}, "2024-04", class_weights(table, fit), focal)
+    assert variant.filter("subset = 'overall'").first()["macro_f1"] == 1.0
+    # a fold whose focal cells are all held out trains on all its training rows, the others on their focal ones
+    roles = roles_of(spark).filter("priogrid_gid BETWEEN 1 AND 36")
+    weights = folds.fold_class_weights(table, roles, fit)
+    for inside, whole in (([], {0, 1, 2}), ([3, 6, 9], {0}), ([3, 4, 5, 6], set())):
+        marks = spark.createDataFrame([(c,) for c in inside], "priogrid_gid long")
+        held = models._fold_rows(table, columns, roles, weights, "2024-04", 3, marks).selectExpr("x", "own", "posexplode(weights) AS (fold, w)")
+        used = held.filter("own <> fold AND w > 0").selectExpr("fold", "CAST(round(x[2] * 10) AS LONG) AS cell").distinct()
+        got = {(r["fold"], r["cell"]) for r in used.collect()}
+        assert got == {(f, c) for f in range(3) for c in range(1, 37) if c % 3 != f and (f in whole or c in inside)}
+    scored = models.spatial_validation(table, columns, roles, "2024-04", n_folds=3, focal=focal)
+    assert scored.filter("pred_class = true_class").count() == scored.count() == 36 * 2 * 3
+
+
 def test_stream_equals_batch(spark, tmp_path):
     events = spark.range(500).select(
         (F.lit(10.0) + (F.col("id") % 7) / 3).alias("latitude"), F.lit(95.0).alias("longitude"), F.col("id").cast("double").alias("value"),
