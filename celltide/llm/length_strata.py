@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +30,8 @@ from celltide.runtime import checkpoint
 BLOCK_DOCS, BLOCK_TERMS = 1024, 500_000
 #: Bytes of text whose terms lie in a task's memory together; a longer text is a share of its own.
 SHARE_BYTES = 2_000_000
+#: Rows of an Arrow batch of texts, and blocks of one of the index: what a task and its Python worker hold beside each other.
+BATCH_TEXTS, BATCH_BLOCKS = 1000, 4
 #: Queries that go through the index together.
 ITEMS = 1024
 #: Blocks that each query visits first, those with its highest bounds.
@@ -65,6 +68,18 @@ class Index:
     n_terms: int
 
 
+@contextmanager
+def _batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for the jobs run inside; by default one holds all blocks that a task reads."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 # --- building ----------------------------------------------------------------------------------
 
 @F.pandas_udf(LongType())
@@ -82,21 +97,23 @@ def _shares(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, salt, text) to (doc_id, salt, n, terms, tfs), a share of the bytes at a time; texts without terms go."""
+    """Rows (doc_id, salt, text) to (doc_id, salt, n, terms, tfs), a share of the bytes at a time; texts without terms go.
+
+    A document's distinct terms are one value, joined by blanks, which no term holds; their frequencies are another.
+    """
     for batch in (share for whole_batch in batches for share in _shares(whole_batch)):
-        n, terms, tfs, ends, at = [], [], [], [0], []
+        n, terms, tfs, at = [], [], [], []
         for row, text in enumerate(batch.column(2).to_pylist()):
             counted = Counter(terms_of(text))
             if counted:
-                terms.extend(counted)
-                tfs.extend(counted.values())
-                ends.append(len(terms))
+                terms.append(b" ".join(counted))
+                tfs.append(_ints(np.fromiter(counted.values(), dtype="<i4", count=len(counted))))
                 n.append(counted.total())
                 at.append(row)
-        kept, offsets = batch.take(pa.array(at, pa.int64())), pa.array(ends, pa.int32())
+        kept = batch.take(pa.array(at, pa.int64()))
         yield pa.RecordBatch.from_arrays([
             kept.column(0), kept.column(1), pa.array(n, pa.int64()),
-            pa.ListArray.from_arrays(offsets, pa.array(terms, pa.binary())), pa.ListArray.from_arrays(offsets, pa.array(tfs, pa.int32())),
+            pa.array(terms, pa.binary()), pa.array(tfs, pa.binary()),
         ], names=["doc_id", "salt", "n", "terms", "tfs"])
 
 
@@ -107,10 +124,10 @@ def _ints(values: np.ndarray) -> bytes:
 def _block(rows: pa.Table) -> pa.Table:
     """One block of a stratum: documents by id, and of each term its runs of equal frequency."""
     rows = rows.take(pc.sort_indices(rows, sort_keys=[("doc_id", "ascending")], null_placement="at_end"))
-    lists = rows.column("terms").combine_chunks()
+    lists = pc.split_pattern(rows.column("terms").combine_chunks(), " ")
     coded = lists.flatten().dictionary_encode()
     code = coded.indices.to_numpy().astype(np.int64)
-    tf = rows.column("tfs").combine_chunks().flatten().to_numpy().astype(np.int64)
+    tf = np.frombuffer(b"".join(rows.column("tfs").to_pylist()), dtype="<i4").astype(np.int64)
     doc = pc.list_parent_indices(lists).to_numpy()
     key = code * (int(tf.max()) + 1) + tf
     order = np.argsort(key, kind="stable")
@@ -133,7 +150,8 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """The index of all documents with at least one term; null and empty texts have none. Repeated rows count each."""
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), whole(F.col(text)).alias("text"))
-    lengths = checkpoint(rows.select(_term_count("text").alias("n")).filter("n > 0").groupBy("n").agg(F.count("*").alias("docs")))
+    with _batches_of(docs.sparkSession, BATCH_TEXTS):
+        lengths = checkpoint(rows.select(_term_count("text").alias("n")).filter("n > 0").groupBy("n").agg(F.count("*").alias("docs")))
     totals = lengths.agg(F.sum("docs").alias("docs"), F.sum(F.col("n") * F.col("docs")).alias("terms")).first()
     n_docs, n_terms = totals["docs"] or 0, totals["terms"] or 0
     m = F.expr(f"CAST(75 + (CAST({25 * n_docs} AS BIGINT) * n) DIV {max(n_terms, 1)} AS BIGINT)")
@@ -141,13 +159,14 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     strata = checkpoint(lengths.groupBy(m.alias("m")).agg(F.greatest(
         F.ceil(F.sum("docs") / BLOCK_DOCS), F.ceil(F.sum(F.col("n") * F.col("docs")) / BLOCK_TERMS)).alias("shards")))
     counted = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("salt"), "text").mapInArrow(
-        _frequencies, f"doc_id {kind}, salt long, n long, terms array<binary>, tfs array<int>")
+        _frequencies, f"doc_id {kind}, salt long, n long, terms binary, tfs binary")
     placed = counted.withColumn("m", m).join(strata, "m").select(
         "m", F.pmod("salt", "shards").cast("int").alias("shard"), "doc_id", "terms", "tfs")
     blocks = placed.groupBy("m", "shard").applyInArrow(
         _block, f"m long, shard int, doc_ids array<{kind}>, terms array<binary>, df binary, top_tf binary, "
         "runs binary, run_tf binary, run_docs binary, docs binary")
-    return Index(checkpoint(blocks), n_docs, n_terms)
+    with _batches_of(docs.sparkSession, BATCH_TEXTS):
+        return Index(checkpoint(blocks), n_docs, n_terms)
 
 
 # --- searching ---------------------------------------------------------------------------------
@@ -305,7 +324,7 @@ def _search_block(index: Index, items: list[tuple[object, str | None]], k: int,
         last = _ranked(_visit(index, shared, least, k, only), k).filter(F.col("rank") == k)
         for r in last.select("item", "score").collect():
             least[r["item"]] = r["score"]
-    return _ranked(_visit(index, shared, least, k), k), queries
+    return checkpoint(_ranked(_visit(index, shared, least, k), k)), queries
 
 
 def search(index: Index, items: DataFrame, k: int = 20, item_id: str = "item_id", text: str = "text", first: int = FIRST) -> DataFrame:
@@ -320,7 +339,8 @@ def search(index: Index, items: DataFrame, k: int = 20, item_id: str = "item_id"
     for part in range(parts):
         of = kept.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
         held = [(r["item_id"], r["text"]) for r in of.orderBy("item_id", "text").collect()]
-        found, queries = _search_block(index, held, k, first)
+        with _batches_of(spark, BATCH_BLOCKS):
+            found, queries = _search_block(index, held, k, first)
         names = spark.createDataFrame(list(enumerate(queries.ids)), f"item long, item_id {kept.schema['item_id'].dataType.simpleString()}")
         out.append(found.join(F.broadcast(names), "item").select("item_id", "rank", "doc_id", "score"))
     if not out:

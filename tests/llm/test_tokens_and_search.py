@@ -231,3 +231,24 @@ def test_alignment_of_empty_and_repeated_rows(spark):
     assert run(docs.limit(0)).count() == 0
     assert sorted((r["doc_id"] or 0, r["n_links"], r["count_sum"]) for r in run(docs).collect()) == [(0, 0, 0), (0, 2, 6), (1, 2, 6), (1, 2, 6)]
     assert [r["n_a"] for r in run(docs.filter("text IS NULL")).collect()] == [0]
+
+
+def test_search_holds_few_blocks_at_once(spark, monkeypatch):
+    key, plain = "spark.sql.execution.arrow.maxRecordsPerBatch", length_strata._rows
+    docs = spark.createDataFrame([(i, "common " * (1 + 9 * i) + f"rare{i % 7}") for i in range(40)], "doc_id long, text string").coalesce(1)
+    index = length_strata.build_index(docs)
+    index.blocks = index.blocks.coalesce(1)
+    most = length_strata.BATCH_BLOCKS
+    assert index.blocks.count() > 2 * most
+
+    def few(batches):
+        def checked():
+            for batch in batches:
+                assert batch.num_rows <= most
+                yield batch
+        return plain(checked())
+
+    before = spark.conf.get(key)
+    monkeypatch.setattr(length_strata, "_rows", few)
+    found = length_strata.search(index, spark.createDataFrame([(1, "common rare3")], "item_id long, text string"), k=20)
+    assert found.count() == 20 and spark.conf.get(key) == before
