@@ -36,8 +36,8 @@ BATCH_TEXTS, BATCH_BLOCKS = 1000, 4
 ITEMS = 1024
 #: Blocks that each query visits first, those with its highest bounds.
 FIRST = 4
-#: Cells (queries x documents) that are scored at once.
-CELLS = 2_000_000
+#: Cells (queries x documents) that are scored at once, and postings that are added to them at once.
+CELLS, POSTINGS = 2_000_000, 250_000
 
 #: Bytes of UTF-8 text to bytes of its terms: A-Z lower-cased; digits, a-z and all bytes outside ASCII stay; the rest parts terms.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -233,9 +233,10 @@ def _score(queries: Queries, block: dict[str, pa.Scalar], places: np.ndarray, it
         row[part] = np.arange(len(part))
         at = places[queries.term]
         used = np.flatnonzero((row[queries.item] >= 0) & (at >= 0) & (queries.weight > 0))
-        at, scores = at[used], np.zeros(len(part) * n, dtype=np.int64)
-        places_of, size = _spread(begins[at], df[at]), df[at]
-        np.add.at(scores, np.repeat(row[queries.item[used]] * n, size) + docs[places_of], np.repeat(queries.weight[used], size) * by_posting[places_of])
+        scores, share = np.zeros(len(part) * n, dtype=np.int64), np.cumsum(df[at[used]]) // POSTINGS
+        for some in np.split(used, np.flatnonzero(np.diff(share)) + 1):
+            size, places_of = df[at[some]], _spread(begins[at[some]], df[at[some]])
+            np.add.at(scores, np.repeat(row[queries.item[some]] * n, size) + docs[places_of], np.repeat(queries.weight[some], size) * by_posting[places_of])
         for i, of_item in zip(part, scores.reshape(len(part), n)):
             found = np.flatnonzero(of_item >= max(least[i], 1))
             if len(found) > k:

@@ -5,10 +5,12 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
@@ -252,3 +254,20 @@ def test_search_holds_few_blocks_at_once(spark, monkeypatch):
     monkeypatch.setattr(length_strata, "_rows", few)
     found = length_strata.search(index, spark.createDataFrame([(1, "common rare3")], "item_id long, text string"), k=20)
     assert found.count() == 20 and spark.conf.get(key) == before
+
+
+def test_scoring_holds_few_postings_at_once():
+    texts = [" ".join(f"t{k}" for k in range(100)) + f" own{i}" for i in range(300)]
+    tables = [pa.Table.from_batches([b]) for b in length_strata._frequencies([pa.RecordBatch.from_pydict({"doc_id": range(300), "salt": range(300), "text": texts})])]
+    held = pa.concat_tables(tables)
+    held = held.append_column("m", pa.array([100] * 300)).append_column("shard", pa.array([0] * 300, pa.int32()))
+    block = next(length_strata._rows(length_strata._block(held).to_batches()))
+    queries = length_strata.Queries([(i, texts[i]) for i in range(200)])
+    places, least = length_strata._places(queries, block), np.zeros(200, dtype=np.int64)
+    tracemalloc.start()
+    found = list(length_strata._score(queries, block, places, np.arange(200), least, 3))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    one = int(length_strata.impact(np.array([1]), 100)[0])
+    assert [f for f in found if f[0] == 7] == [(7, 7, 101 * one), (7, 0, 100 * one), (7, 1, 100 * one)]
+    assert len(found) == 600 and peak < 60_000_000  # the 6 million postings of all queries take 48 MB a column
