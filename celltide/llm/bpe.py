@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from celltide.llm.text import whole
 
-#: Characters of text whose new words are replayed together; bounds a task's memory beside single long texts.
-REPLAY_CHARS = 4_000_000
+#: Characters of text whose new words are replayed together and whose ids leave a task together; bounds its memory beside single long texts.
+REPLAY_CHARS = 1_000_000
 #: Bytes of remembered words, after which a task forgets them and replays anew (the result is the same).
 MEMORY_BYTES = 64_000_000
 
@@ -182,6 +182,18 @@ def _shares(texts: Iterable[str]) -> Iterator[list[str]]:
         yield run
 
 
+def _encoded(batches: Iterable[pd.Series], ranks: dict[bytes, int], pattern: str, names: list[str]) -> Iterator[pd.DataFrame]:
+    """The columns ``names`` of all texts in order, a frame for each share of a batch."""
+    worker, tokens = Replayer(ranks, pattern), {r: t for t, r in ranks.items()}
+    for batch in batches:
+        if not len(batch):
+            yield pd.DataFrame(columns=names)
+        for share in _shares(batch):
+            packed = worker.encode(share)
+            rows = [(len(p) // 4, hashlib.sha256(p).hexdigest(), hashlib.sha256(decode(p, tokens)).hexdigest(), p)[:len(names)] for p in packed]
+            yield pd.DataFrame(rows, columns=names)
+
+
 def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, column: str = "text", ids: bool = True) -> DataFrame:
     """``docs`` with ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, on demand, ``ids``.
 
@@ -197,15 +209,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, column: str = "
 
     @F.pandas_udf(f"struct<{packed}>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        ranks = shared.value
-        worker, tokens = Replayer(ranks, pattern), {r: t for t, r in ranks.items()}
-        for batch in batches:
-            rows = []
-            for share in _shares(batch):
-                for p in worker.encode(share):
-                    row = (len(p) // 4, hashlib.sha256(p).hexdigest(), hashlib.sha256(decode(p, tokens)).hexdigest())
-                    rows.append((*row, p) if ids else row)
-            yield pd.DataFrame(rows, columns=names)
+        return _encoded(batches, shared.value, pattern, names)
 
     return docs.withColumn("_bpe", encode(whole(F.col(column)))).select(*docs.columns, *[F.col(f"_bpe.{n}").alias(n) for n in names])
 

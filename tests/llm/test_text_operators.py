@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -140,6 +141,18 @@ def test_encode_texts_round_trip(spark, ranks):
     assert bpe.encode_texts(df.limit(0), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_ids_leave_a_task_in_shares(spark, monkeypatch):
+    # by way of the query: what a task gives back at once holds no more than a share of the texts
+    texts = [f"word{i} " * 100 for i in range(40)]
+    monkeypatch.setattr(bpe, "REPLAY_CHARS", 3000)
+    frames, plain = [], bpe.F.pandas_udf
+    monkeypatch.setattr(bpe.F, "pandas_udf", lambda kind: lambda f: frames.extend(f(iter([pd.Series(texts)]))) or plain(kind)(f))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = bpe.encode_texts(df, public_tokenizers.path(RANKS_FILE), public_tokenizers.PATTERN)
+    assert max(map(len, frames)) <= 5 and sum(map(len, frames)) == 40
+    assert [p for f in frames for p in f["ids"]] == [bytes(r["ids"]) for r in out.orderBy("doc_id").collect()]
+
+
 def test_read_ranks(tmp_path):
     (tmp_path / "v").write_bytes(b"\n".join(base64.b64encode(bytes([b])) + b" %d" % b for b in range(256)) + b"\n")
     assert bpe.read_ranks(str(tmp_path / "v"))[b"a"] == 97
