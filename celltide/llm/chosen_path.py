@@ -9,7 +9,7 @@ good as certain to be met.
 
 A dense node, whose sets stay together level after level because they are copies of each other, is compared
 in blocks: first each block within itself and with some hubs of the node, so that a large group of copies costs time in
-proportion to its size. Later trees, which know the components, branch a dense node further while many
+proportion to its size. Later trees, which know the components, branch a node further only while many
 of its sets are outside its main component, and compare the few that are left against all others. No pairs are written: a block gives the links that join its components. Nodes of
 different trees with the same sets are one block. Candidate pairs are those in one block whose sketches, a byte of each
 minwise token, agree well enough; only their texts are shuffled, and each link is confirmed on the full sets.
@@ -34,9 +34,10 @@ COORDINATES, AGREE = 64, 37
 #: Trees of the two rounds: the first finds nearly all links, the second the links that it missed.
 TREES = (2, 10)
 #: Sets of a node that is compared at once, levels of branching, sets of a block of a dense node, hubs of a dense node.
-SMALL, DEPTH, BLOCK, HUBS = 64, 4, 128, 4
-#: Levels of branching in the second round for nodes with more than SMALL sets outside their main component.
-DEEP = 12
+SMALL, DEPTH, BLOCK, HUBS = 256, 4, 256, 4
+#: Levels of branching in the second round, for nodes with more than CROSSED blocks of sets outside their main component only: so few
+#: meet all others in a few rows a set, fewer than the node's branches have by the time that they are small.
+DEEP, CROSSED = 12, 2
 #: Bits of the filter that keeps texts without a candidate out of the shuffle, at most 8 MB of them.
 FILTER_BITS = 2**26
 #: Bits of one row of that filter, as Spark's bitmap functions cut them.
@@ -133,8 +134,9 @@ def _branch(frontier: DataFrame) -> DataFrame:
 def _paths(sets: DataFrame, trees: range, similarity: float, deep: int = DEPTH) -> tuple[DataFrame, DataFrame]:
     """Members (block, doc) of the small nodes of some trees, and (node, doc) of the dense ones that stay large to the last level.
 
-    A small node is named by its sets, so that the same sets are one block wherever they meet. From level DEPTH to level ``deep`` only nodes with more than SMALL sets outside their main component branch. Nodes whose sets are already in one component have nothing to find and are left out. Rows are
-    narrow: signatures join large nodes only.
+    A small node is named by its sets, so that the same sets are one block wherever they meet. Where ``deep`` is beyond DEPTH, only nodes with more than CROSSED blocks of sets outside
+    their main component branch; the others are dense ones as they are. Nodes whose sets are already in one component have nothing to find and are left out. Rows are narrow:
+    signatures join large nodes only.
     """
     # a root's choice is the same for all sets: one row per tree
     root = F.xxhash64(F.lit("tree"), "id")
@@ -154,17 +156,18 @@ def _paths(sets: DataFrame, trees: range, similarity: float, deep: int = DEPTH)
         large = kept.filter("chosen IS NOT NULL").drop("block")
         if large.isEmpty():
             break
-        if level >= DEPTH:
+        if level == deep:
+            dense = large if dense is None else dense.unionByName(large)
+        elif deep > DEPTH:
             rest = large.groupBy("node", "component").agg(F.count("*").alias("n")).groupBy("node").agg((F.sum("n") - F.max("n")).alias("rest"))
-            judged = checkpoint(large.join(rest, "node"))
-            ends = F.lit(level == deep) | (F.col("rest") <= SMALL)
-            done = judged.filter(ends).select("node", "doc")
+            rest = checkpoint(rest)
+            done = large.join(rest.filter(F.col("rest") <= CROSSED * BLOCK), "node", "left_semi")
             dense = done if dense is None else dense.unionByName(done)
-            large = judged.filter(~ends).drop("rest")
+            large = large.join(rest.filter(F.col("rest") > CROSSED * BLOCK), "node", "left_semi")
             if large.isEmpty():
                 break
         frontier = large.withColumn("at", F.explode("chosen")).drop("chosen").join(sets.select("doc", "signature"), "doc")
-    return small.distinct(), large.select("node", "doc") if dense is None else dense
+    return small.distinct(), (large if dense is None else dense).select("node", "doc")
 
 
 def _in_block(*parts) -> Column:
