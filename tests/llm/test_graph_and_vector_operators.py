@@ -99,6 +99,23 @@ def test_pairs_in_crowded_nodes_are_found(spark, monkeypatch):
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
+def test_sets_of_a_large_group_meet_in_few_blocks(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "SMALL", 16)
+    monkeypatch.setattr(chosen_path, "BLOCK", 64)
+    draw, plain, posted = random.Random(9), chosen_path.find_links, []
+    base = [f"w{k}" for k in range(150)]  # copies of it, most of them just below the similarity of a link
+    rows = [(i, " ".join(edited(draw, base, 0.035))) for i in range(200)]
+
+    def counted(blocks, *rest):
+        posted.append(blocks.count())
+        return plain(blocks, *rest)
+
+    monkeypatch.setattr(chosen_path, "find_links", counted)
+    got = {r["doc_id"]: r["component_id"] for r in chosen_path.classify(spark.createDataFrame(rows, DOCS), size=4).collect()}
+    assert got == {i: c for i, (_, c) in classes_by_hand(rows, 4, 80).items()}
+    assert posted[1] < 60 * len(rows)
+
+
 def test_near_duplicates_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One two"), (5, "one  TWO\n"), (5, "one two"), (None, "one two"), (None, None), (7, "w " * 20000), (8, "w " * 19000), (9, "É"), (10, "é")]
     df = spark.createDataFrame(rows, DOCS).withColumn("key", F.lit(1)).withColumn("component_id", F.lit("q"))
